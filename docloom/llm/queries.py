@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, packing
+from docloom.llm import decontaminate, labelled, language, packing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,41 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path(), with_ids=False)
 
 
+QUALITY_SAMPLE = {"per_class": 4000, "max_chars": 100_000}  # labelled rows learned from, at most
+TOXIC_SAMPLE = {"per_class": 6000, "max_chars": 100_000}
+
+
+def quality_model(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> quality.Model:
+    """Learned from labelled rows outside the held-out fold."""
+    known = labels.filter(labelled.fold("doc_id", modulus) != held)
+    rows = labelled.sample(docs, known, "doc_id", "text", "quality", **QUALITY_SAMPLE)
+    return quality.train([t for t, _ in rows], [y for _, y in rows])
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model(docs, _table(spark, sf_dir, "labels"))
+    rows = docs.withColumn("held_out", F.coalesce(labelled.fold("doc_id", 5) == 0, F.lit(False)))
+    return quality.score(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = _table(spark, sf_dir, "labels").filter(labelled.fold("doc_id", 3) != 1)
+    sample = labelled.sample(docs, known, "doc_id", "text", "toxic", **TOXIC_SAMPLE)
+    net = toxicity.train([t for t, _ in sample], [y for _, y in sample])
+    rows = docs.withColumn("held_out", F.coalesce(labelled.fold("doc_id", 3) == 1, F.lit(False)))
+    return toxicity.score(rows, net).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = labelled.fold("doc_id", 4) == 2
+    model = language.train(docs.filter(~held))
+    rows = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out"))
+    return language.detect(rows, model, spans=False).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
@@ -34,8 +69,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": op3_quality,
     "op4_pack": op4_pack,
+    "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
+    "op8_language": op8_language,
 }
 
 _OP7 = r"""
