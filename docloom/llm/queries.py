@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, labelled, language, packing, quality, toxicity
+from docloom.llm import decontaminate, labelled, language, packing, pii, quality, quotes, secrets, spans, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +26,29 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path(), with_ids=False)
 
 
+def _count(array: str, kind: str) -> Column:
+    return F.size(F.filter(array, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(spans.listed(F.col("base")), 256)
+    return found.select("doc_id", *[_count("base", k) for k in pii.KINDS], digest.alias("base_sha256"), spans.listed(F.col("spans")).alias("spans"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    digest = F.sha2(spans.listed(F.col("base")), 256)
+    counts = [_count("base", k) for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), spans.listed(F.col("spans")).alias("spans"), F.col("live").cast("long").alias("n_live"), F.col("copied").cast("long").alias("n_copied"))
+
+
+def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(_table(spark, sf_dir, "conversations"))
+
+
 QUALITY_SAMPLE = {"per_class": 4000, "max_chars": 100_000}  # labelled rows learned from, at most
-TOXIC_SAMPLE = {"per_class": 6000, "max_chars": 100_000}
+TOXIC_SAMPLE = {"per_class": 6000, "max_chars": 20_000}
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> quality.Model:
@@ -69,8 +90,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op4_pack": op4_pack,
+    "op5_quotes": op5_quotes,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op8_language": op8_language,
