@@ -129,6 +129,18 @@ class _Adam:
         self.value[rows] -= scale * self.m[rows] / (np.sqrt(self.v[rows]) + 1e-8)
 
 
+def _frequent(texts: list[str], least: int) -> np.ndarray:
+    """Hashes of the words in at least ``least`` texts, the most frequent first."""
+    names, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for i in range(0, len(texts), 500):
+        read = Words(pa.array(texts[i : i + 500], pa.string()))
+        own = [np.unique(read.hashes[a:z]) for a, z in zip(read.offsets[:-1], read.offsets[1:])]
+        new, count = np.unique(np.concatenate(own), return_counts=True)
+        both, which = np.unique(np.concatenate([names, new]), return_inverse=True)
+        names, seen = both, np.bincount(which, np.concatenate([seen, count]), minlength=len(both)).astype(np.int64)
+    return names[seen >= least][np.argsort(-seen[seen >= least], kind="stable")]
+
+
 def train(texts: list[str], labels: list[int], widths: tuple[int, ...] = (1, 2, 3), filters: int = 8, size: int = 8, epochs: int = 8, least: int = 4, seed: int = 7) -> Network:
     """Fit by Adam on the logistic loss; a fifth of the rows only calibrates the thresholds.
 
@@ -136,14 +148,12 @@ def train(texts: list[str], labels: list[int], widths: tuple[int, ...] = (1, 2,
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
-    hashes, offsets, language = _tokens(pa.array(texts, pa.string()))
-    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(offsets))
-    pairs = np.lexsort((owner, hashes))
-    new = np.ones(len(pairs), bool)
-    new[1:] = (hashes[pairs][1:] != hashes[pairs][:-1]) | (owner[pairs][1:] != owner[pairs][:-1])
-    names, seen = np.unique(hashes[pairs][new], return_counts=True)
-    words = Vocabulary(names[seen >= least][np.argsort(-seen[seen >= least], kind="stable")])
-    ids = words(hashes)
+    words = Vocabulary(_frequent(texts, least))
+    parts = [_tokens(pa.array(texts[i : i + 500], pa.string())) for i in range(0, max(len(texts), 1), 500)]
+    ids = np.concatenate([words(p[0]).astype(np.int32) for p in parts])
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+    language = np.concatenate([p[2] for p in parts])
+    del parts
     net = Network(
         rng.normal(0, 0.1, (len(words), size)).astype(np.float32),
         {w: rng.normal(0, 0.5 / np.sqrt(w), (w, size, filters)).astype(np.float32) for w in widths},
@@ -195,8 +205,10 @@ def train(texts: list[str], labels: list[int], widths: tuple[int, ...] = (1, 2,
             np.add.at(total, which, np.concatenate(grads))
             embedding.step((total + 1e-5 * net.embedding[rows])[rows > _PAD], rows[rows > _PAD])
     net.out_bias = float(base[0])
-    sub = np.concatenate([ids[offsets[i] : offsets[i + 1]] for i in held]) if len(held) else ids[:0]
-    z = _logit(net, net.taps(), sub, np.concatenate([[0], np.cumsum(np.diff(offsets)[held])]))
+    z = np.zeros(len(held), np.float32)
+    for a in range(0, len(held), 256):
+        own = held[a : a + 256]
+        z[a : a + 256] = _logit(net, net.taps(), np.concatenate([ids[offsets[i] : offsets[i + 1]] for i in own]), np.concatenate([[0], np.cumsum(np.diff(offsets)[own])]))
     common = _threshold(z, y[held])
     for k in range(len(_NAMES)):
         own = language[held] == k
