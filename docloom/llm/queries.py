@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, labelled, language, packing, pii, quality, quotes, secrets, spans, toxicity
+from docloom.llm import decontaminate, labelled, language, lattice, neardup, packing, pii, quality, quotes, secrets, spans, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,15 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs).select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.link_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
@@ -98,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op8_language": op8_language,
+    "op9_ngram_join": op9_ngram_join,
+    "op10_lattice": op10_lattice,
 }
 
 _OP7 = r"""
@@ -122,4 +133,67 @@ select w.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigi
 from words w left join hit_words using (doc_id) left join hit_items using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_decontaminate": _OP7}
+_OP9 = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+  from documents),
+shingles as materialized (
+  select distinct doc_id, array_to_string(list_slice(w, s, s + least(5, len(w)) - 1), ' ') g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) s from words where len(w) > 0)),
+sizes as (select doc_id, count(*) n from shingles group by doc_id),
+links as materialized (
+  select a.doc_id a, b.doc_id b
+  from shingles a join shingles b on a.g = b.g and a.doc_id <> b.doc_id join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 9 * count(*) >= 4 * (x.n + y.n)),
+reach(id, root) as (select doc_id, doc_id from documents union select l.b, r.root from reach r join links l on l.a = r.id),
+classes as (select id, min(root) class_id from reach group by id)
+select c.id doc_id, class_id, coalesce(n, 0) n_links, c.id = class_id kept
+from classes c left join (select a, count(*) n from links group by a) l on l.a = c.id
+"""
+
+_OP10 = """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) e from embeddings
+  where embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links as materialized (
+  select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(id, root) as (select vec_id, vec_id from embeddings union select l.b, r.root from reach r join links l on l.a = r.id),
+classes as (select id, min(root) component_id from reach group by id)
+select c.id vec_id, coalesce(n, 0) n_links, component_id, c.id = component_id kept
+from classes c left join (select a, count(*) n from links group by a) l on l.a = c.id
+"""
+
+_OP5 = r"""
+with recursive lines as (
+  select conv_id, turn, role, l.i, l.x, length(regexp_replace(regexp_extract(l.x, '^\s*((?:>\s*)+)', 1), '[^>]', '', 'g')) lvl,
+    regexp_replace(l.x, '^\s*((?:>\s*)+)', '') said
+  from (select *, unnest(list_transform(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x, i: {'i': i, 'x': x})) l from conversations)),
+keyed as (
+  select *, trim(regexp_replace(lower(said), '\s+', ' ', 'g')) k, coalesce(lead(lvl) over w, 0) next_lvl, coalesce(lag(lvl) over w, 0) last_lvl
+  from lines window w as (partition by conv_id, turn order by i)),
+marked as (select *, lvl = 0 and next_lvl > 0 and regexp_matches(said, '^\s*(?:On|Am|Le|El) .{1,200}:\s*$') leads from keyed),
+messages as (
+  select conv_id, turn, role, coalesce(string_agg(said, chr(10) order by i) filter (lvl = 0 and not leads), '') own_text,
+    count(*) filter (lvl > 0 and lvl <> last_lvl) n_passages, max(lvl) max_level
+  from marked group by conv_id, turn, role),
+near as (select conv_id, k, min(turn) t from marked where lvl = 0 and not leads and k <> '' group by conv_id, k),
+far as (select k, min({'c': conv_id, 't': t}) f from near group by k),
+linked as (
+  select q.conv_id, q.turn, q.lvl, case when n.t < q.turn then {'c': q.conv_id, 't': n.t} when f.f.c < q.conv_id then f.f end o
+  from marked q left join near n on n.conv_id = q.conv_id and n.k = q.k left join far f on f.k = q.k where q.lvl > 0 and q.k <> ''),
+votes as (select conv_id, turn, lvl, o, count(*) n from linked where o is not null group by all),
+best as (select conv_id, turn, arg_min(o, {'l': lvl, 'n': -n, 'o': o}) o, sum(n) n_linked from votes group by conv_id, turn),
+parents as (
+  select m.*, coalesce(n_linked, 0) n_linked, b.o, coalesce(b.o, case when lag(m.turn) over (partition by m.conv_id order by m.turn) is not null
+    then {'c': m.conv_id, 't': lag(m.turn) over (partition by m.conv_id order by m.turn)} end) p
+  from messages m left join best b on b.conv_id = m.conv_id and b.turn = m.turn),
+up as (select conv_id, min(o.c) c from parents where o.c < conv_id group by conv_id),
+climb(conv_id, thread) as (select distinct conv_id, conv_id from messages union select climb.conv_id, up.c from climb join up on up.conv_id = climb.thread),
+threads as (select conv_id, min(thread) thread_id from climb group by conv_id)
+select p.conv_id, p.turn, p.role, own_text, n_passages, cast(n_linked as bigint) n_linked, cast(max_level as bigint) max_level, p.p.c parent_conv, p.p.t parent_turn, thread_id,
+  row_number() over (partition by thread_id order by p.conv_id, p.turn) "position"
+from parents p join threads t on t.conv_id = p.conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_quotes": _OP5, "op7_decontaminate": _OP7, "op9_ngram_join": _OP9, "op10_lattice": _OP10}
