@@ -11,8 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def normas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the documents table."""
+    return normas_of(table(spark, sf_dir, "documents"))
+
+
+def normas_of(docs: DataFrame) -> DataFrame:
     """Records: documents with a type, a title, texts that may be missing, empty or blank, and a date."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return docs.selectExpr(
         "cast(doc_id as bigint) infoleg_id",
         "case when doc_id % 50 = 7 then null else source end tipo_norma",
         "upper(lang) titulo_sumario",
@@ -83,8 +88,13 @@ REFERENCES = """refs as (select cast(conv_id as bigint) norma_id, cast(turn as b
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log records of services; the event time is a timestamp, in UTC."""
-    return table(spark, sf_dir, "events").selectExpr(
+    """Log records of the events table."""
+    return logs_of(table(spark, sf_dir, "events"))
+
+
+def logs_of(events: DataFrame) -> DataFrame:
+    """Log records of services; the event time is a timestamp, in the session's time zone."""
+    return events.selectExpr(
         "cast(ts as timestamp) ts", "event_type service", "case when event_type = 'error' then 'ERROR' else 'INFO' end level", "cast(user_id as bigint) infoleg_id", "value duration_ms",
         "concat('m', cast(get_json_object(props, '$.k') as int) % 5) model",
     )
