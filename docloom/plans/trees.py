@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import heap, relations, store, tree
+from docloom.operators import heap, relations, segment, store, tree
 from docloom.plans import views
 from docloom.plans.registry import query
 from docloom.plans.views import ARTICLES, DIVISIONS, NORMAS, REFERENCES, RELATIONS, table
@@ -262,3 +262,17 @@ def j8(spark: SparkSession, sf: str) -> DataFrame:
     nodes = tree.flatten(trees(spark, sf), "norm_id", "tree")
     stored = tree.keyed(nodes).filter("order_index % 4 <> 0")
     return tree.attach_keys(nodes, stored)[1].select("norm_id", "path")
+
+
+@query(
+    "h14_segment",
+    """with l as (select doc_id norm_id, unnest(string_split(text, chr(10))) line from documents), n as (select norm_id, count(*) n from l where trim(line) <> '' group by 1)
+select norm_id, 2 + n // 20 divisions, n articles from n""",
+)
+def h14(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as rules: a preamble, a main part of one article a line, and a chapter before every twentieth line."""
+    line = lambda x, i: F.concat(F.when((i + 1) % 20 == 0, F.concat(F.lit("Capítulo "), (i + 1).cast("string"), F.lit("\n"))).otherwise(""), F.lit("Art. "), (i + 1).cast("string"), F.lit(".- Que "), x)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("norm_id"), F.concat(F.lit("Visto el expediente\n"), F.array_join(F.transform(lines, line), "\n")).alias("text"), F.size(lines).alias("n"))
+    nodes = segment.segment(docs.filter("n > 0"))
+    return nodes.groupBy("norm_id").agg(F.count_if(F.col("kind") == "division").alias("divisions"), F.count_if(F.col("kind") == "article").alias("articles"))
