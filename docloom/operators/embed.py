@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def hash_embedding(text: Column, dims: int = 64) -> Column:
@@ -57,7 +58,7 @@ def correct(df: DataFrame, column: str, make: Callable[[], Callable[[str], str]]
 
 def structure(df: DataFrame, column: str, make: Callable[[], Callable[[str], str]], out: str = "tree") -> DataFrame:
     """``df`` with a tree (JSON) from a structuring function, through batches of rows; failures give null."""
-    schema = df.schema.add(out, "string")
+    schema = StructType([f for f in df.schema if f.name != out] + [StructField(out, StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         build = make()
