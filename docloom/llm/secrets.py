@@ -64,7 +64,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", keep_text: bool = False) -> DataFrame:
     """``docs`` (without ``text`` unless ``keep_text``) with ``base``, ``spans``, ``live`` and ``copied``.
 
-    ``base`` and ``spans`` are arrays of kind, start, end, by start, then kind; ``live`` and ``copied`` count the spans
+    ``base`` and ``spans`` are arrays of kind, start, end, by start, then kind; ``live`` and ``copied`` count the candidates
     whose value few or many owners have. A null owner counts as none, so such values look live. Null texts have no
     spans; repeated rows and null keys are rows like others. Columns with these names are replaced.
     """
@@ -80,9 +80,11 @@ def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", rep
     rows = judged.groupBy("__row").agg(F.array_sort(F.collect_list("s")).alias("s"))
     short = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     base = F.filter("s", lambda s: s["kind"] != "token")
-    free = lambda x: (x["kind"] != "token") | ~x["copied"] & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    rows = rows.select("__row", F.transform(base, short).alias("base"), F.filter("s", free).alias("s"))
-    rows = rows.select("__row", "base", F.transform("s", short).alias("spans"), F.size(F.filter("s", lambda s: ~s["copied"])).alias("live"), F.size(F.filter("s", lambda s: s["copied"])).alias("copied"))
+    apart = lambda x: (x["kind"] != "token") | ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    rows = rows.select("__row", F.transform(base, short).alias("base"), F.filter("s", apart).alias("s"))
+    shown = F.filter("s", lambda x: (x["kind"] != "token") | ~x["copied"])
+    copied = F.size(F.filter("s", lambda s: s["copied"]))
+    rows = rows.select("__row", "base", F.transform(shown, short).alias("spans"), (F.size("s") - copied).alias("live"), copied.alias("copied"))
     bare = table.drop("__found")
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     without = bare.join(rows, "__row", "left")

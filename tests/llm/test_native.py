@@ -1,0 +1,98 @@
+"""Operators in SQL functions, against brute force."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.llm import pii, quotes, secrets, spans
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+SECRETS = {"assign": r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
+PARTS = ["a", "@", ".", "1", "25", "9", "+", " ", "-", "(", ")", "é", "token", "=", ":", '"', "AKIA", "ABCDEFGH12345678", "0123456789abcdef01234567", "x.y", "4111 1111 1111 1111", "4111111111111111", "+1 (555) 555-1234", "10.0.0.1", "\U0001f600", "password", "_", "%", "b@c.d", "\n"]
+
+
+def luhn(digits):
+    return sum((2 * d - 9 if 2 * d > 9 else 2 * d) if i % 2 else d for i, d in enumerate(map(int, digits[::-1]))) % 10 == 0
+
+
+def personal(text):
+    out = []
+    for kind, pattern in PII.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or kind == "card" and 16 <= len(digits) <= 19 and luhn(digits) or kind == "phone" and 8 <= len(digits) <= 15
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def secret(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(SECRETS.items()):
+        for m in re.finditer(pattern, text):
+            if kind == "assign" and len(m[2]) >= 6 or kind == "access" and len(m[0]) >= 20 or kind == "hex" and len(m[0]) >= 24:
+                out.append((m.start(), rank, kind, m.end()))
+    return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(1)
+    return ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 40))) for _ in range(600)] + [None, "", "1" * 20000, "a" * 20000 + "@", "1.2.3.4 " * 600]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, f"s{i % 5}", "x") for i, t in enumerate(texts)], "doc_id long, text string, source string, spans string").repartition(4)
+
+
+@pytest.mark.parametrize(("find", "brute"), [(pii.find_pii, personal), (secrets.find_secrets, secret)])
+def test_base_spans(docs, texts, find, brute):
+    rows = find(docs).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = [tuple(s) for s in r["base"]]
+        assert base == brute(texts[r["doc_id"]] or "")
+        assert set(base) <= {tuple(s) for s in r["spans"]}
+
+
+@pytest.mark.parametrize("find", [pii.find_pii, secrets.find_secrets])
+def test_empty_table(docs, find):
+    assert find(docs.limit(0)).count() == 0
+
+
+def test_trees_add_what_looks_alike(spark):
+    rows = [(i, f"call +1 ({i % 900 + 100}) 555-{i % 9000 + 1000} now") for i in range(300)] + [(900 + i, f"call 1 ({i + 100}) 555-{i + 1000} now") for i in range(5)]
+    rows += [(2000 + i, f"id {i + 10}-{i + 100}-{i} x") for i in range(300)]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] for i in range(300)) and not any(found[2000 + i] for i in range(300))
+
+
+def test_ownership(spark):
+    own, common = "Ab1" * 8, "Cd2" * 8
+    rows = [(0, f"x {own} y", "s0")] + [(i, f"x {common} y", f"s{i}") for i in range(1, 6)] + [(9, None, None), (9, None, None)]
+    found = sorted((r["doc_id"], len(r["spans"]), r["live"], r["copied"]) for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert found == [(0, 1, 1, 0)] + [(i, 0, 0, 1) for i in range(1, 6)] + [(9, 0, 0, 0)] * 2
+
+
+def test_redaction(spark):
+    rows = spark.createDataFrame([(1, "é a@b.c 10.0.0.1 z", "s"), (2, "token=abcdef0123456789abcdef01 é", "s"), (3, None, "s")], "doc_id long, text string, source string")
+    assert [r["text"] for r in pii.redact(rows).orderBy("doc_id").collect()] == ["é [private] [private] z", "token=abcdef0123456789abcdef01 é", None]
+    assert [r["text"] for r in secrets.redact(rows).orderBy("doc_id").collect()] == ["é a@b.c 10.0.0.1 z", "[secret] é", None]
+
+
+def test_running_sums(spark):
+    rows = spark.createDataFrame([([1] * 1300,), ([],), ([5, 0, 2],)], "n array<int>").select(spans.running_sums(F.col("n")).alias("s")).collect()
+    assert rows[0]["s"] == list(range(1, 1301)) and rows[2]["s"] == [5, 5, 7]
+
+
+def test_quotes(spark):
+    messages = [(1, 0, "u", "Hello there\nhow are you"), (1, 1, "a", "On Monday X wrote:\n> Hello there\nfine"), (1, 2, "u", ">> hello   there\n> fine\nok"), (2, 0, "u", "> how are you\nnew thread"), (3, 0, "u", "> new thread\nhm"), (4, 0, None, None), (None, 1, "u", "x"), (5, 0, "u", "> nobody said\n")]
+    rows = quotes.link(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).collect()
+    got = {(r["conv_id"], r["turn"]): (r["own_text"], r["n_passages"], r["n_linked"], r["parent_conv"], r["parent_turn"], r["thread_id"], r["position"]) for r in rows}
+    assert got[1, 1] == ("fine", 1, 1, 1, 0, 1, 2) and got[1, 2] == ("ok", 2, 2, 1, 1, 1, 3)
+    assert got[2, 0] == ("new thread", 1, 1, 1, 0, 1, 4) and got[3, 0] == ("hm", 1, 1, 2, 0, 1, 5)
+    assert got[4, 0][:4] == ("", 0, 0, None) and got[5, 0][2:4] == (0, None) and len(rows) == len(messages)
+    assert quotes.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
