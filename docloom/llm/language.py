@@ -259,7 +259,7 @@ def _spans(read: Read, owner: np.ndarray, label: np.ndarray, known: np.ndarray,
     new = np.ones(len(label), bool)
     new[1:] = (label[1:] != label[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(new)
-    end = np.append(at[1:], len(label)) - 1
+    end = np.append(at[1:], len(label))[: len(at)] - 1
     lead = (read.words.low & 0xC0) != 0x80
     base = np.concatenate([[0], np.cumsum(lead)])[read.words.bounds[:-1]]
     begin, stop = read.first[at] - base[owner[at]], read.last[end] - base[owner[at]]

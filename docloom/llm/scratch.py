@@ -1,46 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""Intermediate tables in the folder that driver and executors share."""
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine, a
-temporary folder stands in for it. A written table cuts lineage: an executor lost later costs no recomputation.
-"""
+from docloom.sources.shared import drop, shared_dir, table
 
-from __future__ import annotations
-
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder, or a temporary one if the session names none."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="docloom-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return "file://" + _LOCAL[0]
-
-
-def table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; the result has no lineage before that file."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._docloom_path = path
-    return back
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`table` that nothing reads any more."""
-    path = getattr(df, "_docloom_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+__all__ = ["drop", "shared_dir", "table"]
