@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,8 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing uses yet; what lies there goes when this program ends."""
+    if not _MADE:
+        atexit.register(_clear)
+    _MADE.append(f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def _clear() -> None:
+    """Delete all tables of this program, if its session still lives; else they stay for whoever clears the folder."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        for path in _MADE:
+            for end in ("", "-progress"):
+                _delete(spark, path + end)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def table(df: DataFrame, label: str) -> DataFrame:
@@ -45,6 +63,4 @@ def drop(df: DataFrame) -> None:
     """Delete a table made by :func:`table` that nothing reads any more."""
     path = getattr(df, "_docloom_path", None)
     if path:
-        spark = df.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(df.sparkSession, path)
