@@ -273,3 +273,25 @@ def v8(spark: SparkSession, sf: str) -> DataFrame:
 def v9(spark: SparkSession, sf: str) -> DataFrame:
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("user_id"), F.substring("text", 1, 30).alias("text"))
     return verify.with_fallback(texts, _chosen(spark, sf), "user_id", "text")
+
+
+def _single_spaces() -> object:
+    return lambda text: " ".join(text.split())
+
+
+def _one_division() -> object:
+    import json
+
+    return lambda text: json.dumps({"divisions": [{"name": "all", "ordinal": "1", "title": None, "body": text, "articles": [], "divisions": []}]})
+
+
+@query("u2_correct", r"select conv_id, turn, 'spaces' model, trim(regexp_replace(text, '[ \t\n]+', ' ', 'g')) output, true success from conversations")
+def u2(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return embed.correct(rows, "text", _single_spaces, "spaces").select("conv_id", "turn", "attempt.*")
+
+
+@query("u3_structure", "select conv_id, turn, md5(text) body from conversations")
+def u3(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return embed.structure(rows, "text", _one_division).select("conv_id", "turn", F.md5(F.get_json_object("tree", "$.divisions[0].body")).alias("body"))
