@@ -74,18 +74,18 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     linked = asked.join(near, ["__c", "key"], "left").join(far, "key", "left").withColumn("origin", F.coalesce(here, there)).filter("origin is not null")
     votes = linked.groupBy("__row", "level", "origin").agg(F.count("*").alias("n"))
     best = votes.groupBy("__row").agg(F.min(F.struct("level", (-F.col("n")).alias("n"), "origin")).alias("b"), F.sum("n").alias("n_linked"))
-    rows = table.join(best.select("__row", F.col("b.origin").alias("__origin"), "n_linked"), "__row", "left")
+    rows = table.join(best.select("__row", F.col("b.origin").alias("__origin"), F.col("n_linked").alias("__linked")), "__row", "left")
     last = F.max("__t").over(Window.partitionBy("__c").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1))
     before = F.when(F.col("__c").isNotNull() & last.isNotNull(), F.struct(F.col("__c").alias("c"), last.alias("t")))
     rows = rows.withColumn("__parent", F.coalesce("__origin", before))
-    roots = _threads(rows.filter("__origin.c < __c").groupBy("__c").agg(F.min("__origin.c").alias("root")).select("__c", "root"))
-    rows = rows.join(roots, "__c", "left").withColumn("thread_id", F.coalesce("root", "__c"))
+    roots = _threads(rows.filter("__origin.c < __c").groupBy("__c").agg(F.min("__origin.c").alias("root")).select("__c", "root")).withColumnRenamed("root", "__root")
+    rows = rows.join(roots, "__c", "left").withColumn("thread_id", F.coalesce("__root", "__c"))
     order = Window.partitionBy("thread_id").orderBy("__c", "__t", "__row")
     return rows.select(
         *[F.col(f"`{c}`") for c in kept],
         "own_text",
         "n_passages",
-        F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+        F.coalesce("__linked", F.lit(0)).cast("long").alias("n_linked"),
         "max_level",
         F.col("__parent.c").alias("parent_conv"),
         F.col("__parent.t").alias("parent_turn"),

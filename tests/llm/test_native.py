@@ -90,7 +90,8 @@ def test_running_sums(spark):
 
 def test_quotes(spark):
     messages = [(1, 0, "u", "Hello there\nhow are you"), (1, 1, "a", "On Monday X wrote:\n> Hello there\nfine"), (1, 2, "u", ">> hello   there\n> fine\nok"), (2, 0, "u", "> how are you\nnew thread"), (3, 0, "u", "> new thread\nhm"), (4, 0, None, None), (None, 1, "u", "x"), (5, 0, "u", "> nobody said\n")]
-    rows = quotes.link(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).collect()
+    named = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("root", "near", "origin", "position", "n_linked")})
+    rows = quotes.link(named).collect()
     got = {(r["conv_id"], r["turn"]): (r["own_text"], r["n_passages"], r["n_linked"], r["parent_conv"], r["parent_turn"], r["thread_id"], r["position"]) for r in rows}
     assert got[1, 1] == ("fine", 1, 1, 1, 0, 1, 2) and got[1, 2] == ("ok", 2, 2, 1, 1, 1, 3)
     assert got[2, 0] == ("new thread", 1, 1, 1, 0, 1, 4) and got[3, 0] == ("hm", 1, 1, 2, 0, 1, 5)
