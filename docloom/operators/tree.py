@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources import shared
+
 MAX_DEPTH = 16
 _DIVISION = "struct<name:string,ordinal:string,title:string,body:string,embedding:array<double>,articles:array<string>,divisions:array<string>>"
 _ARTICLE = "struct<ordinal:string,body:string,embedding:array<double>,articles:array<string>>"
@@ -46,13 +48,14 @@ def _children(rows: DataFrame, column: str, kind: str) -> DataFrame:
 def flatten(trees: DataFrame, key: str, tree: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """All nodes of all trees, one row each (columns ``NODE``). Broken JSON and nodes below ``max_depth`` give no rows.
 
-    The levels are a fixed number of steps of one plan; a level that no tree reaches costs an empty step.
+    Each level is written to the shared folder with its nodes' children as JSON, so every text is parsed once a level and
+    the next level starts from that file, not from the trees.
     """
     top = F.from_json(tree, "struct<divisions:array<string>>")["divisions"]
     level = trees.select(F.col(key).alias("norm_id"), F.lit("").alias("path"), F.lit("").alias("sort_path"), F.lit(0).alias("depth"), F.lit(None).cast("array<string>").alias("__articles"), top.alias("__divisions"))
     levels = []
     for _ in range(max_depth):
-        level = _children(level, "__articles", "article").unionByName(_children(level, "__divisions", "division"))
+        level = shared.table(_children(level, "__articles", "article").unionByName(_children(level, "__divisions", "division")), "level")
         levels.append(level.select(*NODE))
         if len(levels) == max_depth or not level.filter("size(__articles) > 0 or size(__divisions) > 0").head(1):
             break
