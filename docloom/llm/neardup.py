@@ -178,7 +178,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__t", 4 << 20):
+            for part in slices(batch, "__t"):
                 f1, f2 = _fingerprints(*_sets(Words(part.column("__t")), WIDTH))
                 names = [c for c in part.schema.names if c != "__t"]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(f1), pa.array(f2)], [*names, "__f1", "__f2"])
