@@ -75,13 +75,14 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     votes = linked.groupBy("__row", "level", "origin").agg(F.count("*").alias("n"))
     best = votes.groupBy("__row").agg(F.min(F.struct("level", (-F.col("n")).alias("n"), "origin")).alias("b"), F.sum("n").alias("n_linked"))
     rows = table.join(best.select("__row", F.col("b.origin").alias("__origin"), F.col("n_linked").alias("__linked")), "__row", "left")
-    last = F.max("__t").over(Window.partitionBy("__c").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1))
-    before = F.when(F.col("__c").isNotNull() & last.isNotNull(), F.struct(F.col("__c").alias("c"), last.alias("t")))
+    turns = _numbered(table.select("__c", "__t").filter("__c is not null and __t is not null").distinct(), "__c", ["__t"])
+    last = turns.select("__c", (F.col("__n") + 1).alias("__n"), F.col("__t").alias("__last"))
+    rows = rows.join(turns.join(last, ["__c", "__n"]).select("__c", "__t", "__last"), ["__c", "__t"], "left")
+    before = F.when(F.col("__last").isNotNull(), F.struct(F.col("__c").alias("c"), F.col("__last").alias("t")))
     rows = rows.withColumn("__parent", F.coalesce("__origin", before))
     roots = _threads(rows.filter("__origin.c < __c").groupBy("__c").agg(F.min("__origin.c").alias("root")).select("__c", "root")).withColumnRenamed("root", "__root")
     rows = rows.join(roots, "__c", "left").withColumn("thread_id", F.coalesce("__root", "__c"))
-    order = Window.partitionBy("thread_id").orderBy("__c", "__t", "__row")
-    return rows.select(
+    return _numbered(rows, "thread_id", ["__c", "__t", "__row"]).select(
         *[F.col(f"`{c}`") for c in kept],
         "own_text",
         "n_passages",
@@ -90,10 +91,25 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
         F.col("__parent.c").alias("parent_conv"),
         F.col("__parent.t").alias("parent_turn"),
         "thread_id",
-        F.row_number().over(order).cast("long").alias("position"),
+        F.col("__n").alias("position"),
     )
 
 
+def _numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``__n``, from 1 in each group by ``order``.
+
+    A group may hold most rows: they are dealt by ranges of group and order, numbered within each range, and moved on by
+    what the ranges before hold of the group.
+    """
+    dealt = scratch.table(rows.repartitionByRange(group, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    own = dealt.withColumn("__i", F.row_number().over(Window.partitionBy("__p", group).orderBy(*order)))
+    sizes = dealt.groupBy(F.col(group).alias("__g"), F.col("__p").alias("__q")).agg(F.count("*").alias("__size"))
+    above = F.sum("__size").over(Window.partitionBy("__g").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__g", "__q", F.coalesce(above, F.lit(0)).alias("__above"))
+    joined = own.join(sizes, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    return joined.withColumn("__n", (F.col("__i") + F.col("__above")).cast("long")).drop("__p", "__i", "__g", "__q", "__above")
+
+
 def _threads(edges: DataFrame) -> DataFrame:
     """Smallest conversation that each conversation's quotes lead to; the way halves with every step."""
     now = scratch.table(edges, "threads")
