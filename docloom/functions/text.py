@@ -111,8 +111,8 @@ def html_to_text(html: Column, keep_noncontent: bool = False) -> Column:
     Then whitespace, then repairs. Comments, doctype, script and style go, unless ``keep_noncontent`` leaves the text of
     scripts and styles.
     """
-    out = fix_double_encoding(html)
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->|<![^>]*>", "")
+    plain = fix_double_encoding(html)
+    out = F.regexp_replace(plain, r"(?s)<!--.*?-->|<![^>]*>", "")
     if not keep_noncontent:
         out = F.regexp_replace(out, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", "")
     out = F.regexp_replace(out, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:[ \t\n/][^>]*)?>", "\n")
@@ -120,6 +120,7 @@ def html_to_text(html: Column, keep_noncontent: bool = False) -> Column:
     out = F.regexp_replace(out, r"</?[A-Za-z][^>]*>", "")
     for entity, char in ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(char))
+    out = F.when(html.contains("<") | html.contains("&"), out).otherwise(plain)  # most texts have no markup
     return repair(normalize_whitespace(out))
 
 
