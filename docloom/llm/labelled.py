@@ -11,6 +11,13 @@ def fold(key: str, modulus: int) -> Column:
     return F.crc32(F.col(f"`{key}`").cast("string")) % modulus
 
 
+def totals(labels: DataFrame, key: str, label: str) -> tuple[int, int]:
+    """How many rows with a key have label 0 and how many label 1."""
+    y = F.col(f"`{label}`").cast("int")
+    row = labels.filter(F.col(f"`{key}`").isNotNull()).agg(*[F.count(F.when(y == k, 1)) for k in (0, 1)]).first()
+    return row[0], row[1]
+
+
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int, max_chars: int) -> list[tuple[str, int]]:
     """At most ``per_class`` (text, label) for each of the labels 0 and 1, chosen by a hash of the key.
 

@@ -3,7 +3,8 @@
 Two zstandard dictionaries are built from pieces of labelled good and bad texts. A text is compressed whole with each;
 the difference of the two sizes, normalised by the text's length and by the sizes, says which dictionary knows it better.
 A logistic function of these differences, of how far the text compresses at all and of its length turns them into a
-calibrated score. It is fitted on other labelled texts than those in the dictionaries.
+calibrated score. It is fitted on other labelled texts than those in the dictionaries, each label weighted to its share
+of all labelled rows, since a bounded sample and the dictionaries take other shares of the two labels.
 """
 
 from __future__ import annotations
@@ -59,8 +60,11 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(pieces)[:_DICTIONARY] or b"\n" * 8
 
 
-def train(texts: list[str], labels: list[int], in_dictionary: int = 1000) -> Model:
-    """Build both dictionaries from at most ``in_dictionary`` and half of the texts of each label; fit on the others."""
+def train(texts: list[str], labels: list[int], in_dictionary: int = 1000, totals: tuple[int, int] | None = None) -> Model:
+    """Build both dictionaries from at most ``in_dictionary`` and half of the texts of each label; fit on the others.
+
+    ``totals`` counts the labels 0 and 1 in all that the texts are a sample of (default: the texts themselves).
+    """
     own = [[t.encode() for t, y in zip(texts, labels) if y == k] for k in (1, 0)]
     for_dictionary = [min(in_dictionary, (len(ts) + 1) // 2) for ts in own]
     good, bad = (_dictionary(ts[:n]) for ts, n in zip(own, for_dictionary))
@@ -71,11 +75,14 @@ def train(texts: list[str], labels: list[int], in_dictionary: int = 1000) -> Mod
     if not len(rest[0]) or not len(rest[1]):  # one label only: a score that says so
         weights[-1] = 4.0 if len(own[0]) >= len(own[1]) else -4.0
         return Model(good, bad, weights)
+    bad_total, good_total = totals or (len(own[1]), len(own[0]))
+    weight = np.where(y == 1, good_total / len(rest[0]), bad_total / len(rest[1]))
+    weight *= len(y) / weight.sum()
     penalty = np.full(x.shape[1], 1e-2)
     for _ in range(50):  # Newton's method, damped
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        weights += np.clip(np.linalg.solve(curve, x.T @ (y - p) - penalty * weights), -5, 5)
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        weights += np.clip(np.linalg.solve(curve, x.T @ (weight * (y - p)) - penalty * weights), -5, 5)
     return Model(good, bad, weights)
 
 

@@ -3,7 +3,8 @@
 A word's hash picks one of a fixed number of slots; a slot has an embedding if a word of the sample claims it, and the
 rest of the hash tells other words that fall into it apart. Filters of several widths run over consecutive words, each filter's
 largest response in the text is kept, and a logistic layer turns those into a probability. All is trained in numpy on a
-bounded sample of labelled rows. A threshold is then calibrated for each language, as guessed from the text's own
+bounded sample of labelled rows, in which the labels' shares are not those of all labelled rows: the intercept is shifted
+and the calibration weighted by the true shares. A threshold is then calibrated for each language, as guessed from the text's own
 function words, and the score is shifted so that 0.7 is that threshold for every language.
 """
 
@@ -141,10 +142,11 @@ def _frequent(texts: list[str], least: int) -> np.ndarray:
     return names[seen >= least][np.argsort(-seen[seen >= least], kind="stable")]
 
 
-def train(texts: list[str], labels: list[int], widths: tuple[int, ...] = (1, 2, 3), filters: int = 8, size: int = 8, epochs: int = 8, least: int = 4, seed: int = 7) -> Network:
+def train(texts: list[str], labels: list[int], widths: tuple[int, ...] = (1, 2, 3), filters: int = 8, size: int = 8, epochs: int = 8, least: int = 4, seed: int = 7, totals: tuple[int, int] | None = None) -> Network:
     """Fit by Adam on the logistic loss; a fifth of the rows only calibrates the thresholds.
 
-    Words in fewer than ``least`` texts of the sample are not learned from.
+    Words in fewer than ``least`` texts of the sample are not learned from. ``totals`` counts the labels 0 and 1 in all
+    that the texts are a sample of (default: the texts themselves).
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
@@ -204,25 +206,38 @@ def train(texts: list[str], labels: list[int], widths: tuple[int, ...] = (1, 2,
             total = np.zeros((len(rows), size), np.float32)
             np.add.at(total, which, np.concatenate(grads))
             embedding.step((total + 1e-5 * net.embedding[rows])[rows > _PAD], rows[rows > _PAD])
-    net.out_bias = float(base[0])
+    odds = _odds(y, totals)
+    net.out_bias = float(base[0] + np.log(odds))
     z = np.zeros(len(held), np.float32)
     for a in range(0, len(held), 256):
         own = held[a : a + 256]
         z[a : a + 256] = _logit(net, net.taps(), np.concatenate([ids[offsets[i] : offsets[i + 1]] for i in own]), np.concatenate([[0], np.cumsum(np.diff(offsets)[own])]))
-    common = _threshold(z, y[held])
+    common = _threshold(z, y[held], odds)
     for k in range(len(_NAMES)):
         own = language[held] == k
-        net.thresholds[k] = _threshold(z[own], y[held][own]) if (y[held][own] == 1).sum() >= 30 else common
+        net.thresholds[k] = _threshold(z[own], y[held][own], odds) if (y[held][own] == 1).sum() >= 30 else common
     return net
 
 
-def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The logit with the best F1, in the middle of its gap; 0 where too few rows have label 1."""
+def _odds(y: np.ndarray, totals: tuple[int, int] | None) -> float:
+    """How many rows of ``totals`` a row with label 1 stands for, over how many one with label 0 does."""
+    if not totals or not all(totals):
+        return 1.0
+    ones = (y == 1).sum()
+    return float(totals[1] / ones / (totals[0] / (len(y) - ones)))
+
+
+def _threshold(z: np.ndarray, y: np.ndarray, odds: float = 1.0) -> float:
+    """The logit with the best F1, in the middle of its gap; 0 where too few rows have label 1.
+
+    A row with label 1 counts ``odds`` times as much as one with label 0.
+    """
     if (y == 1).sum() < 20 or y.all():
         return 0.0
     order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
+    weight = np.where(y == 1, odds, 1.0)
+    hits = np.cumsum((weight * y)[order])
+    f1 = 2 * hits / (np.cumsum(weight[order]) + hits[-1])
     f1[:-1][z[order][:-1] == z[order][1:]] = 0
     k = int(np.argmax(f1))
     return float((z[order][k] + z[order][min(k + 1, len(z) - 1)]) / 2)

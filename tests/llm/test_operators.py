@@ -201,6 +201,24 @@ def test_toxicity_held_out(spark):
     assert sum(r["predicted"] == r["y"] for r in got) >= 0.97 * len(got) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_calibration_by_true_shares(spark):
+    rows = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(200)] + [(None, 1), (500, None)], "doc_id long, y int")
+    assert queries.labelled.totals(rows, "doc_id", "y") == (180, 20)
+    rng = random.Random(5)
+    word = lambda y: rng.choice("a b c d e f".split()) if rng.random() < 0.6 else rng.choice(("g h i", "x y z")[y].split())
+    make = lambda y: " ".join(word(y) for _ in range(3))
+    labels = [i % 2 for i in range(2000)]
+    texts = [make(y) for y in labels]
+    fresh = pa.array([make(int(i % 10 == 0)) for i in range(2000)])  # a tenth has label 1, half of the sample
+    net = toxicity.train(texts, labels, totals=(1800, 200))
+    even = toxicity.train(texts, labels)
+    assert toxicity.scores(net, fresh, net.taps()).mean() < toxicity.scores(even, fresh, even.taps()).mean()
+    assert toxicity._threshold(np.asarray([3.0, 2, 1, 0] * 20), np.asarray([1, 0, 1, 0] * 20), 0.1) == 2.5
+    model = quality.train(texts, labels, totals=(1800, 200))
+    sizes = quality._Sizes(model.good, model.bad)([t.encode() for t in fresh.to_pylist()])
+    assert abs((1 / (1 + np.exp(-sizes @ model.weights))).mean() - 0.1) < 0.04
+
+
 @pytest.mark.parametrize("labels", [[], [1], [0, 0, 0]])
 def test_learning_from_one_label(spark, labels):
     texts = ["some text here"] * len(labels)
