@@ -146,7 +146,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def _with_shingles(docs: DataFrame, text: str, key: str, near: DataFrame) -> DataFrame:
-    """Candidates with the shingles of one document of each; documents are read again, most are passed over by a filter of fixed size."""
+    """One row for each candidate, with the shingles of one document of it.
+
+    Documents are read again; most are passed over by a filter of fixed size. Of those let through only documents with
+    the candidate's own key stay, so its copies are not compared; of rows that repeat key and set one stays. A null key
+    counts as 0 here, which is harmless since all documents of a candidate have the same set.
+    """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(_FILTER_BITS))
     slots = near.select(slot(F.col("first")).alias("s"))
     bits = slots.groupBy(F.expr("cast(s div 32 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 32 as int)))").alias("b")).toPandas()
@@ -161,11 +166,14 @@ def _with_shingles(docs: DataFrame, text: str, key: str, near: DataFrame) -> Dat
                 shingles, offsets = _sets(Words(part.column("text")), WIDTH)
                 f1, f2 = _fingerprints(shingles, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(shingles.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(f1), pa.array(f2), lists], ["f1", "f2", "shingles"])
-
-    source = docs.select(slot(F.col(f"`{key}`").cast("long")).alias("s"), F.col(f"`{text}`").cast("string").alias("text"))
-    sets = source.mapInArrow(run, "f1 long, f2 long, shingles array<long>")
-    return sets.join(near, ["f1", "f2"]).select(F.col("root").alias("group"), "id", F.col("copies").alias("weight"), "shingles")
+                yield pa.RecordBatch.from_arrays([pa.array(f1), pa.array(f2), part.column("k"), lists], ["f1", "f2", "k", "shingles"])
+
+    whole = F.col(f"`{key}`").cast("long")
+    source = docs.select(slot(whole).alias("s"), F.coalesce(whole, F.lit(0)).alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
+    sets = source.mapInArrow(run, "f1 long, f2 long, k long, shingles array<long>")
+    same = ["f1", "f2", "k"]
+    one = sets.join(near.withColumn("k", F.coalesce("first", F.lit(0))), same).dropDuplicates(same)
+    return one.select(F.col("root").alias("group"), "id", F.col("copies").alias("weight"), "shingles")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

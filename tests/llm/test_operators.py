@@ -81,6 +81,18 @@ def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_copies_are_compared_once(spark, near, monkeypatch):
+    _, docs = near
+    seen = []
+    verified = neardup.linking.verified
+    monkeypatch.setattr(neardup, "_FILTER_BITS", 32)  # a full filter lets all documents through
+    monkeypatch.setattr(neardup.linking, "verified", lambda members, *a: seen.append(members) or verified(members, *a))
+    extra = spark.createDataFrame([(20, docs.filter("doc_id = 20").first()["text"], "c")] * 3, docs.schema)
+    neardup.near_duplicates(docs.unionByName(extra)).collect()
+    counts = seen[0].groupBy("id").count().collect()
+    assert counts and all(r["count"] == 1 for r in counts)
+
+
 def test_large_groups_are_cut(spark, monkeypatch):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(150)]
