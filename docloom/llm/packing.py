@@ -39,8 +39,8 @@ class Encoder:
     The vocabulary's pre-tokenizer always begins a new unit at a space between two characters that are not white space.
     The texts of a chunk are cut there, on their bytes, and each distinct unit is tokenized once: units of plain Latin
     text all in one string by the faster of two implementations of the vocabulary's byte-pair merges, other units by
-    ``tokenizers``. A text with white space beyond ASCII, or with a unit whose bytes differ from those that its hash
-    stands for, is tokenized as one by ``tokenizers``.
+    ``tokenizers``. A text with white space beyond ASCII, with the literal of an added token, or with a unit whose bytes
+    differ from those that its hash stands for, is tokenized as one by ``tokenizers``.
     """
 
     _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the vocabulary's
@@ -52,8 +52,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         special = {t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]}
+        self.added = [t.encode() for t in sorted(special) if t]
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in unit): i for unit, i in self.tokenizer.get_vocab().items() if unit not in special}
         self.merges = tiktoken.Encoding("merges", pat_str=self._PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -73,6 +73,7 @@ class Encoder:
         raw = np.frombuffer(texts.buffers()[2], np.uint8)[first:last]
         bounds = bounds - first
         starts, ends, odd = self._units(raw, bounds)
+        odd |= self._with_added(raw, bounds)
         keys = hash_spans(raw, starts, ends)
         _, like, which = np.unique(keys, return_index=True, return_inverse=True)
         differ = self._differ(raw, starts, ends, like[which])
@@ -111,6 +112,18 @@ class Encoder:
         odd[np.searchsorted(bounds, spaces, side="right") - 1] = True
         return starts, np.append(starts[1:], len(raw)), odd
 
+    def _with_added(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which texts hold the literal of an added token; one that two texts share marks the first."""
+        found = np.zeros(len(bounds) - 1, bool)
+        data = raw.tobytes()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                own = int(np.searchsorted(bounds, at, side="right")) - 1
+                found[own] = True
+                at = data.find(token, max(int(bounds[own + 1]), at + 1))
+        return found
+
     @staticmethod
     def _differ(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> np.ndarray:
         """Units whose bytes are not those of the unit at ``like``."""

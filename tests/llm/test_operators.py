@@ -180,6 +180,16 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_packing_of_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "", "x<|endoftext|><|endoftext|>é", "some <|endof", "text|> more", "a b c"] + [f"text {i} <|endoftext|> " * (i % 3) + "end" for i in range(20)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in packing.Encoder(path)(pa.array(texts))] == want and 50256 in want[0]
+
+
 def test_balanced_costs():
     lengths = np.random.default_rng(0).integers(1, 2500, 800)
     count = int(lengths.sum()) // 2048
