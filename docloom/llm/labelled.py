@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import scratch
+
 
 def fold(key: str, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; null for a null key."""
@@ -18,25 +20,19 @@ def totals(labels: DataFrame, key: str, label: str) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` (text, label) for each of the labels 0 and 1, chosen by a hash of the key.
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int) -> DataFrame:
+    """At most ``per_class`` rows (text, y, order) for each of the labels 0 and 1, chosen by a hash of the key.
 
-    Rows without key, text or label and texts over ``max_chars`` characters are not learned from; scoring has no such
-    bound. The join's small side has ``2 * per_class`` rows at most.
+    The bound is on labelled rows only; texts are whole, of any length, and null ones are empty. Rows without key or
+    label are not learned from. Which labels are taken is decided on the labels alone, a row of a few bytes each, so the
+    texts are read once, by a join with ``2 * per_class`` rows at most. Of several documents with one key the least text is taken.
     """
-    names = labels.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{label}`").cast("int").alias("__y")).filter(F.col("__k").isNotNull())
-    order = F.xxhash64(F.col("__k"), F.lit(label))
+    names = labels.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{label}`").cast("int").alias("y")).filter(F.col("__k").isNotNull())
+    names = names.withColumn("order", F.xxhash64("__k", F.lit(label)))
     picked = None
     for y in (0, 1):
-        own = names.filter(F.col("__y") == y).orderBy(order, "__k").limit(per_class)
+        own = names.filter(F.col("y") == y).distinct().orderBy("order", "__k").limit(per_class)
         picked = own if picked is None else picked.unionByName(own)
-    texts = docs.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{text}`").cast("string").alias("__t")).filter(F.length("__t").between(1, max_chars))
-    joined = texts.join(F.broadcast(picked.distinct()), "__k")
-    found: list[tuple[str, int]] = []
-    rows = None
-    for y in (0, 1):
-        own = joined.filter(F.col("__y") == y).orderBy(order, "__k", "__t").limit(per_class)
-        rows = own if rows is None else rows.unionByName(own)
-    for row in rows.collect():
-        found.append((row["__t"], row["__y"]))
-    return found
+    texts = docs.select(F.col(f"`{key}`").alias("__k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    joined = texts.join(F.broadcast(picked), "__k").groupBy("__k", "y", "order").agg(F.min("text").alias("text"))
+    return scratch.table(joined.select("text", "y", "order"), "sample")

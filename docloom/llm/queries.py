@@ -47,15 +47,14 @@ def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link(_table(spark, sf_dir, "conversations"))
 
 
-QUALITY_SAMPLE = {"per_class": 4000, "max_chars": 100_000}  # labelled rows learned from, at most
-TOXIC_SAMPLE = {"per_class": 6000, "max_chars": 20_000}
+QUALITY_SAMPLE = TOXIC_SAMPLE = 4000  # labelled rows of each label learned from, at most
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> quality.Model:
     """Learned from labelled rows outside the held-out fold."""
     known = labels.filter(labelled.fold("doc_id", modulus) != held)
-    rows = labelled.sample(docs, known, "doc_id", "text", "quality", **QUALITY_SAMPLE)
-    return quality.train([t for t, _ in rows], [y for _, y in rows], totals=labelled.totals(known, "doc_id", "quality"))
+    rows = labelled.sample(docs, known, "doc_id", "text", "quality", QUALITY_SAMPLE)
+    return quality.train(rows, labelled.totals(known, "doc_id", "quality"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +67,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     known = _table(spark, sf_dir, "labels").filter(labelled.fold("doc_id", 3) != 1)
-    sample = labelled.sample(docs, known, "doc_id", "text", "toxic", **TOXIC_SAMPLE)
-    net = toxicity.train([t for t, _ in sample], [y for _, y in sample], totals=labelled.totals(known, "doc_id", "toxic"))
+    sample = labelled.sample(docs, known, "doc_id", "text", "toxic", TOXIC_SAMPLE)
+    net = toxicity.train(sample, labelled.totals(known, "doc_id", "toxic"))
     rows = docs.withColumn("held_out", F.coalesce(labelled.fold("doc_id", 3) == 1, F.lit(False)))
     return toxicity.score(rows, net).select("doc_id", "held_out", "score", "predicted")
 

@@ -1,10 +1,10 @@
 """Convolutional text classifier for toxicity: hashed word embeddings, several filter widths, max pooling.
 
-A word's hash picks one of a fixed number of slots; a slot has an embedding if a word of the sample claims it, and the
-rest of the hash tells other words that fall into it apart. Filters of several widths run over consecutive words, each filter's
-largest response in the text is kept, and a logistic layer turns those into a probability. All is trained in numpy on a
-bounded sample of labelled rows, in which the labels' shares are not those of all labelled rows: the intercept is shifted
-and the calibration weighted by the true shares. A threshold is then calibrated for each language, as guessed from the text's own
+A word's embedding is the sum of three of a fixed number of rows, which hashes of the word, of its first bytes and of its
+last bytes pick, so that a rare word is known by its parts. Filters of several widths run over consecutive words, each
+filter's largest response in the text is kept, and a logistic layer turns those into a probability. All is trained in
+numpy on a bounded sample of labelled rows of any length, in which the labels' shares are not those of all labelled rows:
+the intercept is shifted and the calibration weighted by the true shares. A threshold is then calibrated for each language, as guessed from the text's own
 function words, and the score is shifted so that 0.7 is that threshold for every language.
 """
 
@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.words import Words, slices
+from docloom.llm.words import Words, hash_spans, slices
 
 DECISION = 0.7
-_SLOTS = 1 << 20
-_RARE = 0  # embedding of words too rare in the sample to learn from
-_PAD = 1
+_WORDS, _EDGES = 18, 16  # bits of the slots of whole words, and of their beginnings and ends
+_EDGE = 6  # bytes of a beginning or end
 # fixed values: common function words, to guess a text's language for calibration
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was with as on are this be by at from or an",
@@ -34,32 +33,25 @@ FUNCTION_WORDS = {
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, offsets of the texts in them, and each text's guessed language."""
+    """Token of each word (its three slots in one number), offsets of the texts in them, and each text's guessed language."""
     words = Words(texts)
     order = np.argsort(_FUNCTION)
     at = np.minimum(np.searchsorted(_FUNCTION[order], words.hashes), len(order) - 1)
     known = _FUNCTION[order][at] == words.hashes
     owner = np.repeat(np.arange(len(words)), np.diff(words.offsets))[known]
     votes = [np.bincount(owner, _VOTES[order][at[known], k], minlength=len(words)) for k in range(len(_NAMES))]
-    return words.hashes, words.offsets, np.argmax(np.stack(votes, axis=1), axis=1)
+    first = hash_spans(words.low, words.starts, np.minimum(words.starts + _EDGE, words.ends))
+    last = hash_spans(words.low, np.maximum(words.ends - _EDGE, words.starts), words.ends)
+    low = lambda h, bits: h & np.uint64((1 << bits) - 1)
+    tokens = low(words.hashes, _WORDS) << np.uint64(2 * _EDGES) | low(first, _EDGES) << np.uint64(_EDGES) | low(last, _EDGES)
+    return tokens, words.offsets, np.argmax(np.stack(votes, axis=1), axis=1)
 
 
-class Vocabulary:
-    """Row of each word's embedding, by its hash; words that are not in it share one."""
-
-    def __init__(self, hashes: np.ndarray):
-        slot = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
-        _, first = np.unique(slot, return_index=True)  # of two words in a slot, the one that comes first
-        self.tags = np.concatenate([np.zeros(2, np.uint64), hashes[first]])
-        self.rows = np.zeros(_SLOTS, np.int32)
-        self.rows[slot[first]] = np.arange(2, len(self.tags))
-
-    def __len__(self) -> int:
-        return len(self.tags)
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        row = self.rows[(hashes & np.uint64(_SLOTS - 1)).astype(np.int64)]
-        return np.where(self.tags[row] == hashes, row, _RARE)
+def _rows(tokens: np.ndarray) -> np.ndarray:
+    """Rows of the embedding that each token is the sum of: the word's, its beginning's and its end's."""
+    edge = np.uint64((1 << _EDGES) - 1)
+    parts = tokens >> np.uint64(2 * _EDGES), (tokens >> np.uint64(_EDGES) & edge) + np.uint64(1 << _WORDS), (tokens & edge) + np.uint64((1 << _WORDS) + (1 << _EDGES))
+    return np.stack(parts, axis=1).astype(np.int64)
 
 
 _NAMES = list(FUNCTION_WORDS)
@@ -71,48 +63,48 @@ _VOTES /= np.maximum(_VOTES.sum(1, keepdims=True), 1)
 
 @dataclass
 class Network:
-    """Trained weights; ``taps()[w][j]`` is what each word adds at place j to filters of width w."""
+    """Trained weights; a word's embedding is the sum of three rows of ``embedding``."""
 
     embedding: np.ndarray
     filters: dict[int, np.ndarray]
     bias: dict[int, np.ndarray]
     out: np.ndarray
     out_bias: float
-    words: Vocabulary
     thresholds: np.ndarray
 
-    def taps(self) -> dict[int, list[np.ndarray]]:
-        return {w: [self.embedding @ f[j] for j in range(w)] for w, f in self.filters.items()}
+    def vectors(self, tokens: np.ndarray) -> np.ndarray:
+        return self.embedding[_rows(tokens)].sum(1)
 
 
-def _pooled(ids: np.ndarray, offsets: np.ndarray, taps: dict[int, list[np.ndarray]], bias: dict[int, np.ndarray], where: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Each text's largest response of each filter, at least 0; and, if asked for, where it is."""
+def _pooled(net: Network, x: np.ndarray, which: np.ndarray, offsets: np.ndarray, where: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each text's largest response of each filter, at least 0; and, if asked for, where it is.
+
+    The texts' words are ``x[which]``. What a filter adds beyond a text's last word is nothing.
+    """
     n = len(offsets) - 1
     parts, places = [], []
     full = np.flatnonzero(np.diff(offsets) > 0)
     owner = np.repeat(np.arange(n), np.diff(offsets))
-    for w, tap in taps.items():
-        response = tap[0][ids]
-        for j in range(1, w):
-            moved = np.full(len(ids), _PAD)
-            moved[:-j] = ids[j:]
-            inside = np.zeros(len(ids), bool)
-            inside[:-j] = owner[:-j] == owner[j:]
-            response = response + tap[j][np.where(inside, moved, _PAD)]
+    for w, f in net.filters.items():
+        response = (x @ f[0])[which]
+        for j in range(1, min(w, len(which))):
+            inside = owner[:-j] == owner[j:]
+            response[:-j] += (x @ f[j])[which[j:]] * inside[:, None]
         top = np.zeros((n, response.shape[1]), np.float32)
         if len(full):
             top[full] = np.maximum.reduceat(response, offsets[:-1][full])
         if where:
-            at, f = np.nonzero(response == top[owner])
+            at, k = np.nonzero(response == top[owner])
             place = np.full(top.shape, -1)
-            place[owner[at][::-1], f[::-1]] = at[::-1]
+            place[owner[at][::-1], k[::-1]] = at[::-1]
             places.append(place)
-        parts.append(np.maximum(top + bias[w], 0))
+        parts.append(np.maximum(top + net.bias[w], 0))
     return np.concatenate(parts, axis=1), places
 
 
-def _logit(net: Network, taps: dict[int, list[np.ndarray]], ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return _pooled(ids, offsets, taps, net.bias)[0] @ net.out + net.out_bias
+def _logit(net: Network, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    one, which = np.unique(tokens, return_inverse=True)
+    return _pooled(net, net.vectors(one), which, offsets)[0] @ net.out + net.out_bias
 
 
 class _Adam:
@@ -130,88 +122,109 @@ class _Adam:
         self.value[rows] -= scale * self.m[rows] / (np.sqrt(self.v[rows]) + 1e-8)
 
 
-def _frequent(texts: list[str], least: int) -> np.ndarray:
-    """Hashes of the words in at least ``least`` texts, the most frequent first."""
-    names, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for i in range(0, len(texts), 500):
-        read = Words(pa.array(texts[i : i + 500], pa.string()))
-        own = [np.unique(read.hashes[a:z]) for a, z in zip(read.offsets[:-1], read.offsets[1:])]
-        new, count = np.unique(np.concatenate(own), return_counts=True)
-        both, which = np.unique(np.concatenate([names, new]), return_inverse=True)
-        names, seen = both, np.bincount(which, np.concatenate([seen, count]), minlength=len(both)).astype(np.int64)
-    return names[seen >= least][np.argsort(-seen[seen >= least], kind="stable")]
+def _log_odds(rows: list[np.ndarray], y: np.ndarray, size: int, least: int) -> np.ndarray:
+    """How much oftener texts with label 1 hold each slot, as a logarithm; 0 for slots in fewer than ``least`` texts."""
+    seen = np.zeros((2, size), np.int64)
+    for own, label in zip(rows, y.astype(int).tolist()):
+        seen[label, np.unique(own)] += 1
+    n = np.bincount(y.astype(int), minlength=2)
+    odds = np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
+    return np.where(seen.sum(0) >= least, odds, 0.0)
 
 
-def train(texts: list[str], labels: list[int], widths: tuple[int, ...] = (1, 2, 3), filters: int = 8, size: int = 8, epochs: int = 8, least: int = 4, seed: int = 7, totals: tuple[int, int] | None = None) -> Network:
+def encode(rows: DataFrame) -> DataFrame:
+    """(text, y, order) -> y, order, language and tokens (8 bytes a word): what leaves a task for learning instead of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                tokens, offsets, language = _tokens(part.column("text"))
+                lists = [tokens[a:z].tobytes() for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("y"), part.column("order"), pa.array(language), pa.array(lists, pa.binary())], ["y", "order", "language", "tokens"])
+
+    source = rows.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("y").cast("int").alias("y"), F.col("order").cast("long").alias("order"))
+    return source.mapInArrow(run, "y int, order long, language long, tokens binary")
+
+
+def train(rows: DataFrame, totals: tuple[int, int] | None = None, **options: object) -> Network:
+    """Learn from ``rows`` (text, y, order), a bounded sample of labelled rows (see :func:`docloom.llm.labelled.sample`).
+
+    Words are hashed in tasks; the driver gets 8 bytes for each. ``totals`` counts the labels 0 and 1 in all that the
+    rows are a sample of (default: the rows themselves). ``options`` are those of :func:`learn`.
+    """
+    own = sorted(encode(rows.filter("y in (0, 1)")).collect(), key=lambda r: (r["order"], r["tokens"]))
+    words = [np.frombuffer(bytes(r["tokens"]), np.uint64) for r in own]
+    return learn(words, np.asarray([r["y"] for r in own], np.float32), np.asarray([r["language"] for r in own], np.int64), totals, **options)
+
+
+def learn(words: list[np.ndarray], y: np.ndarray, language: np.ndarray, totals: tuple[int, int] | None = None, widths: tuple[int, ...] = (1, 2, 3), filters: int = 8, size: int = 8, epochs: int = 4, least: int = 4, seed: int = 7) -> Network:
     """Fit by Adam on the logistic loss; a fifth of the rows only calibrates the thresholds.
 
-    Words in fewer than ``least`` texts of the sample are not learned from. ``totals`` counts the labels 0 and 1 in all
-    that the texts are a sample of (default: the texts themselves).
+    An embedding's first number begins as the slot's log-odds in the rows fitted to, the others at random; slots that the
+    rows don't hold stay 0.
     """
     rng = np.random.default_rng(seed)
-    y = np.asarray(labels, np.float32)
-    words = Vocabulary(_frequent(texts, least))
-    parts = [_tokens(pa.array(texts[i : i + 500], pa.string())) for i in range(0, max(len(texts), 1), 500)]
-    ids = np.concatenate([words(p[0]).astype(np.int32) for p in parts])
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
-    language = np.concatenate([p[2] for p in parts])
-    del parts
+    slots = (1 << _WORDS) + (2 << _EDGES)
+    order = rng.permutation(len(y))
+    held, fit = order[: len(order) // 5], order[len(order) // 5 :]
     net = Network(
-        rng.normal(0, 0.1, (len(words), size)).astype(np.float32),
-        {w: rng.normal(0, 0.5 / np.sqrt(w), (w, size, filters)).astype(np.float32) for w in widths},
+        np.zeros((slots, size), np.float32),
+        {w: rng.normal(0, 0.3 / np.sqrt(w), (w, size, filters)).astype(np.float32) for w in widths},
         {w: np.zeros(filters, np.float32) for w in widths},
-        rng.normal(0, 0.3, filters * len(widths)).astype(np.float32),
+        np.abs(rng.normal(0, 0.3, filters * len(widths))).astype(np.float32),
         -1.0,
-        words,
         np.zeros(len(_NAMES), np.float32),
     )
-    net.embedding[[_RARE, _PAD]] = 0
-    order = rng.permutation(len(texts))
-    held, fit = order[: len(order) // 5], order[len(order) // 5 :]
     if len(set(y[fit].tolist())) < 2:
         net.out[:], net.out_bias = 0, 4.0 if len(y) and y.mean() > 0.5 else -4.0
         return net
+    rows = [_rows(w) for w in words]
+    known = np.unique(np.concatenate([rows[i].ravel() for i in fit]))
+    net.embedding[known] = rng.normal(0, 0.02, (len(known), size))
+    net.embedding[:, 0] += _log_odds([rows[i].ravel() for i in fit], y[fit], slots, least) / 4
+    for f in net.filters.values():
+        f[:, 0] = np.abs(f[:, 0])  # to begin with, filters answer to words of the label
     base = np.asarray([net.out_bias], np.float32)
-    embedding, bias, out = _Adam(net.embedding, 0.02), {w: _Adam(net.bias[w], 0.02) for w in widths}, _Adam(net.out, 0.02)
+    embedding, bias, out = _Adam(net.embedding, 0.005), {w: _Adam(net.bias[w], 0.02) for w in widths}, _Adam(net.out, 0.02)
     shape, floor = {w: _Adam(net.filters[w], 0.02) for w in widths}, _Adam(base, 0.02)
     size_of_batch = max(16, min(128, len(fit) // 16))
-    for _ in range(max(epochs, 500 * size_of_batch // len(fit))):  # a small sample is passed more often
+    for _ in range(max(epochs, 300 * size_of_batch // len(fit))):  # a small sample is passed more often
         rng.shuffle(fit)
         for batch in np.array_split(fit, max(1, len(fit) // size_of_batch)):
-            sub = np.concatenate([ids[offsets[i] : offsets[i + 1]] for i in batch])
-            sub = np.where(rng.random(len(sub)) < 0.1, _RARE, sub)  # some words are hidden, so that no text is learned by heart
-            at = np.concatenate([[0], np.cumsum(np.diff(offsets)[batch])])
-            taps = net.taps()
-            pooled, places = _pooled(sub, at, taps, net.bias, where=True)
+            sub = np.concatenate([rows[i] for i in batch])
+            at = np.concatenate([[0], np.cumsum([len(rows[i]) for i in batch])])
+            shown = (rng.random(len(sub)) >= 0.1).astype(np.float32)  # some words are hidden, so that no text is learned by heart
+            x = net.embedding[sub].sum(1) * shown[:, None]
+            pooled, places = _pooled(net, x, np.arange(len(x)), at, where=True)
             p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + base[0], -30, 30)))
             g = ((p - y[batch]) / len(batch)).astype(np.float32)
             d_pool = g[:, None] * net.out * (pooled > 0)
             touched, grads = [], []
             for k, (w, place) in enumerate(zip(widths, places)):
                 own = d_pool[:, k * filters : (k + 1) * filters]
-                rows, f = np.nonzero((place >= 0) & (own != 0))
-                spot, grad = place[rows, f], own[rows, f]
+                text, f = np.nonzero((place >= 0) & (own != 0))
+                spot, grad = place[text, f], own[text, f]
                 d_filter = np.zeros_like(net.filters[w])
                 for j in range(w):
-                    ok = spot + j < at[rows + 1]
-                    word = sub[spot[ok] + j]
-                    np.add.at(d_filter, (j, slice(None), f[ok]), grad[ok, None] * net.embedding[word])
+                    ok = spot + j < at[text + 1]
+                    word = spot[ok] + j
+                    np.add.at(d_filter, (j, slice(None), f[ok]), grad[ok, None] * x[word])
                     touched.append(word)
-                    grads.append(grad[ok, None] * net.filters[w][j][:, f[ok]].T)
+                    grads.append(grad[ok, None] * net.filters[w][j][:, f[ok]].T * shown[word, None])
                 shape[w].step(d_filter)
                 bias[w].step(own.sum(0))
             out.step(pooled.T @ g + 1e-4 * net.out)
             floor.step(g.sum(keepdims=True))
-            rows, which = np.unique(np.concatenate(touched), return_inverse=True)
-            total = np.zeros((len(rows), size), np.float32)
-            np.add.at(total, which, np.concatenate(grads))
-            embedding.step((total + 1e-5 * net.embedding[rows])[rows > _PAD], rows[rows > _PAD])
+            touched_rows, which = np.unique(sub[np.concatenate(touched)].ravel(), return_inverse=True)
+            total = np.zeros((len(touched_rows), size), np.float32)
+            np.add.at(total, which.ravel(), np.repeat(np.concatenate(grads), 3, axis=0))
+            embedding.step(total + 1e-5 * net.embedding[touched_rows], touched_rows)
     odds = _odds(y, totals)
     net.out_bias = float(base[0] + np.log(odds))
     z = np.zeros(len(held), np.float32)
     for a in range(0, len(held), 256):
         own = held[a : a + 256]
-        z[a : a + 256] = _logit(net, net.taps(), np.concatenate([ids[offsets[i] : offsets[i + 1]] for i in own]), np.concatenate([[0], np.cumsum(np.diff(offsets)[own])]))
+        z[a : a + 256] = _logit(net, np.concatenate([words[i] for i in own]), np.concatenate([[0], np.cumsum([len(words[i]) for i in own])]))
     common = _threshold(z, y[held], odds)
     for k in range(len(_NAMES)):
         own = language[held] == k
@@ -243,26 +256,25 @@ def _threshold(z: np.ndarray, y: np.ndarray, odds: float = 1.0) -> float:
     return float((z[order][k] + z[order][min(k + 1, len(z) - 1)]) / 2)
 
 
-def scores(net: Network, texts: pa.Array, taps: dict[int, list[np.ndarray]]) -> np.ndarray:
+def scores(net: Network, texts: pa.Array) -> np.ndarray:
     """Calibrated scores; an empty text's is that of no response."""
-    hashes, offsets, language = _tokens(texts)
-    z = _logit(net, taps, net.words(hashes), offsets)
-    shifted = z - net.thresholds[language] + np.log(DECISION / (1 - DECISION))
+    tokens, offsets, language = _tokens(texts)
+    shifted = _logit(net, tokens, offsets) - net.thresholds[language] + np.log(DECISION / (1 - DECISION))
     return 1 / (1 + np.exp(-np.clip(shifted.astype(np.float64), -30, 30)))
 
 
 def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: more likely toxic) and ``predicted`` (1 from 0.7 on).
 
-    Null texts score as empty ones. Whole texts are read. Columns named score or predicted are replaced.
+    Null texts score as empty ones. Whole texts are read, of any length. An empty table gives none; repeated rows get the
+    same score each. Columns named score or predicted are replaced.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taps = net.taps()
         for batch in batches:
             for part in slices(batch, "__text", 1 << 20):
-                found = scores(net, part.column("__text"), taps)
+                found = scores(net, part.column("__text"))
                 columns = [part.column(c) for c in part.schema.names if c != "__text"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found)], [*[c for c in part.schema.names if c != "__text"], "score"])
 

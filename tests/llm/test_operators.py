@@ -198,8 +198,8 @@ def test_balanced_costs():
     assert (total == 2048).all() and sum(n for _, _, n in left) == int(lengths.sum()) % 2048
 
 
-def labelled(spark, name, label):
-    return queries.QUERIES[name](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").select("predicted", F.col(label).alias("y")).collect()
+def labelled(spark, name, label, sf=SF):
+    return queries.QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").select("predicted", F.col(label).alias("y")).collect()
 
 
 def test_quality_held_out(spark):
@@ -208,6 +208,16 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_held_out(spark):
+    rows = labelled(spark, "op6_toxicity", "toxic", "/root/testdata/sf0.1")
+    hits = sum(r["predicted"] == r["y"] == 1 for r in rows)
+    assert hits >= 0.8 * sum(r["y"] for r in rows) and hits >= 0.8 * sum(r["predicted"] for r in rows)
+
+
+def sample(spark, texts, labels):
+    return spark.createDataFrame([(t, y, i) for i, (t, y) in enumerate(zip(texts, labels))], "text string, y int, order long").repartition(3)
+
+
+def test_toxic_words(spark):
     rng = random.Random(4)
     plain = [f"w{i}" for i in range(300)]
     texts, labels = [], []
@@ -217,12 +227,46 @@ def test_toxicity_held_out(spark):
             w[rng.randrange(len(w))] = rng.choice(["bad", "worse", "worst"])
         texts.append(" ".join(w))
         labels.append(y)
-    net = toxicity.train(texts[:1000], labels[:1000])
+    net = toxicity.train(sample(spark, texts[:1000], labels[:1000]))
     rows = spark.createDataFrame(list(zip(texts[1000:], labels[1000:])) + [(None, 0), ("", 0)], "text string, y int")
     got = toxicity.score(rows, net).collect()
     assert sum(r["predicted"] == r["y"] for r in got) >= 0.97 * len(got) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_long_texts_are_learned_from(spark):
+    docs = [(i, ("fine words here " if i % 2 else "words and words ") * 4, "s") for i in range(200)]
+    docs += [(i, "plain talk " * 100_000 + ("vile" if i % 2 else "nice"), "s") for i in range(200, 206)] + [(0, "again", "s"), (None, "x", "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(206)] + [(None, 1), (7, None)], "doc_id long, y int")
+    rows = queries.labelled.sample(spark.createDataFrame(docs, "doc_id long, text string, source string"), labels, "doc_id", "text", "y", 500)
+    assert rows.count() == 206 and rows.agg(F.max(F.length("text"))).first()[0] > 1_000_000
+    assert queries.labelled.sample(spark.createDataFrame(docs, "doc_id long, text string, source string"), labels, "doc_id", "text", "y", 10).count() == 20
+    words = {r["order"]: len(r["tokens"]) // 8 for r in toxicity.encode(rows).collect()}
+    assert sorted(words.values())[-6:] == [200_001] * 6
+    assert toxicity.score(rows, toxicity.train(rows, epochs=1)).count() == 206 and quality.score(rows, quality.train(rows)).count() == 206
+
+
+def test_pieces_spread_over_the_text():
+    text = bytes(range(256)) * 4000
+    found = quality.pieces(text)
+    assert len(found) == quality._PIECES and all(p in text for p in found)
+    places = [text.index(p) for p in quality.pieces(random.Random(1).randbytes(200_000) and text)]
+    assert len(places) == len(found)
+    noise = random.Random(1).randbytes(200_000)
+    assert max(noise.index(p) for p in quality.pieces(noise)) > 100_000 and b"".join(quality.pieces(noise[:1000])) == noise[:1000]
+
+
+@pytest.mark.parametrize(("module", "seed"), [(quality, 1), (toxicity, 2)])
+def test_scores_of_odd_rows(spark, module, seed):
+    model = module.train(sample(spark, [f"good words {i} " * 5 for i in range(40)] + [f"bad terms {i} " * 5 for i in range(40)], [1] * 40 + [0] * 40))
+    rows = [(1, "good words", 5, "p"), (1, "good words", 5, "p"), (2, None, None, None), (None, "", 1, "q"), (3, "x" * 2_000_000, 1, "r"), (4, "bad terms " * 100_000, 1, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int, predicted string").repartition(2)
+    out = module.score(docs, model)
+    got = sorted(((r["doc_id"], r["score"], r["predicted"]) for r in out.collect()), key=str)
+    assert len(got) == len(rows) and got[0] == got[1] and all(0 <= s <= 1 and p in (0, 1) for _, s, p in got)
+    assert sorted(out.columns) == ["doc_id", "predicted", "score"] + ["text"] * ("text" in out.columns)
+    assert module.score(docs.limit(0), model).count() == 0
+
+
 def test_calibration_by_true_shares(spark):
     rows = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(200)] + [(None, 1), (500, None)], "doc_id long, y int")
     assert queries.labelled.totals(rows, "doc_id", "y") == (180, 20)
@@ -230,28 +274,28 @@ def test_calibration_by_true_shares(spark):
     word = lambda y: rng.choice("a b c d e f".split()) if rng.random() < 0.6 else rng.choice(("g h i", "x y z")[y].split())
     make = lambda y: " ".join(word(y) for _ in range(3))
     labels = [i % 2 for i in range(2000)]
-    texts = [make(y) for y in labels]
+    learned = sample(spark, [make(y) for y in labels], labels)
     fresh = pa.array([make(int(i % 10 == 0)) for i in range(2000)])  # a tenth has label 1, half of the sample
-    net = toxicity.train(texts, labels, totals=(1800, 200))
-    even = toxicity.train(texts, labels)
-    assert toxicity.scores(net, fresh, net.taps()).mean() < toxicity.scores(even, fresh, even.taps()).mean()
+    assert toxicity.scores(toxicity.train(learned, (1800, 200)), fresh).mean() < toxicity.scores(toxicity.train(learned), fresh).mean()
     assert toxicity._threshold(np.asarray([3.0, 2, 1, 0] * 20), np.asarray([1, 0, 1, 0] * 20), 0.1) == 2.5
-    model = quality.train(texts, labels, totals=(1800, 200))
-    sizes = quality._Sizes(model.good, model.bad)([t.encode() for t in fresh.to_pylist()])
-    assert abs((1 / (1 + np.exp(-sizes @ model.weights))).mean() - 0.1) < 0.04
+    model = quality.train(learned, (1800, 200))
+    x = quality.features(quality._Sizes(model.good, model.bad)([t.encode() for t in fresh.to_pylist()]))
+    assert abs((1 / (1 + np.exp(-x @ model.weights))).mean() - 0.1) < 0.04
 
 
 @pytest.mark.parametrize("labels", [[], [1], [0, 0, 0]])
 def test_learning_from_one_label(spark, labels):
     texts = ["some text here"] * len(labels)
     rows = spark.createDataFrame([("a",), (None,)], "text string")
-    assert quality.score(rows, quality.train(texts, labels)).count() == 2
-    assert toxicity.score(rows, toxicity.train(texts, labels)).count() == 2
+    assert quality.score(rows, quality.train(sample(spark, texts, labels))).count() == 2
+    assert toxicity.score(rows, toxicity.train(sample(spark, texts, labels))).count() == 2
 
 
-def test_viterbi(monkeypatch):
+@pytest.mark.parametrize("few", [8, 1])
+def test_viterbi(monkeypatch, few):
     rng = np.random.default_rng(0)
     monkeypatch.setattr(language, "_BLOCK", 4)
+    monkeypatch.setattr(language, "_FEW", few)
     for _ in range(200):
         k, sizes = rng.integers(2, 4), rng.integers(0, 8, 3)
         offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -274,6 +318,19 @@ def test_language_spans(spark):
     assert {r["lang_pred"] for r in language.detect(rows, nothing).collect()} == {"und"}
 
 
+def test_many_languages(spark):
+    rng = random.Random(6)
+    names = [f"l{i:03d}" for i in range(200)]
+    own = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for _ in names]
+    known = spark.createDataFrame([(" ".join(w * 3), n) for n, w in zip(names, own)], "text string, lang string")
+    model = language.train(known, least=2)
+    assert model.names == names
+    rows = spark.createDataFrame([(i, " ".join(w[:6]), "a", 1.0, "b") for i, w in enumerate(own)] + [(0, " ".join(own[0][:6]), "a", 1.0, "b"), (None, " ".join(own[5] * 20_000), "a", 1.0, "b")], "doc_id long, text string, lang_pred string, score double, spans string").repartition(2)
+    got = [(r["doc_id"], r["lang_pred"]) for r in language.detect(rows, model, spans=False).collect()]
+    assert sorted(got, key=str) == sorted([*enumerate(names), (0, "l000"), (None, "l005")], key=str)
+    assert language.detect(rows.limit(0), model).count() == 0
+
+
 def test_language_held_out(spark):
     rows = queries.QUERIES["op8_language"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.97 * len(rows)
