@@ -25,6 +25,8 @@ _WORD_SLOTS = 1 << 16
 _RUN_SLOTS = 1 << 15
 _SWITCH = 6.0
 _BLOCK = 512
+_FEW = 8  # languages up to which texts are cut into blocks
+_WORD, _RUN, _SCRIPT = range(3)  # kinds of counts
 #: First code point after each script's range, in order; fixed values of the Unicode blocks.
 SCRIPTS = (("latin", 0x0370), ("greek", 0x0400), ("cyrillic", 0x0530), ("armenian", 0x0590), ("hebrew", 0x0600), ("arabic", 0x0900), ("indic", 0x0E00), ("thai", 0x0E80), ("other", 0x1100), ("hangul", 0x1200), ("other", 0x1E00), ("latin", 0x1F00), ("greek", 0x2000), ("other", 0x3040), ("kana", 0x3400), ("han", 0xA000), ("other", 0xAC00), ("hangul", 0xD7B0), ("other", 0x110000))
 _SCRIPT_NAMES = sorted({name for name, _ in SCRIPTS})
@@ -104,43 +106,47 @@ class Model:
     allowed: np.ndarray
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 20, most: int = 64) -> Model:
-    """Count over all rows of ``docs`` with text and language.
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 20) -> Model:
+    """Count over all rows of ``docs`` with text and language; every language is learned.
 
-    The ``most`` languages with most rows are learned. What reaches the driver is of fixed size: counts by slot, script
-    and language.
+    What reaches the driver does not grow with the corpus but with the number of languages: counts by slot, script and
+    language, of which those above 0 are sent.
     """
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    names = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect())
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+
+    sizes = {_WORD: _WORD_SLOTS, _RUN: _RUN_SLOTS, _SCRIPT: len(_SCRIPT_NAMES)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = {"w": _WORD_SLOTS, "r": _RUN_SLOTS, "s": len(_SCRIPT_NAMES)}
-        totals = {k: np.zeros((len(names), n), np.int64) for k, n in sizes.items()}
+        totals = {k: np.zeros(len(names) * n, np.int64) for k, n in sizes.items()}
         number = {name: i for i, name in enumerate(names)}
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 read = Read(part.column("text"))
-                of = np.asarray([number.get(x, -1) for x in part.column("lang").to_pylist()])
+                of = np.asarray([number[x] for x in part.column("lang").to_pylist()], np.int64)
                 owner = np.repeat(of, np.diff(read.offsets))
-                runs, upto = read.runs()
+                runs, _ = read.runs()
                 run_owner = np.repeat(owner, read.ends - read.starts)
-                for kind, slots, whose in (("w", read.slot, owner), ("s", read.script, owner), ("r", runs, run_owner)):
-                    ok = whose >= 0
-                    totals[kind] += np.bincount(whose[ok] * sizes[kind] + slots[ok], minlength=totals[kind].size).reshape(totals[kind].shape)
+                for kind, slots, whose in ((_WORD, read.slot, owner), (_SCRIPT, read.script, owner), (_RUN, runs, run_owner)):
+                    at = whose * sizes[kind] + slots
+                    if totals[kind].size <= 1 << 20:
+                        totals[kind] += np.bincount(at, minlength=totals[kind].size)
+                    else:  # many languages: only what occurs is touched
+                        at, n = np.unique(at, return_counts=True)
+                        totals[kind][at] += n
         for kind, total in totals.items():
-            which, slot = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(slot)), pa.array(which), pa.array(slot), pa.array(total[which, slot])], ["kind", "which", "slot", "n"])
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int8)), pa.array((at // sizes[kind]).astype(np.int32)), pa.array((at % sizes[kind]).astype(np.int32)), pa.array(total[at])], ["kind", "which", "slot", "n"])
 
-    found = rows.mapInArrow(count, "kind string, which long, slot long, n long").groupBy("kind", "which", "slot").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.mapInArrow(count, "kind tinyint, which int, slot int, n long").groupBy("kind", "which", "slot").agg(F.sum("n").alias("n")).toPandas()
     tables = {}
-    for kind, size in (("w", _WORD_SLOTS), ("r", _RUN_SLOTS), ("s", len(_SCRIPT_NAMES))):
+    for kind, size in sizes.items():
         own = found[found["kind"] == kind]
-        tables[kind] = np.zeros((size, max(len(names), 1)))
-        tables[kind][own["slot"].to_numpy(int), own["which"].to_numpy(int)] = own["n"].to_numpy(float)
+        tables[kind] = np.zeros((size, max(len(names), 1)), np.float32)
+        tables[kind][own["slot"].to_numpy(int), own["which"].to_numpy(int)] = own["n"].to_numpy(np.float32)
     share = lambda t: np.log((t + 0.5) / (t.sum(0) + 0.5 * len(t)))
-    script = tables["s"] / np.maximum(tables["s"].sum(0), 1)
-    allowed = script >= 0.001
-    return Model(names, share(tables["w"]).astype(np.float32), tables["w"].sum(1) >= least, share(tables["r"]).astype(np.float32), allowed)
+    script = tables[_SCRIPT] / np.maximum(tables[_SCRIPT].sum(0), 1)
+    return Model(names, share(tables[_WORD]).astype(np.float32), tables[_WORD].sum(1) >= least, share(tables[_RUN]).astype(np.float32), script >= 0.001)
 
 
 def _word_scores(model: Model, read: Read) -> np.ndarray:
@@ -159,8 +165,9 @@ def _word_scores(model: Model, read: Read) -> np.ndarray:
 def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = _SWITCH) -> np.ndarray:
     """Label of each word such that the sum of scores less ``penalty`` for each change within a text is largest.
 
-    Texts are cut into blocks that are solved for every label before them at once, so that one long text takes no more
-    steps than its blocks' length and number. Ties keep the label, and then go to the first.
+    With few labels, texts are cut into blocks that are solved for every label before them at once, so that one long text
+    takes no more steps than its blocks' length and number. With many labels a text is one block, and what is kept of a
+    word grows with their number, not with its square. Ties keep the label, and then go to the first.
     """
     k = scores.shape[1]
     n = len(scores)
@@ -168,17 +175,22 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = _SWITCH) -
     if not n or k == 1:
         return labels
     counts = np.diff(offsets)
-    blocks = -(-counts // _BLOCK)
+    length = _BLOCK if k <= _FEW else max(int(counts.max()), 1)
+    blocks = -(-counts // length)
     text = np.repeat(np.arange(len(counts)), blocks)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    start = offsets[:-1][text] + nth * _BLOCK
-    size = np.minimum(counts[text] - nth * _BLOCK, _BLOCK)
+    start = offsets[:-1][text] + nth * length
+    size = np.minimum(counts[text] - nth * length, length)
     order = np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
-    best = np.full((len(start), k, k), -penalty)  # by the label before the block and the label now
-    best[:, np.arange(k), np.arange(k)] = 0
-    stay = np.zeros((int(size[0]), len(start), k, k), bool)
-    top = np.zeros((int(size[0]), len(start), k), np.int8)
+    before = k if k <= _FEW else 1  # labels before a block that are told apart
+    best = np.full((len(start), before, k), -penalty)  # by the label before the block and the label now
+    if before == k:
+        best[:, np.arange(k), np.arange(k)] = 0
+    else:
+        best[:] = 0  # no block stands before
+    stay = np.zeros((n, before, k), bool)  # of each word
+    top = np.zeros((n, before), np.int32)
     for t in range(int(size[0])):
         live = int(np.searchsorted(-size, -t, side="left"))
         now = best[:live]
@@ -186,7 +198,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = _SWITCH) -
             lead = now.argmax(2)
             peak = np.take_along_axis(now, lead[:, :, None], 2) - penalty
             keep = now >= peak
-            stay[t, :live], top[t, :live] = keep, lead
+            stay[start[:live] + t], top[start[:live] + t] = keep, lead
             now = np.where(keep, now, peak)
         best[:live] = now + scores[start[:live] + t][:, None, :]
     place = np.empty(len(order), np.int64)
@@ -210,13 +222,13 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = _SWITCH) -
         for b, came in zip(own[::-1], back[::-1]):
             out[b], into[b] = label, came[label]
             label = int(came[label])
-    now, rows = out.copy(), np.arange(len(order))
+    now = out.copy()
     for t in range(int(size[0]) - 1, -1, -1):
         live = int(np.searchsorted(-size, -t, side="left"))
         labels[start[:live] + t] = now[:live]
         if t:
-            keep = stay[t, rows[:live], into[:live], now[:live]]
-            now[:live] = np.where(keep, now[:live], top[t, rows[:live], into[:live]])
+            keep = stay[start[:live] + t, into[:live], now[:live]]
+            now[:live] = np.where(keep, now[:live], top[start[:live] + t, into[:live]])
     return labels
 
 
@@ -225,7 +237,7 @@ def detect(docs: DataFrame, model: Model, text: str = "text", spans: bool = True
 
     Span bounds are code points, end exclusive, and run from a span's first word to its last. Texts that are null or have
     no letter, and all texts if nothing was learned, get ``und``, 0 and no spans. Whole texts are read; repeated rows and
-    null keys are rows like others. Columns with these names are replaced.
+    null keys are rows like others, and an empty table gives none. Columns with these names are replaced.
     """
     names = ("lang_pred", "score", "spans")
     kept = [c for c in docs.columns if c not in names]
@@ -233,8 +245,9 @@ def detect(docs: DataFrame, model: Model, text: str = "text", spans: bool = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.asarray([*model.names, UNKNOWN], object)
+        most = min(1 << 20, max(1 << 15, (1 << 23) // len(known)))  # bytes at a time: a word has a score for each language
         for batch in batches:
-            for part in slices(batch, "__text", 1 << 20):
+            for part in slices(batch, "__text", most):
                 read = Read(part.column("__text"))
                 if not model.names:
                     read.offsets = read.offsets * 0
