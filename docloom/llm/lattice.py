@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import linking, scratch
+from docloom.llm import linking, scratch, skew
 from docloom.llm.words import mix
 
 COSINE = 0.95
@@ -89,11 +89,33 @@ def cells(vectors: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale
     return np.concatenate(out, axis=1)
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors in double precision, by rows of the most frequent length kept apart by the caller, and which rows count."""
-    lists = column.cast(pa.list_(pa.float64()))
-    rows = lists.to_pylist()
-    return rows, np.asarray([bool(r) and all(v is not None and np.isfinite(v) for v in r) and any(r) for r in rows], bool)
+class _Lists:
+    """A column of lists of doubles as one flat buffer; nulls within lists are NaN there."""
+
+    def __init__(self, column: pa.Array):
+        self.offsets = column.offsets.to_numpy().astype(np.int64)
+        values = column.values
+        self.flat = values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False) if len(values) else np.zeros(0)
+        self.lengths = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(self.offsets), 0)
+
+    def rows(self, at: np.ndarray, length: int) -> np.ndarray:
+        """The lists at ``at``, all of ``length``, as a matrix."""
+        return self.flat[self.offsets[at][:, None] + np.arange(length)]
+
+    def good(self) -> np.ndarray:
+        """Which lists are not empty, finite throughout and not all zero."""
+        ok = np.zeros(len(self.lengths), bool)
+        full = np.flatnonzero(self.lengths)
+        for d in np.unique(self.lengths[full]).tolist():
+            at = full[self.lengths[full] == d]
+            x = self.rows(at, d)
+            ok[at] = np.isfinite(x).all(1) & (x != 0).any(1)
+        return ok
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the squares
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def link_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", block: int = 512) -> DataFrame:
@@ -102,65 +124,62 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     Two vectors of equal length are linked if their cosine, in double precision, is at least 0.95. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing. ``component_id`` is the smallest key reachable
     by links, the own one included; ``kept`` tells whether it is the own one. Equal vectors are one thing with a weight
-    on the way, so repeated rows cost no pairs. Other columns are not read.
+    on the way, so repeated rows cost no pairs. An empty table gives none. Other columns are not read, so that none can
+    clash with the result's.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, good = _matrix(batch.column("v"))
-            n = len(rows)
+            lists = _Lists(batch.column("v"))
+            good = lists.good()
+            n = len(good)
             f1, f2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            buckets: list[list[int] | None] = [None] * n
-            sketch: list[bytes | None] = [None] * n
-            lengths = np.asarray([len(r) if g else 0 for r, g in zip(rows, good)])
-            for d in set(lengths[good].tolist()):
-                at = np.flatnonzero(lengths == d)
-                x = np.asarray([rows[i] for i in at], float)
-                bits = (x + 0.0).view(np.uint64)
+            width = TABLES * (1 + PROBES) ** 2
+            keys, signs = np.zeros((n, width), np.int64), np.zeros((n, LANES // 8), np.uint8)
+            for d in np.unique(lists.lengths[good]).tolist():
+                at = np.flatnonzero(good & (lists.lengths == d))
+                x = lists.rows(at, d)
+                bits = np.ascontiguousarray((x + 0.0).view(np.uint64).T)
                 a = b = np.full(len(at), d, np.uint64)
-                for c in range(d):
-                    a, b = mix(a + bits[:, c]) + np.uint64(1), mix(b ^ bits[:, c]) + np.uint64(7)
+                for c in bits:
+                    a, b = mix(a + c) + np.uint64(1), mix(b ^ c) + np.uint64(7)
                 f1[at], f2[at] = a.view(np.int64), b.view(np.int64)
-                big = np.abs(x).max(1, keepdims=True)
-                unit = x / big
-                unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-                keys = cells(unit).view(np.int64)
-                signs = np.packbits((unit @ np.random.default_rng(d).normal(0, 1, (d, LANES)) > 0).astype(np.uint8), axis=1)
-                for i, k, s in zip(at.tolist(), keys.tolist(), signs):
-                    buckets[i], sketch[i] = k, s.tobytes()
+                unit = _unit(x)
+                keys[at] = cells(unit).view(np.int64)
+                signs[at] = np.packbits((unit @ np.random.default_rng(d).normal(0, 1, (d, LANES)) > 0).astype(np.uint8), axis=1)
+            keys.sort(axis=1)
+            new = np.repeat(good[:, None], width, axis=1)
+            new[:, 1:] &= keys[:, 1:] != keys[:, :-1]  # cells that several probes lead to count once
+            buckets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new.sum(1))]), pa.int32()), pa.array(keys[new]))
+            sketch = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * (LANES // 8)).astype(np.int32)), pa.py_buffer(signs.tobytes())])
             names = ["k", "good", "f1", "f2", "buckets", "sketch", "v"]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(good), pa.array(f1), pa.array(f2), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), batch.column("v")], names)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(good), pa.array(f1), pa.array(f2), buckets, sketch, batch.column("v")], names)
 
     source = vectors.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{embedding}`").cast("array<double>").alias("v"))
     signed = scratch.table(source.mapInArrow(sign, "k long, good boolean, f1 long, f2 long, buckets array<long>, sketch binary, v array<double>"), "vectors")
     classes = signed.filter("good").groupBy("f1", "f2").agg(F.min("k").alias("first"), F.count("*").alias("copies"), F.any_value("buckets").alias("buckets"), F.any_value("sketch").alias("sketch"), F.any_value("v").alias("v"))
     classes = scratch.table(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    rows = classes.select(F.explode(F.array_distinct("buckets")).alias("bucket"), "id", "sketch")
+    rows = classes.select(F.explode("buckets").alias("bucket"), "id", "sketch")
     angle = np.arccos(COSINE) / np.pi
     agree = 1 - angle - 4.5 * np.sqrt(angle * (1 - angle) / LANES)  # of two sketches at the threshold, less 4.5 standard deviations
     near = linking.connected(linking.candidate_edges(rows, float(agree)))
-    members = classes.join(near, "id").select(F.col("root").alias("group"), "id", F.col("copies").alias("weight"), "v")
+    members = classes.join(near, "id").select(F.col("root").alias("group"), "id", "first", F.col("copies").alias("weight"), F.size("v").cast("long").alias("size"), "v")
     counts, edges = linking.verified(members, ["v"], _cosine, block)
-    roots = linking.connected(edges)
-    found = classes.select("id", "f1", "f2", "first", "copies").join(roots, "id", "left").join(counts, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    per_class = found.join(least, "root").select("f1", "f2", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = signed.filter("good").select("k", "f1", "f2").join(per_class, ["f1", "f2"]).select("k", "n_links", "component_id")
+    roots = linking.connected(edges).select("id.id", F.col("root").alias("r"))
+    found = classes.select("id", "f1", "f2", "first", "copies").join(roots, "id", "left").join(counts, "id", "left")
+    least = F.when(F.col("r").isNull(), F.col("first")).otherwise(F.col("r.first")).alias("component_id")
+    per_class = scratch.table(found.select("f1", "f2", "copies", least, (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "per-class")
+    linked = skew.joined_with_classes(signed.filter("good").select("k", "f1", "f2"), per_class, ["f1", "f2"], "copies").select("k", "n_links", "component_id")
     alone = signed.filter("not good").select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select(F.col("k").alias(key), "n_links", "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _cosine(table: pa.Table, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    lists = table.column("v").combine_chunks()
-    lengths = np.diff(lists.offsets.to_numpy())
-    rows = lists.to_pylist()
+    lists = _Lists(table.column("v").combine_chunks())
     out = np.zeros((len(p), len(q)), bool)
-    for d in set(lengths.tolist()):
-        a, b = np.flatnonzero(lengths[p] == d), np.flatnonzero(lengths[q] == d)
+    for d in np.unique(lists.lengths[p]).tolist():
+        a, b = np.flatnonzero(lists.lengths[p] == d), np.flatnonzero(lists.lengths[q] == d)
         if len(a) and len(b):
-            x, y = (np.asarray([rows[i] for i in side], float) for side in (p[a], q[b]))
-            x, y = (m / np.abs(m).max(1, keepdims=True) for m in (x, y))  # no overflow in the squares
-            x, y = (m / np.sqrt((m * m).sum(1, keepdims=True)) for m in (x, y))
-            out[np.ix_(a, b)] = x @ y.T >= COSINE
+            out[np.ix_(a, b)] = _unit(lists.rows(p[a], d)) @ _unit(lists.rows(q[b], d)).T >= COSINE
     return out

@@ -1,20 +1,26 @@
 """Personal data by gradient boosting over candidate spans, in SQL functions only.
 
-Fixed patterns give the base spans of four kinds; those always stay. Wider patterns propose further spans, which may
-overlap them. Format and context of each candidate are coded in a few small features. Over the whole corpus it is counted
-how often candidates of each feature combination fit a base pattern (a number of combinations that is bounded by the codes);
-boosted trees fitted to these counts smooth them, and for each kind the lowest score at which accepted candidates are
-precise enough becomes its threshold. Candidates from there on are added.
+Fixed patterns give the base spans of four kinds; those always stay. Wider generators propose further spans of each kind,
+which may overlap: addresses whose signs are spelled out or spaced, numbers with other separators, without a country's
+sign or of other lengths. Boosted trees then tell by format and context which proposals are personal data. What is
+learned is not the base patterns' form. Base spans are the known positives and all other proposals are unlabelled, some
+of them positive too; the features say what surrounds a span and how its digits or labels are grouped, and leave out all
+that sets base spans apart by definition (signs and separators). Over the whole corpus positives and proposals are counted
+for each combination of features, a number that the codes bound, and the trees are fitted to these counts.
+
+Their probability of being a known positive becomes one of being personal data by division through its mean over the
+known positives of the kind (which are a share of all positives, the same at all places). A kind's threshold is the
+lowest at which the proposals to be added are, by these probabilities, precise enough. Of accepted proposals that overlap
+each other the best stays, and none that overlaps a base span of its kind.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import scratch, spans
@@ -27,16 +33,29 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_AT, _DOT = r"(?: ?[(\[{<] ?(?i:at|@) ?[)\]}>] ?| @ ?|@ )", r"(?:\.| ?[(\[{<] ?(?i:dot|\.) ?[)\]}>] ?)"
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|[(\[{] ?(?i:at) ?[)\]}]) ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[{] ?(?i:dot) ?[)\]}]) ?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+ ?\. ?[0-9]{1,3}+ ?\. ?[0-9]{1,3}+ ?\. ?[0-9]{1,3}+(?![0-9.])",
-    "card": r"(?<![0-9])(?:[0-9]{16,19}+|[0-9]{4}(?:[ ./-][0-9]{4}){3})(?![0-9])",
-    "phone": r"(?<![0-9+])(?:00 ?|\+)?+[(]?[0-9]{1,4}+(?:[ ().-]{1,2}+[0-9]{2,5}+){2,5}+(?![0-9])",
+    "email": [
+        rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ (?i:at) [A-Za-z0-9-]++(?: (?i:dot) [A-Za-z0-9-]++)++",
+    ],
+    "ip": [
+        r"(?<![0-9.])[0-9]{1,3}+(?: \.|\. | \. )[0-9]{1,3}+ ?\. ?[0-9]{1,3}+ ?\. ?[0-9]{1,3}+(?![0-9.])",
+        r"(?<![0-9.])[0-9]{1,3}+(?: ?[(\[{] ?(?i:dot|\.) ?[)\]}] ?[0-9]{1,3}+){3}(?![0-9.])",
+    ],
+    "card": [
+        r"(?<![0-9])[0-9]{4}(?:[./_\u2013-]| - ?|- )[0-9]{4}(?:[./_\u2013-]| - ?|- )[0-9]{4}(?:[./_\u2013-]| - ?|- )[0-9]{4}(?![0-9])",
+        r"(?<![0-9])3[0-9]{3}[ ._-]?[0-9]{6}[ ._-]?[0-9]{5}(?![0-9])",
+    ],
+    "phone": [
+        r"(?<![0-9+])(?:00 ?)?+[(]?[0-9]{1,4}+(?:[ ().-]{1,2}+[0-9]{2,5}+){2,5}+(?![0-9])",
+        r"(?<![0-9+])[(]?0[0-9]{1,4}[)]?[ /.-]{1,2}[0-9](?:[ /.-]?[0-9]){4,10}(?![0-9])",
+    ],
 }
-_GATE = {"email": r"@|[(\[{] ?(?i:at) ?[)\]}]", "ip": None, "card": None, "phone": None}
-_HINT = {"email": r"(?i)(mail|contact)\W*$", "ip": r"(?i)(ip|addr\w*|host|server)\W*$", "card": r"(?i)(card|visa|credit|pay\w*)\W*$", "phone": r"(?i)(tel\w*|phone|call|fax|mobil\w*)\W*$"}
-#: Number of codes of each feature: digits, separators, before, after, hint, lead.
-CODES = {"digits": 8, "marks": 6, "before": 5, "after": 5, "hint": 2, "lead": 3}
+_HINT = {"email": r"mail|contact|write|reach|address", "ip": r"ip|addr\w*|host|server|client|node", "card": r"cards?|visa|credit|debit|pay\w*|mastercard", "phone": r"tel\w*|phone|call|fax|mobil\w*|cell|dial|whatsapp"}
+_OTHER = r"orders?|id|ids|no|nr|numbers?|invoice|version|v|isbn|ref\w*|sku|parts?|serial|item|case|ticket|build|page|section|date|since|year"
+#: Number of codes of each feature: how it is grouped, how long it is, whether its parts make sense, before, after, hint.
+CODES = {"groups": 6, "size": 8, "sound": 2, "before": 5, "after": 5, "hint": 4}
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -70,44 +89,55 @@ def _code(text: Column) -> Column:
     return F.when(text.rlike(r"^[0-9]"), 1).when(text.rlike(r"^\p{L}"), 2).when(text.rlike(r"^[\"'=:(\[<]"), 3).when((text == "") | text.rlike(r"^\s"), 0).otherwise(4)
 
 
-def features(kind: Column, m: Column) -> Column:
-    """Codes of a candidate's format and context, as a struct; none of them repeats what makes a base span valid."""
-    n = F.length(_digits(m["text"]))
-    hint = F.coalesce(*[F.when(kind == k, m["before"].rlike(p)) for k, p in _HINT.items()], F.lit(False))
-    t = m["text"]
+def features(kind: str, m: Column) -> Column:
+    """Codes of a candidate's format and context, as a struct; none tells base spans from other proposals by definition."""
+    t, digits = m["text"], _digits(m["text"])
+    n = F.length(digits)
+    words = F.regexp_replace(F.regexp_replace(t, r"(?i)[ (\[{<]+(?:at|@)[ )\]}>]+|@", "@"), r"(?i)[ (\[{<]+(?:dot|\.)[ )\]}>]+|\.", ".")
+    labels = F.split(F.substring_index(words, "@", -1), "[.]")
+    if kind == "email":
+        groups, size, sound = F.size(labels), F.lit(0), F.element_at(labels, -1).rlike("^[A-Za-z]{2,6}$")
+    else:
+        parts = F.filter(F.split(t, "[^0-9]+"), lambda x: x != "")
+        groups, size = F.size(parts), n
+        sound = {"ip": valid("ip", F.array_join(parts, ".")), "card": F.when(n.between(13, 19), luhn(digits)).otherwise(False), "phone": n.between(8, 15)}[kind]
+    hint = F.when(m["before"].rlike(rf"(?i)\b(?:{_HINT[kind]})(?:\W+\w+){{0,2}}\W*$"), 2).when(m["before"].rlike(rf"(?i)\b(?:{_OTHER})(?:\W+\w+)?\W*$"), 3).when(m["before"].rlike(r"[:=]\s*$"), 1)
     return F.struct(
-        F.when(n < 4, 0).when(n < 8, 1).when(n < 10, 2).when(n < 12, 3).when(n < 16, 4).when(n == 16, 5).when(n < 20, 6).otherwise(7).alias("digits"),
-        F.when(t.rlike("[()]"), 4).when(t.rlike(r"[ ].*[-.]|[-.].*[ ]"), 5).when(t.contains(" "), 1).when(t.contains("-"), 2).when(t.contains("."), 3).otherwise(0).alias("marks"),
+        F.least(groups, F.lit(CODES["groups"] - 1)).alias("groups"),
+        F.when(size < 4, 0).when(size < 8, 1).when(size < 10, 2).when(size < 12, 3).when(size < 16, 4).when(size == 16, 5).when(size < 20, 6).otherwise(7).alias("size"),
+        F.coalesce(sound, F.lit(False)).cast("int").alias("sound"),
         _code(F.right(m["before"], F.lit(1))).alias("before"),
-        _code(m["after"]).alias("after"),
-        hint.cast("int").alias("hint"),
-        F.when(t.rlike(r"^[3-6]"), 1).when(t.rlike(r"^[+0(]"), 2).otherwise(0).alias("lead"),
+        _code(F.left(m["after"], F.lit(1))).alias("after"),
+        F.coalesce(hint, F.lit(0)).alias("hint"),
     )
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without ``text`` and with ``__base`` (sorted by kind as listed, then start) and ``__more`` (other candidates)."""
+    """``docs`` without ``text``, with ``__base`` (sorted by kind as listed, then start), ``__known`` (kind and features of these) and ``__more`` (other proposals with features)."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    gate = {"email": t.rlike(_GATE["email"]), "ip": t.rlike(r"[0-9] ?\. ?[0-9]"), "card": t.rlike("[0-9][0-9 ./-]{14}"), "phone": t.rlike(r"[0-9][ ().-]{1,2}[0-9]{2}|\+[0-9]")}
-    raw = []
+    gate = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9](?:[ -]?[0-9]){15}"), "phone": t.rlike(r"\+[0-9]")}
+    wide_gate = {"email": t.rlike(r"(?i)[(\[{< ](?:at|@)[)\]}> ]|@ "), "ip": t.rlike(r"(?i)[0-9] ?[(\[{]? ?(?:\. |\.[)\]}]|dot)|[0-9] \."), "card": t.rlike("[0-9]{4}[ ./_\u2013-]{0,2}[0-9]{4}"), "phone": t.rlike(r"[0-9][ ().\/-]{1,2}[0-9]{2}")}
+    raw, names = [], []
     for k in KINDS:
-        for name, patterns in (("b", BASE), ("w", WIDE)):
-            found, gaps = spans.find(t, patterns[k], gate[k])
-            raw += [found.alias(f"__{name}_{k}"), gaps.alias(f"__g{name}_{k}")]
+        for name, patterns, when in (("b", [BASE[k]], gate[k]), ("w", WIDE[k], wide_gate[k])):
+            for i, pattern in enumerate(patterns):
+                found, gaps = spans.find(t, pattern, when)
+                names.append(f"{name}_{k}_{i}")
+                raw += [found.alias(f"__{names[-1]}"), gaps.alias(f"__g_{names[-1]}")]
     df = docs.select(*kept, *raw)
-    placed = [spans.placed(F.col(f"__{name}_{k}"), F.col(f"__g{name}_{k}")).alias(f"__{name}_{k}") for k in KINDS for name in "bw"]
-    df = df.select(*kept, *placed)
-    base = [F.filter(f"__b_{k}", _each(lambda m, k: valid(k, m["text"]), k)).alias(f"__b_{k}") for k in KINDS]
-    df = df.select(*kept, *base, *[f"__w_{k}" for k in KINDS])
+    df = df.select(*kept, *[spans.placed(F.col(f"__{n}"), F.col(f"__g_{n}")).alias(f"__{n}") for n in names])
+    base = [F.filter(f"__b_{k}_0", _each(lambda m, k: valid(k, m["text"]), k)).alias(f"__b_{k}_0") for k in KINDS]
+    df = df.select(*kept, *base, *[f"__{n}" for n in names if n.startswith("w")])
 
-    def more(k: str) -> Column:
+    def more(k: str, column: str) -> Column:
         whole = BASE[k].replace(r"(?:\G|(?<![A-Za-z0-9._%+-]))", "").replace("(?<![0-9])", "")
-        fits = lambda m: m["text"].rlike(f"^(?:{whole})$") & valid(k, m["text"])
-        return F.transform(f"__w_{k}", lambda m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), fits(m).alias("fits"), features(F.lit(k), m).alias("f")))
+        own = F.filter(column, lambda m: ~(m["text"].rlike(f"^(?:{whole})$") & valid(k, m["text"])))
+        return F.transform(own, lambda m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), features(k, m).alias("f")))
 
-    tagged = F.concat(*[F.transform(f"__b_{k}", _each(lambda m, k: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end")), k)) for k in KINDS])
-    return df.select(*kept, tagged.cast(_SPAN).alias("__base"), F.concat(*[more(k) for k in KINDS]).alias("__more"))
+    tagged = F.concat(*[F.transform(f"__b_{k}_0", _each(lambda m, k: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end")), k)) for k in KINDS])
+    known = F.concat(*[F.transform(f"__b_{k}_0", _each(lambda m, k: F.struct(F.lit(k).alias("kind"), features(k, m).alias("f")), k)) for k in KINDS])
+    return df.select(*kept, tagged.cast(_SPAN).alias("__base"), known.alias("__known"), F.concat(*[more(n[2:-2], f"__{n}") for n in names if n.startswith("w")]).alias("__more"))
 
 
 @dataclass
@@ -119,8 +149,8 @@ class Trees:
     thresholds: dict[str, float]
 
 
-def fit(cells: list[tuple[str, tuple[int, ...], int, int]], rounds: int = 25, rate: float = 0.4, precision: float = 0.95, least: int = 20) -> Trees:
-    """Fit to (kind, codes, candidates, those that fit a base pattern); ``least`` candidates must support a threshold."""
+def fit(cells: list[tuple[str, tuple[int, ...], int, int]], rounds: int = 40, rate: float = 0.4, precision: float = 0.9, least: int = 20) -> Trees:
+    """Fit to (kind, codes, base spans and other proposals, base spans); a kind of fewer than ``least`` base spans adds none."""
     rows = [((KINDS.index(k), *codes), n, hits) for k, codes, n, hits in cells]
     if not rows:
         return Trees(0.0, [], dict.fromkeys(KINDS, math.inf))
@@ -166,18 +196,21 @@ def fit(cells: list[tuple[str, tuple[int, ...], int, int]], rounds: int = 25, ra
                     scores[i] += value
             sides.append((f2, bound2, *values))
         trees.append((f, bound, *sides))
-    thresholds = {}
+    chance = [1 / (1 + math.exp(-s)) for s in scores]  # of being a known positive
+    thresholds = dict.fromkeys(KINDS, math.inf)
     for number, kind in enumerate(KINDS):
-        own: dict[float, list[int]] = defaultdict(lambda: [0, 0])
-        for (codes, n, hits), s in zip(rows, scores):
-            if codes[0] == number:
-                own[round(s, 6)][0] += n
-                own[round(s, 6)][1] += hits
-        thresholds[kind], seen, right = math.inf, 0, 0
-        for s in sorted(own, reverse=True):
-            seen, right = seen + own[s][0], right + own[s][1]
-            if seen >= least and right >= precision * seen and own[s][1] >= precision * own[s][0]:
-                thresholds[kind] = s - 1e-6
+        own = [i for i, (codes, _, _) in enumerate(rows) if codes[0] == number]
+        known = sum(rows[i][2] for i in own)
+        if known < least:
+            continue
+        share = sum(rows[i][2] * chance[i] for i in own) / known  # of all positives that are known
+        seen = right = 0.0
+        for i in sorted(own, key=lambda i: -scores[i]):
+            more, personal = rows[i][1] - rows[i][2], min(1.0, chance[i] / share)
+            seen, right = seen + more, right + more * personal
+            if personal < 0.5 or right < precision * seen:
+                break
+            thresholds[kind] = scores[i] - 1e-6
     return Trees(start, trees, thresholds)
 
 
@@ -193,9 +226,14 @@ def score(trees: Trees, kind: Column, f: Column) -> Column:
 
 
 def learn(scanned: DataFrame) -> Trees:
-    """Count all candidates by their codes and fit the trees to the counts; the counts' number is bounded by the codes."""
-    one = scanned.select(F.explode("__more").alias("m")).select("m.kind", "m.f.*", "m.fits")
-    cells = one.groupBy("kind", *CODES).agg(F.count("*").alias("n"), F.sum(F.col("fits").cast("int")).alias("hits")).orderBy("kind", *CODES).collect()
+    """Count base spans and other proposals by their codes and fit the trees to the counts, whose number the codes bound."""
+    base = F.transform("__known", lambda m, i: m.withField("start", F.col("__base")[i]["start"]).withField("end", F.col("__base")[i]["end"]))
+    rows = [scanned.select("__row", F.explode(c).alias("m")).select("__row", "m.kind", "m.start", "m.end", "m.f", F.lit(known).alias("known")) for c, known in ((base, 1), ("__more", 0))]
+    # a proposal that overlaps a base span of its kind is that span or part of it, and counts as neither
+    reach, following = spans.around(["__row", "kind"], ["start", "known"], F.col("known") == 1)
+    apart = (F.col("known") == 1) | ((F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(following, F.col("end")) >= F.col("end")))
+    all_rows = rows[0].unionByName(rows[1]).withColumn("apart", apart).filter("apart").select("kind", "f.*", "known")
+    cells = all_rows.groupBy("kind", *CODES).agg(F.count("*").alias("n"), F.sum("known").alias("hits")).orderBy("kind", *CODES).collect()
     return fit([(r["kind"], tuple(r[c] for c in CODES), r["n"], r["hits"]) for r in cells])
 
 
@@ -203,25 +241,37 @@ def find_pii(docs: DataFrame, text: str = "text", trees: Trees | None = None, ke
     """``docs`` (without ``text`` unless ``keep_text``) with ``base`` and ``spans`` (arrays of kind, start, end; by kind as listed, then start).
 
     ``spans`` holds all base spans and those added. Null texts have none. Repeated rows and null keys are rows like
-    others. Columns named base or spans are replaced.
+    others, and an empty table gives none. Columns named base or spans are replaced.
     """
     kept = [c for c in docs.columns if c not in ("base", "spans") and (keep_text or c != text)]
-    scanned = scratch.table(scan(docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")), "__text"), "pii")
+    scanned = scan(docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")), "__text")
+    scanned = scratch.table(scanned.withColumn("__row", F.monotonically_increasing_id()), "pii")
     trees = trees or learn(scanned)
-    enough = lambda m: score(trees, m["kind"], m["f"]) >= F.coalesce(*[F.when(m["kind"] == k, F.lit(v)) for k, v in trees.thresholds.items()], F.lit(math.inf))
-    bare = lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
-    df = scanned.withColumn("__more", F.transform(F.filter("__more", enough), bare).cast(_SPAN))
-    df = df.withColumn("__more", F.array_except("__more", "__base"))
-    clear = lambda m: ~F.exists("__base", lambda b: (b["kind"] == m["kind"]) & (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    df = df.withColumn("__more", F.filter("__more", clear))
-    both = F.concat("__base", "__more")
-    ordered = F.flatten(F.array(*[F.array_sort(F.filter(both, _each(lambda s, k: s["kind"] == k, k))) for k in KINDS]))
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col("__base").alias("base"), F.when(F.size("__more") > 0, ordered).otherwise(F.col("__base")).alias("spans"))
+    threshold = lambda m: F.coalesce(*[F.when(m["kind"] == k, F.lit(v)) for k, v in trees.thresholds.items()], F.lit(math.inf))
+    accepted = F.filter(F.transform("__more", lambda m: m.withField("score", score(trees, m["kind"], m["f"]) - threshold(m)).dropFields("f")), lambda m: m["score"] >= 0)
+    judged = scanned.withColumn("__more", accepted)
+    touched = judged.filter(F.size("__more") > 0)
+    base = touched.select("__row", F.explode("__base").alias("m")).select("__row", "m.*", F.lit(math.inf).alias("score"))
+    rows = touched.select("__row", F.explode("__more").alias("m")).select("__row", "m.*").unionByName(base)
+    # spans of a kind that overlap, directly or through others, stand together; the best stays unless there is a base span
+    order = Window.partitionBy("__row", "kind").orderBy("start", F.desc("score"), "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", (F.coalesce(reach, F.lit(0)) <= F.col("start")).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.row_number().over(Window.partitionBy("__row", "kind", "island").orderBy(F.desc("score"), "start", "end"))
+    added = rows.withColumn("place", best).filter((F.col("place") == 1) & (F.col("score") < math.inf))
+    added = added.groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("__added"))
+    plain = [F.col(f"`{c}`") for c in kept]
+    rank = lambda s: F.coalesce(*[F.when(s["kind"] == k, i) for i, k in enumerate(KINDS)])
+    keyed = F.transform(F.concat("__base", F.coalesce("__added", F.array().cast(_SPAN))), lambda s: F.struct(rank(s).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    # only rows with accepted proposals are shuffled
+    some = touched.join(added, "__row", "left").select(*plain, F.col("__base").alias("base"), ordered.cast(_SPAN).alias("spans"))
+    return some.unionByName(judged.filter(F.size("__more") <= 0).select(*plain, F.col("__base").alias("base"), F.col("__base").alias("spans")))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[private]") -> DataFrame:
     """``docs`` with every span in ``text`` replaced by ``mark``."""
-    found = find_pii(docs, text, keep_text=True)
+    name = {c: f"__c{i}" for i, c in enumerate(docs.columns)}  # so that no column clashes with the result's
+    found = find_pii(docs.toDF(*name.values()), name[text], keep_text=True)
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    whole = F.col(f"`{text}`").cast("string")
-    return found.withColumn(text, spans.cut_out(whole, by_start, mark)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return spans.cut_out(found.withColumn("spans", by_start), name[text], "spans", mark).select(*[F.col(n).alias(c) for c, n in name.items()])

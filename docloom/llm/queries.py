@@ -33,14 +33,14 @@ def _count(array: str, kind: str) -> Column:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(spans.listed(F.col("base")), 256)
-    return found.select("doc_id", *[_count("base", k) for k in pii.KINDS], digest.alias("base_sha256"), spans.listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[_count("base", k) for k in pii.KINDS], digest.alias("base_sha256"), spans.listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     digest = F.sha2(spans.listed(F.col("base")), 256)
     counts = [_count("base", k) for k in ("assign", "access", "hex")]
-    return found.select("doc_id", *counts, digest.alias("base_sha256"), spans.listed(F.col("spans")).alias("spans"), F.col("live").cast("long").alias("n_live"), F.col("copied").cast("long").alias("n_copied"))
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), spans.listed(F.col("spans")).alias("spans"), F.col("live").cast("long").alias("n_live"), F.col("copied").cast("long").alias("n_copied"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

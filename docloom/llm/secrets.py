@@ -2,8 +2,9 @@
 
 Fixed patterns give the base spans; those always stay. A wider pattern proposes other long tokens that mix letters and
 digits. All candidate values are hashed and aggregated over the corpus by distinct repositories and owners: a value that
-many owners have is a widely copied example, one that few have looks like a live credential. Proposed spans of the
-second sort are added; base spans are only told apart.
+several owners have, or one owner in more repositories than a credential is used in, is a widely copied example; any
+other is specific to its owner and looks live. Proposed spans of the second sort are added; base spans are only told
+apart.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import scratch, spans
+from docloom.llm import scratch, skew, spans
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -21,7 +22,8 @@ BASE = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16,}+", "hex": "[0-9a-f]{24,}+
 WIDE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
 _VALUE = r"""[A-Za-z0-9+/_.=-]+$"""
 _HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
-OWNERS = 2  # a value that more owners have is a copied example
+OWNERS = 2  # a value that more owners have is a copied example,
+REPOSITORIES = 50  # and so is one in more repositories, whoever owns them
 
 
 def _value(kind: str, text: Column) -> Column:
@@ -55,43 +57,53 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """value -> repositories and owners that have it, from rows (value, owner, repository); partly summed before each shuffle."""
-    repositories = candidates.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one"))
-    owners = repositories.groupBy("value", "owner").agg(F.count("*").alias("n"))
-    return owners.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("owner").alias("owners"))
+    """value -> repositories and owners that have it, uses, copied; from rows (value, owner, repository).
+
+    Equal rows are summed before each shuffle, so a value that most rows have is no burden to any task.
+    """
+    repositories = candidates.groupBy("value", "owner", "repository").agg(F.count("*").alias("uses"))
+    owners = repositories.groupBy("value", "owner").agg(F.count("*").alias("n"), F.sum("uses").alias("uses"))
+    counts = owners.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("owner").alias("owners"), F.sum("uses").alias("uses"))
+    return counts.withColumn("copied", (F.col("owners") > OWNERS) | (F.col("repositories") > REPOSITORIES))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", keep_text: bool = False) -> DataFrame:
     """``docs`` (without ``text`` unless ``keep_text``) with ``base``, ``spans``, ``live`` and ``copied``.
 
     ``base`` and ``spans`` are arrays of kind, start, end, by start, then kind; ``live`` and ``copied`` count the candidates
-    whose value few or many owners have. A null owner counts as none, so such values look live. Null texts have no
-    spans; repeated rows and null keys are rows like others. Columns with these names are replaced.
+    that look live and those whose value is widely copied. A null owner counts as none, and null repositories as one.
+    Null texts have no spans; repeated rows and null keys are rows like others, and an empty table gives none. Columns
+    with these names are replaced.
     """
     names = ["base", "spans", "live", "copied"]
     kept = [c for c in docs.columns if c not in names]
-    found = scan(docs.select(*kept), text)
+    found = scan(docs.select(*[F.col(f"`{c}`") for c in kept]), text)
     found = found if keep_text else found.drop(text)
     kept = [c for c in kept if keep_text or c != text]
     table = scratch.table(found.withColumn("__row", F.monotonically_increasing_id()), "secrets")
     one = table.filter(F.size("__found") > 0).select("__row", F.col(f"`{owner}`").alias("owner"), F.col(f"`{repository}`").cast("string").alias("repository"), F.explode("__found").alias("s"))
     one = one.select("__row", "owner", "repository", "s.*")
-    judged = one.join(ownership(one), "value").select("__row", F.struct("start", "rank", "end", "kind", (F.col("owners") > OWNERS).alias("copied")).alias("s"))
-    rows = judged.groupBy("__row").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    values = scratch.table(ownership(one).select("value", "uses", "copied"), "values")
+    judged = skew.joined_with_classes(one, values, ["value"], "uses")
+    # a proposed token stands only apart from base spans: none that begins before it reaches it, none begins within it
+    is_base = F.col("kind") != "token"
+    reach, following = spans.around(["__row"], ["start", "rank"], is_base)
+    apart = is_base | ((F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(following, F.col("end")) >= F.col("end")))
+    rows = judged.withColumn("apart", apart).filter("apart").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", "copied"))).alias("s"))
     short = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     base = F.filter("s", lambda s: s["kind"] != "token")
-    apart = lambda x: (x["kind"] != "token") | ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    rows = rows.select("__row", F.transform(base, short).alias("base"), F.filter("s", apart).alias("s"))
     shown = F.filter("s", lambda x: (x["kind"] != "token") | ~x["copied"])
     copied = F.size(F.filter("s", lambda s: s["copied"]))
-    rows = rows.select("__row", "base", F.transform(shown, short).alias("spans"), (F.size("s") - copied).alias("live"), copied.alias("copied"))
-    bare = table.drop("__found")
+    rows = rows.select("__row", F.transform(base, short).alias("base"), F.transform(shown, short).alias("spans"), (F.size("s") - copied).alias("live"), copied.alias("copied"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    without = bare.join(rows, "__row", "left")
-    return without.select(*[F.col(f"`{c}`") for c in kept], F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"), F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("copied", F.lit(0)).alias("copied"))
+    plain = [F.col(f"`{c}`") for c in kept]
+    # only rows with candidates are shuffled
+    some = table.filter(F.size("__found") > 0).drop("__found").join(rows, "__row", "left").select(*plain, F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"), F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("copied", F.lit(0)).alias("copied"))
+    return some.unionByName(table.filter(F.size("__found") <= 0).select(*plain, none.alias("base"), none.alias("spans"), F.lit(0).alias("live"), F.lit(0).alias("copied")))
 
 
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; no row is dropped."""
-    found = find_secrets(docs, text, owner, repository, keep_text=True)
-    return found.withColumn(text, spans.cut_out(F.col(f"`{text}`"), F.col("spans"), mark)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = {c: f"__c{i}" for i, c in enumerate(docs.columns)}  # so that no column clashes with the result's
+    found = find_secrets(docs.toDF(*name.values()), name[text], name[owner], name[repository], keep_text=True)
+    return spans.cut_out(found, name[text], "spans", mark).select(*[F.col(n).alias(c) for c, n in name.items()])

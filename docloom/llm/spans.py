@@ -6,19 +6,31 @@ where the lengths of all that stands before it end. Offsets are code points, end
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BLOCK = 512
+_CUT = 1024
 
 
 def running_sums(lengths: Column) -> Column:
     """Array of sums of the first 1, 2, ... entries; summed by blocks, so the work grows about linearly."""
+    return _running(lengths, lambda a, x: a + x)
+
+
+def running_max(values: Column) -> Column:
+    """Array of the largest of the first 1, 2, ... entries, which are not negative."""
+    return _running(values, lambda a, x: F.greatest(a, x))
+
+
+def _running(lengths: Column, add: Callable[[Column, Column], Column]) -> Column:
     size = F.size(lengths)
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(_BLOCK)), lambda at: F.slice(lengths, at + 1, _BLOCK))
-    total = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
-    before = F.aggregate(total, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-    own = F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda b, start: F.slice(F.aggregate(b, F.array(start), lambda a, x: F.array_append(a, F.element_at(a, -1) + x)), 2, _BLOCK))
+    total = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), add))
+    before = F.aggregate(total, F.array(F.lit(0)), lambda a, x: F.array_append(a, add(F.element_at(a, -1), x)))
+    own = F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda b, start: F.slice(F.aggregate(b, F.array(start), lambda a, x: F.array_append(a, add(F.element_at(a, -1), x))), 2, _BLOCK))
     return F.flatten(own)
 
 
@@ -43,25 +55,47 @@ def find(text: Column, pattern: str, when: Column | None = None) -> tuple[Column
     return (found, gaps) if when is None else (F.when(when, found).otherwise(none), F.when(when, gaps).otherwise(none))
 
 
+def around(group: list[str], order: list[str], chosen: Column) -> tuple[Column, Column]:
+    """For rows of spans (start, end): the largest end of the chosen ones before, and the least start of those after.
+
+    Both are running aggregates, the second in reverse order, so that the work grows with the rows of a group.
+    """
+    forth = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    return F.max(F.when(chosen, F.col("end"))).over(forth), F.min(F.when(chosen, F.col("start"))).over(back)
+
+
 def listed(spans: Column) -> Column:
     """``kind:start:end`` of an array of structs with these fields, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def cut_out(text: Column, spans: Column, mark: str) -> Column:
-    """``text`` with the union of ``spans``, sorted by start, replaced by ``mark``."""
-    merged = F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda out, s: F.when(
-            (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= s["start"]),
-            F.array_append(
-                F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))),
-                F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(out, F.lit(-1))["end"], s["end"]).alias("end")),
-            ),
-        ).otherwise(F.array_append(out, F.struct(s["start"].alias("start"), s["end"].alias("end")))),
+def cut_out(df: DataFrame, text: str, spans: str, mark: str) -> DataFrame:
+    """``df`` with the union of ``spans``, sorted by start, replaced by ``mark`` in ``text``.
+
+    The union follows from the running maximum of the ends. What stays is taken from the text's blocks of 1,024
+    characters, so that no piece is looked for from the text's start and the work grows with text and spans.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    some = F.size(spans) > 0
+    none = F.array().cast("array<string>")
+    parts = df.select(
+        *cols,
+        F.when(some, F.regexp_extract_all(F.col(f"`{text}`"), F.lit("(?s).{1,%d}" % _CUT), F.lit(0))).otherwise(none).alias("__blocks"),
+        F.transform(spans, lambda s: s["start"]).alias("__starts"),
+        running_max(F.transform(spans, lambda s: s["end"])).alias("__reach"),
     )
-    starts = F.concat(F.array(F.lit(0)), F.transform(merged, lambda s: s["end"]))
-    ends = F.concat(F.transform(merged, lambda s: s["start"]), F.array(F.length(text)))
-    pieces = F.zip_with(starts, ends, lambda a, z: F.substring(text, a + 1, z - a))
-    return F.when(F.size(spans) > 0, F.array_join(pieces, mark)).otherwise(text)
+    first = F.transform("__starts", lambda s, i: F.when((i == 0) | (F.try_element_at("__reach", F.greatest(i, F.lit(1))) < s), s))
+    last = F.transform("__reach", lambda e, i: F.when((i + 1 == F.size("__reach")) | (e < F.try_element_at("__starts", i + 2)), e))
+    given = lambda values: F.filter(values, lambda v: v.isNotNull())
+    parts = parts.select(*cols, "__blocks", F.concat(F.array(F.lit(0)), given(last)).alias("__from"), F.concat(given(first), F.array(F.length(f"`{text}`"))).alias("__to"))
+
+    def piece(a: Column, z: Column) -> Column:
+        i, j = F.floor(a / _CUT).cast("int"), F.floor((z - 1) / _CUT).cast("int")
+        block = lambda k: F.coalesce(F.try_element_at("__blocks", k + 1), F.lit(""))
+        one = F.substring(block(i), a - i * _CUT + 1, z - a)
+        more = F.concat(F.substring(block(i), a - i * _CUT + 1, F.lit(_CUT)), F.array_join(F.slice("__blocks", i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(block(j), F.lit(1), z - j * _CUT))
+        return F.when(z <= a, "").when(i == j, one).otherwise(more)
+
+    cut = F.array_join(F.zip_with("__from", "__to", piece), mark)
+    return parts.select(*[F.when(some, cut).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, language, lattice, neardup, packing, quality, queries, toxicity
+from docloom.llm import decontaminate, language, lattice, linking, neardup, packing, quality, queries, toxicity
 from docloom.llm.words import Words
 
 SF = "/root/testdata/sf0.01"
@@ -86,7 +86,7 @@ def test_copies_are_compared_once(spark, near, monkeypatch):
     seen = []
     verified = neardup.linking.verified
     monkeypatch.setattr(neardup, "_FILTER_BITS", 32)  # a full filter lets all documents through
-    monkeypatch.setattr(neardup.linking, "verified", lambda members, *a: seen.append(members) or verified(members, *a))
+    monkeypatch.setattr(neardup.linking, "verified", lambda members, *a, **k: seen.append(members) or verified(members, *a, **k))
     extra = spark.createDataFrame([(20, docs.filter("doc_id = 20").first()["text"], "c")] * 3, docs.schema)
     neardup.near_duplicates(docs.unionByName(extra)).collect()
     counts = seen[0].groupBy("id").count().collect()
@@ -96,10 +96,64 @@ def test_copies_are_compared_once(spark, near, monkeypatch):
 def test_large_groups_are_cut(spark, monkeypatch):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(150)]
-    monkeypatch.setattr(neardup.linking.verified, "__defaults__", (16,))
-    monkeypatch.setattr(neardup.linking.candidate_edges, "__defaults__", (16,))
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    monkeypatch.setattr(neardup.linking.verified, "__defaults__", (16, True))
+    monkeypatch.setattr(neardup.linking.candidate_edges, "__defaults__", (16, 0, (0, 1)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(docs).collect()
     assert all(r["class_id"] == 0 and r["n_links"] == 149 for r in got)
+    assert [r["doc_id"] for r in neardup.keep_one(docs).collect()] == [0]
+
+
+def test_forest_alone_finds_pairs_at_the_threshold(spark):
+    """Without verification, which would find more by components: separate pairs of a similarity just over 0.8."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        base = [f"{i}w{rng.randint(0, 10**6)}" for _ in range(rng.randint(60, 300))]
+        other, cut = list(base), int(len(base) * 0.104)
+        other[-cut:] = [f"{i}x{j}" for j in range(cut)]  # 1 - 0.104 of the runs are shared: similarity (1 - c) / (1 + c)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    kept = [p for p in zip(rows[::2], rows[1::2]) if 0.8 <= jaccard(p[0][1], p[1][1]) < 0.85]
+    assert len(kept) > 300
+    docs = spark.createDataFrame([r for p in kept for r in p], "doc_id long, text string")
+    found = neardup._classes(neardup.scratch.table(neardup.sign(docs, "text", "doc_id"), "signed"))
+    roots = {r["first"]: r["root"] for r in neardup.candidates(found).join(found, "id").collect()}
+    met = sum(a[0] in roots and roots.get(a[0]) == roots.get(b[0]) for a, b in kept)
+    assert met >= 0.99 * len(kept)
+
+
+def jaccard(a, b):
+    x, y = (set(zip(*[words(t)[i:] for i in range(5)])) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_depths_of_set_sizes():
+    sets = [set(range(n)) for n in range(30)]
+    for n in range(1, 20):
+        possible = [k / (n + m - k) for m in range(1, 30) for k in range(min(n, m) + 1) if k < max(n, m) and 5 * k >= 4 * (n + m - k)]
+        assert neardup.least_similarity(n) == (min(possible) if possible else None), sets[n]
+    depth = neardup.depths()
+    assert depth[0] == depth[3] == neardup.DEPTH + 1 and depth[7] == 8 and depth[-1] == neardup.prefix_depth(0.8) == 5
+
+
+def test_trie_node():
+    rng = np.random.default_rng(3)
+    f = linking._FIELD
+    trail = np.sort(np.asarray([(a << 2 * f) | (b << f) | c for a, b, c in rng.integers(0, 3, (60, 3)).tolist()], np.int64))
+    x = np.where(rng.random((60, 32)) < 0.5, -1, 1).astype(np.float32)
+    rest, size = rng.integers(0, 4, 60), rng.integers(80, 120, 60)
+    common = lambda i, j: next((k for k in range(3) if trail[i] >> (2 - k) * f != trail[j] >> (2 - k) * f), 3)
+    near = [[j for j in range(60) if j != i and common(i, j) >= max(rest[i], rest[j]) and x[i] @ x[j] >= 6 and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])] for i in range(60)]
+    want = []
+    for i in range(60):
+        seen, todo = {i}, [i]
+        while todo:
+            new = set(near[todo.pop()]) - seen
+            seen |= new
+            todo += new
+        want.append(min(seen))
+    root = linking._node(x, trail, rest, size, 6, 3, (4, 5))
+    assert [np.flatnonzero(root == r).min() for r in root] == want
 
 
 def test_lattice(spark):
