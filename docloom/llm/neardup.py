@@ -44,7 +44,7 @@ def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recal
 def least_similarity(n: int) -> float | None:
     """Least similarity from the threshold on that a set of ``n`` runs can have with a different set; None if there is none."""
     num, den = THRESHOLD
-    found = [(k, n + m - k) for m in range(n * num // den, n * den // num + 2) for k in (min(n, m), min(n, m) - 1) if k < max(n, m) and k > 0]
+    found = [(k, n + m - k) for m in range(n * num // den, n * den // num + 2) for k in range(1, min(n, m) + 1) if k < max(n, m)]
     return min((k / union for k, union in found if k * den >= num * union), default=None)
 
 
