@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm import scratch
+from docloom.llm import scratch, skew
 from docloom.llm.words import Words, mix, slices
 
 WINDOW = 13
@@ -93,7 +93,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     A document word is hit if it lies in an occurrence of a window; a document is contaminated if some word is hit and
     the hit words are at least ``share`` of all. Null or wordless texts have no words and are clean; wordless items
     match nothing; items with a null id are not counted. Repeated rows each get their own row. Other columns pass
-    unchanged; those that clash with the result's names are replaced.
+    unchanged; those that clash with the result's names are replaced. An empty table gives none; texts may be of any length.
     """
     names = ("n_words", "n_hit", "n_items", "item_ids", "contaminated")
     kept = [c for c in docs.columns if c not in names]
@@ -136,19 +136,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     schema = source.drop("__text").schema.simpleString()[7:-1]
     schema += ("," if kept else "") + "__row:bigint,n_words:bigint,__found:array<struct<window:bigint,start:bigint,width:int,words:string>>"
     scanned = scratch.table(source.mapInArrow(propose, f"struct<{schema}>"), "proposals")
-    hits = (
-        scanned.filter(F.size("__found") > 0)
-        .select("__row", F.explode("__found").alias("f"))
-        .select("__row", "f.*")
-        .join(windows.select("window", "words", "item").distinct(), ["window", "words"])
-    )
+    found = scanned.filter(F.size("__found") > 0).select("__row", F.explode("__found").alias("f")).select("__row", "f.*")
+    sets, set_items = _item_sets(windows)
+    uses = found.groupBy("window", "words").agg(F.count("*").alias("uses"))
+    known = scratch.table(sets.join(uses, ["window", "words"]), "known")
+    hits = scratch.table(skew.joined_with_classes(found, known, ["window", "words"], "uses").select("__row", "start", "width", "s1", "s2"), "hits")
     seen = Window.partitionBy("__row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    spans = hits.groupBy("__row", "start").agg(F.max(F.col("start") + F.col("width")).alias("end"), F.collect_set("item").alias("items"))
+    spans = hits.groupBy("__row", "start").agg(F.max(F.col("start") + F.col("width")).alias("end"))
     fresh = spans.withColumn("from", F.greatest("start", F.coalesce(F.max("end").over(seen), F.lit(0))))
-    per_row = fresh.groupBy("__row").agg(
-        F.sum(F.greatest(F.col("end") - F.col("from"), F.lit(0))).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"),
-    )
+    words_hit = fresh.groupBy("__row").agg(F.sum(F.greatest(F.col("end") - F.col("from"), F.lit(0))).alias("n_hit"))
+    # a document's items follow from the distinct sets of its windows
+    items_hit = hits.select("__row", "s1", "s2").distinct().join(set_items, ["s1", "s2"]).groupBy("__row").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    per_row = words_hit.join(items_hit, "__row")
     out = scanned.drop("__found").join(per_row, "__row", "left").drop("__row")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
@@ -162,6 +161,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     )
 
 
+def _item_sets(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each distinct window with the set of its items, named by two 64-bit sums over it; and each set's items.
+
+    Windows that the same items share, such as those of a passage common to many, have one set. So what a document's hits
+    are joined with is one row for each window, however many items hold it, and a set is spelled out once.
+    """
+    each = windows.select("window", "words", "item").distinct()
+    total = lambda salt: F.expr(f"bit_xor(xxhash64(item, {salt}))")
+    sets = scratch.table(each.groupBy("window", "words").agg(total(1).alias("s1"), total(2).alias("s2")), "sets")
+    shown = sets.groupBy("s1", "s2").agg(F.min(F.struct("window", "words")).alias("w")).select("s1", "s2", "w.window", "w.words")
+    return sets, each.join(shown, ["window", "words"]).select("s1", "s2", "item")
+
+
 def _filters(windows: DataFrame, counts: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
     """For each width, the positions at which a slot's word is a window's prefix; and the filter over window hashes.
 

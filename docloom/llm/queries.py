@@ -176,12 +176,27 @@ messages as (
   select conv_id, turn, role, coalesce(string_agg(said, chr(10) order by i) filter (lvl = 0 and not leads), '') own_text,
     count(*) filter (lvl > 0 and lvl <> last_lvl) n_passages, max(lvl) max_level
   from marked group by conv_id, turn, role),
-near as (select conv_id, k, min(turn) t from marked where lvl = 0 and not leads and k <> '' group by conv_id, k),
-far as (select k, min({'c': conv_id, 't': t}) f from near group by k),
-linked as (
-  select q.conv_id, q.turn, q.lvl, case when n.t < q.turn then {'c': q.conv_id, 't': n.t} when f.f.c < q.conv_id then f.f end o
-  from marked q left join near n on n.conv_id = q.conv_id and n.k = q.k left join far f on f.k = q.k where q.lvl > 0 and q.k <> ''),
-votes as (select conv_id, turn, lvl, o, count(*) n from linked where o is not null group by all),
+own as (
+  select *, sum(b) over (partition by conv_id, turn order by i) para
+  from (select *, case when lag(i) over (partition by conv_id, turn order by i) = i - 1 then 0 else 1 end b from marked where lvl = 0 and not leads and k <> '')),
+said as (
+  select conv_id, turn, 0 r, string_agg(k, chr(10) order by i) x from own group by conv_id, turn, para
+  union all select conv_id, turn, 0, string_agg(k, chr(10) order by i) from own group by conv_id, turn
+  union all select conv_id, turn, 1, k || chr(10) || lead(k) over (partition by conv_id, turn order by i) from own
+  union all select conv_id, turn, 2, k from own),
+near as (select conv_id, r, x, min(turn) t from said where x is not null group by all),
+far as (select r, x, min({'c': conv_id, 't': t}) f from near group by r, x),
+quoted as (select *, sum(case when lvl <> last_lvl then 1 else 0 end) over (partition by conv_id, turn order by i) pid from marked),
+passages as (select conv_id, turn, pid, lvl, list(k order by i) l from quoted where lvl > 0 and k <> '' group by all),
+asked as (
+  select conv_id, turn, pid, lvl, 0 r, array_to_string(l, chr(10)) x from passages
+  union all select conv_id, turn, pid, lvl, 1, l[1] || chr(10) || l[2] from passages where len(l) > 1
+  union all select conv_id, turn, pid, lvl, 2, l[1] from passages),
+origins as (
+  select q.conv_id, q.turn, q.pid, q.lvl, 2 * q.r + case when n.t < q.turn then 0 else 1 end place, case when n.t < q.turn then {'c': q.conv_id, 't': n.t} when f.f.c < q.conv_id then f.f end o
+  from asked q left join near n on n.conv_id = q.conv_id and n.r = q.r and n.x = q.x left join far f on f.r = q.r and f.x = q.x),
+linked as (select conv_id, turn, pid, lvl, arg_min(o, place) o from origins where o is not null group by conv_id, turn, pid, lvl),
+votes as (select conv_id, turn, lvl, o, count(*) n from linked group by all),
 best as (select conv_id, turn, arg_min(o, {'l': lvl, 'n': -n, 'o': o}) o, sum(n) n_linked from votes group by conv_id, turn),
 parents as (
   select m.*, coalesce(n_linked, 0) n_linked, b.o, coalesce(b.o, case when lag(m.turn) over (partition by m.conv_id order by m.turn) is not null

@@ -161,7 +161,22 @@ def test_quotes(spark):
     named = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("root", "near", "origin", "position", "n_linked")})
     rows = quotes.link(named).collect()
     got = {(r["conv_id"], r["turn"]): (r["own_text"], r["n_passages"], r["n_linked"], r["parent_conv"], r["parent_turn"], r["thread_id"], r["position"]) for r in rows}
-    assert got[1, 1] == ("fine", 1, 1, 1, 0, 1, 2) and got[1, 2] == ("ok", 2, 2, 1, 1, 1, 3)
+    assert got[1, 1] == ("fine", 1, 1, 1, 0, 1, 2) and got[1, 2] == ("ok", 2, 2, 1, 1, 1, 3)  # first lines, as no passage is whole
     assert got[2, 0] == ("new thread", 1, 1, 1, 0, 1, 4) and got[3, 0] == ("hm", 1, 1, 2, 0, 1, 5)
     assert got[4, 0][:4] == ("", 0, 0, None) and got[5, 0][2:4] == (0, None) and len(rows) == len(messages)
     assert quotes.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_passages_not_lines(spark):
+    long = "Dear all,\nthe plan is ready\nand the dates are set\n\nSee you there"
+    messages = [(1, 0, "Dear all,\nsomething else"), (1, 1, long), (1, 2, "> dear  all,\n> the plan is ready\n> and the dates are set\n\nfine"), (1, 3, "> Dear all,\n> the plan is ready\n> and the dates are set\n>\n> See you there\nme too")]
+    messages += [(1, 4, "> dear all,\n> the plan is ready\n> but what dates\nhm"), (1, 5, "> dear all,\n> nothing\nno"), (1, 6, ">> fine\n>> \n> me too\nyes"), (2, 0, "12:30 it is"), (2, 1, "> 12:30 it is\nok")]
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["n_passages"], r["n_linked"]) for r in quotes.link(spark.createDataFrame(messages, "conv_id long, turn long, text string")).collect()}
+    assert got[1, 2] == got[1, 3] == (1, 1, 1) and got[1, 4] == (1, 1, 1) and got[1, 5] == (0, 1, 1)
+    assert got[1, 6] == (3, 2, 2) and got[2, 1] == (0, 1, 1)
+
+
+def test_deep_and_long_quotes(spark):
+    messages = [(1, 0, "hello"), (1, 1, ">" * 100_000 + " hello"), (1, 2, "> " * 100_000), (1, 3, "\n".join(f"> line {i}" for i in range(20_000)) + "\nown"), (1, 4, "x" * 1_000_000), (1, 5, "> " + "x" * 1_000_000)]
+    got = {r["turn"]: (r["max_level"], r["n_passages"], r["n_linked"], r["parent_turn"]) for r in quotes.link(spark.createDataFrame(messages, "conv_id long, turn long, text string")).collect()}
+    assert got[1] == (100_000, 1, 1, 0) and got[2] == (100_000, 1, 0, 1) and got[3] == (1, 1, 0, 2) and got[5] == (1, 1, 1, 4)

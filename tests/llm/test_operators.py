@@ -211,6 +211,16 @@ def test_decontaminate(spark):
     assert out.filter("contaminated").count() and decontaminate.decontaminate(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_common_windows_have_one_set(spark):
+    shared = " ".join(f"c{i}" for i in range(20))
+    items = spark.createDataFrame([(i, f"{shared} u{i} " + " ".join(f"v{i}x{j}" for j in range(13))) for i in range(30)], "item_id long, text string")
+    windows = decontaminate._windows(items, "item_id", "text", 13)
+    sets, spelled = decontaminate._item_sets(windows)
+    assert sets.groupBy("s1", "s2").count().agg(F.max("count")).first()[0] >= 8 and spelled.count() == 2 * 30
+    out = decontaminate.decontaminate(spark.createDataFrame([(1, f"a b {shared} z")] * 3, "doc_id long, text string"), items).collect()
+    assert [(r["n_hit"], len(r["item_ids"])) for r in out] == [(20, 30)] * 3
+
+
 def test_packing(spark):
     path = queries.tokenizer_path()
     texts = ["a  b", None, "", "é à   b c", "日本 語 x", "“a” — b", "<|endoftext|> x", "it's 's don't  ", "a\0b c", "word " * 5000] + [f"some words of text {i} " * (i % 90) for i in range(400)]
