@@ -9,7 +9,7 @@ candidates' components all pairs' cosines are computed in double precision.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -175,11 +175,15 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     return out.select(F.col("k").alias(key), "n_links", "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _cosine(table: pa.Table, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+def _cosine(table: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     lists = _Lists(table.column("v").combine_chunks())
-    out = np.zeros((len(p), len(q)), bool)
-    for d in np.unique(lists.lengths[p]).tolist():
-        a, b = np.flatnonzero(lists.lengths[p] == d), np.flatnonzero(lists.lengths[q] == d)
-        if len(a) and len(b):
-            out[np.ix_(a, b)] = _unit(lists.rows(p[a], d)) @ _unit(lists.rows(q[b], d)).T >= COSINE
-    return out
+
+    def near(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(p), len(q)), bool)
+        for d in np.unique(lists.lengths[p]).tolist():
+            a, b = np.flatnonzero(lists.lengths[p] == d), np.flatnonzero(lists.lengths[q] == d)
+            if len(a) and len(b):
+                out[np.ix_(a, b)] = _unit(lists.rows(p[a], d)) @ _unit(lists.rows(q[b], d)).T >= COSINE
+        return out
+
+    return near

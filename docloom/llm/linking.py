@@ -23,7 +23,7 @@ from docloom.llm import scratch
 _SMALL = 8  # things in a group whose pairs are compared for all groups at once
 
 
-def paired_blocks(rows: DataFrame, group: str, member: str, block: int, size: str | None = None, most: int = 1 << 21) -> DataFrame:
+def paired_blocks(rows: DataFrame, group: str, member: str, block: int, size: str | None = None, most: int = 1 << 19) -> DataFrame:
     """``rows`` with ``__g`` (a hash of group and pair of blocks), ``__low``, ``__high`` and ``__own`` (the row's block).
 
     Groups of at most ``block`` rows, whose ``size`` adds to ``most`` at the most, are one block. Larger ones are cut by a
@@ -206,13 +206,13 @@ def connected(edges: DataFrame) -> DataFrame:
         state = tuple(row)
 
 
-def verified(members: DataFrame, payload: list[str], links: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray], block: int = 1024, count: bool = True) -> tuple[DataFrame | None, DataFrame]:
+def verified(members: DataFrame, payload: list[str], links: Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]], block: int = 512, count: bool = True) -> tuple[DataFrame | None, DataFrame]:
     """Exact links within groups: (id, n_links) summed over the linked things' weights, and edges (a, b) that connect them.
 
     ``members`` has ``group``, ``id``, ``first`` (what a component's smallest is sought of, may be null), ``weight``,
-    ``size`` (of the payload; a block's sizes add to two million at most) and the ``payload`` columns. ``links(table, p,
-    q)`` says which rows p are linked with which rows q of a group's table; it is symmetric. A thing that occurs twice
-    counts once. Ends of edges are structs of first and id, in which null is the largest first. Unless ``count``, links
+    ``size`` (of the payload; a block's sizes add to half a million at most) and the ``payload`` columns. ``links(table)``
+    gives the function that says which rows p are linked with which rows q of a group's table; it is symmetric. A thing
+    that occurs twice counts once. Ends of edges are structs of first and id, in which null is the largest first. Unless ``count``, links
     are not counted, and nothing is compared that others already connect.
     """
 
@@ -230,9 +230,9 @@ def verified(members: DataFrame, payload: list[str], links: Callable[[pa.Table,
                 p, q = np.flatnonzero(own == low), np.flatnonzero(own == high)
                 if not len(p) or not len(q):
                     continue
-                n = np.zeros(len(own), np.int64)
+                n, linked_with = np.zeros(len(own), np.int64), links(part)
                 if count:
-                    hit = links(part, p, q)
+                    hit = linked_with(p, q)
                     if low == high:
                         np.fill_diagonal(hit, False)
                     n[p] += hit @ weight[q]
@@ -244,7 +244,7 @@ def verified(members: DataFrame, payload: list[str], links: Callable[[pa.Table,
                     root = components(len(own), lambda x, y, full=full: full[np.ix_(x, y)])
                     linked = np.flatnonzero(n > 0)
                 else:
-                    root = components(len(own), lambda x, y, part=part: links(part, x, y))
+                    root = components(len(own), linked_with)
                     linked = np.flatnonzero(root != np.arange(len(root)))
                 if len(linked):
                     ends = [part.column(c).take(pa.array(i)) for i in (linked, root[linked]) for c in ("id", "first")]

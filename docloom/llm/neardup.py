@@ -15,7 +15,7 @@ compared by 64-bit hashes of their runs: two different runs would have to have e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ DEPTH = 8
 LANES = 192
 RECALL = 0.9995
 _FILTER_BITS = 1 << 22  # at least
+_COLUMNS = 1024  # runs compared at a time
 
 
 def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -127,8 +128,8 @@ def sign(docs: DataFrame, text: str, key: str, width: int = WIDTH) -> DataFrame:
     return source.mapInArrow(run, "k long, f1 long, f2 long, n long, buckets array<long>, trails array<long>, rest int, sketch binary")
 
 
-def _jaccard(table: pa.Table, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Which of the rows p and q have sets whose similarity reaches the threshold, exactly."""
+def _jaccard(table: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The function that says which of the rows p and q have sets whose similarity reaches the threshold, exactly."""
     lists = table.column("shingles").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     values, which = np.unique(lists.flatten().to_numpy(), return_inverse=True)
@@ -137,14 +138,20 @@ def _jaccard(table: pa.Table, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     column = np.cumsum(shared) - 1
     keep = shared[which]
     owner, which = owner[keep], column[which[keep]]
-    both = np.zeros((len(p), len(q)))
-    for a in range(0, int(shared.sum()), 4096):
-        own = (which >= a) & (which < a + 4096)
-        x = np.zeros((len(sizes), 4096), np.float32)
-        x[owner[own], which[own] - a] = 1
-        both += x[p] @ x[q].T
+    order = np.argsort(which, kind="stable")
+    owner, which = owner[order], which[order]
     num, den = THRESHOLD
-    return both * (num + den) >= num * (sizes[p][:, None] + sizes[q][None, :])
+
+    def near(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        both = np.zeros((len(p), len(q)), np.float32)  # counts below 2^24
+        for a in range(0, int(shared.sum()), _COLUMNS):
+            own = slice(*np.searchsorted(which, (a, a + _COLUMNS)))
+            x = np.zeros((len(sizes), _COLUMNS), np.float32)
+            x[owner[own], which[own] - a] = 1
+            both += x[p] @ x[q].T
+        return both.astype(np.float64) * (num + den) >= num * (sizes[p][:, None] + sizes[q][None, :])
+
+    return near
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -238,16 +245,18 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """
     cols = docs.columns
     signs = docs.select(*[F.col(f"`{c}`") for c in cols])
+    plain = dict(docs.dtypes)[text] == "string"  # then the text is not sent twice
+    read = text if plain else "__t"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__t"):
-                f1, f2 = _fingerprints(*_sets(Words(part.column("__t")), WIDTH))
+            for part in slices(batch, read):
+                f1, f2 = _fingerprints(*_sets(Words(part.column(read)), WIDTH))
                 names = [c for c in part.schema.names if c != "__t"]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(f1), pa.array(f2)], [*names, "__f1", "__f2"])
 
     schema = f"struct<{signs.schema.simpleString()[7:-1]},__f1:bigint,__f2:bigint>"
-    marked = signs.withColumn("__t", F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+    marked = (signs if plain else signs.withColumn("__t", F.col(f"`{text}`").cast("string"))).mapInArrow(run, schema)
     marked = marked.withColumn("__h", F.xxhash64(F.col(f"`{key}`").cast("long"), "__f1", "__f2"))
     signed = scratch.table(sign(docs, text, key), "signed")
     classes = _linked(docs, text, key, signed, False)
