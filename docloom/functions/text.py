@@ -23,10 +23,11 @@ REPAIRS = {"—": "-", "–": "-", "―": "-", "−": "-", "´": "'", "`": "'",
 LONG_REPAIRS = {"…": "..."}
 STRAIGHT_QUOTES = {"“": '"', "”": '"', "‘": "'", "’": "'"}
 UNICODE_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+# Tags that break lines, and those after which a space stands.
 BLOCK_TAGS = ("p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "header", "footer", "nav", "aside", "blockquote", "pre", "hr", "ul", "ol", "li", "dl", "dt", "dd")
 INLINE_TAGS = ("b", "i", "em", "strong", "span", "a", "u", "sub", "sup", "code", "kbd", "samp", "var", "small", "big", "tt")
 ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}  # & last: it must not make new entities
-CONTROLS = r"[\x00-\x09\x0b-\x1f\x7f-\x9f]|\p{Cf}|\p{Co}"
+CONTROLS = r"\x00-\x09\x0b-\x1f\x7f-\x9f\p{Cf}\p{Co}"
 
 
 def primary_text(updated: Column, original: Column) -> Column:
@@ -53,7 +54,7 @@ def bucket_rank(label: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without ASCII white space at either end."""
-    return F.regexp_replace(text, r"^[ \t-\r]+|[ \t-\r]+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def is_valid(text: Column, least: int = 10) -> Column:
@@ -97,12 +98,9 @@ def fix_double_encoding(text: Column) -> Column:
 
 def normalize_whitespace(text: Column) -> Column:
     """Unicode spaces and controls become spaces, runs collapse within lines, at most one empty line stays."""
-    out = F.translate(text, UNICODE_SPACES, " " * len(UNICODE_SPACES))
-    out = F.regexp_replace(out, CONTROLS, " ")
-    out = F.regexp_replace(out, r" +", " ")
-    out = F.regexp_replace(out, r" ?\n ?", "\n")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
+    out = F.regexp_replace(text, rf"[ {CONTROLS}{UNICODE_SPACES}]++", " ")
+    out = F.regexp_replace(out, r" ?+(\n) ?+(?:(\n) ?+)?+(?:\n ?+)*+", "$1$2")
+    return F.btrim(out, F.lit(" \n"))
 
 
 def html_to_text(html: Column, keep_noncontent: bool = False) -> Column:

@@ -13,11 +13,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """A vector of unit length from the words' hashes; the default where no model is given. Null for a text without words."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    counts = F.aggregate(
-        words,
-        F.array_repeat(F.lit(0.0), dims),
-        lambda acc, w: F.transform(acc, lambda x, i: x + F.when(i == F.pmod(F.crc32(w), F.lit(dims)), 1.0).otherwise(0.0)),
-    )
+    slots = F.transform(words, lambda w: F.pmod(F.crc32(w), F.lit(dims)).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
     length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
     return F.when(length > 0, F.transform(counts, lambda x: x / length))
 

@@ -1,20 +1,31 @@
-"""Operators on node tables that hold ids of parents: owners, descendants, insertion order."""
+"""Operators on node tables that hold ids of parents: descendants and insertion order."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources import shared
+
+
+def descendants(nodes: DataFrame, roots: DataFrame | int, parent: str) -> DataFrame:
+    """(root, id, depth) of each root (a table with ``id``, or one id) and of all below it.
 
-def descendants(nodes: DataFrame, root: int, parent: str, max_depth: int = 64) -> DataFrame:
-    """(id, depth) of a node and all below it; a level at a time, each a join with the nodes."""
-    nodes.select("id", F.col(parent).alias("parent")).createOrReplaceTempView("docloom_nodes")
-    return nodes.sparkSession.sql(
-        f"""with recursive below(id, depth) max recursion level {max_depth} as (
-          select id, 0 from docloom_nodes where id = {int(root)}
-          union all select n.id, b.depth + 1 from docloom_nodes n join below b on n.parent = b.id)
-        select id, depth from below"""
-    )
+    A level at a time, each a join of the last level with the nodes, until a level is empty; ids that a root has already
+    reached are left out, so broken tables with circles end, too.
+    """
+    edges = nodes.select("id", F.col(parent).alias("parent"))
+    wanted = nodes.select("id").filter(F.col("id") == roots) if isinstance(roots, int) else roots.select("id").join(nodes.select("id"), "id", "left_semi")
+    level = shared.table(wanted.distinct().select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")), "level")
+    levels = []
+    while level.head(1):
+        levels.append(level)
+        seen = reduce(DataFrame.unionByName, levels).select("root", "id")
+        below = edges.join(level.select("root", F.col("id").alias("parent"), (F.col("depth") + 1).alias("depth")), "parent").select("root", "id", "depth")
+        level = shared.table(below.join(seen, ["root", "id"], "left_anti"), "level")
+    return reduce(DataFrame.unionByName, levels or [level])
 
 
 def numbered(nodes: DataFrame, group: str, order: str) -> DataFrame:

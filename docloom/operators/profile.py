@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -30,8 +30,9 @@ def length_distribution(norms: DataFrame) -> DataFrame:
 
 
 def with_share(counts: DataFrame, n: str, name: str) -> DataFrame:
-    """Percent of the grand total; the window runs over already aggregated rows, one for each group."""
-    return counts.withColumn(name, F.round(F.col(n).cast("double") * 100 / F.sum(n).over(Window.partitionBy()), 2))
+    """Percent of the grand total, which is one row and joined to the counts."""
+    total = counts.agg(F.sum(n).alias("__total"))
+    return counts.join(F.broadcast(total)).withColumn(name, F.round(F.col(n).cast("double") * 100 / F.col("__total"), 2)).drop("__total")
 
 
 def count_by(norms: DataFrame, column: str) -> DataFrame:

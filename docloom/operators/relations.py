@@ -35,11 +35,13 @@ def context_batch(pairs: DataFrame, norms: DataFrame, divisions: DataFrame, arti
 
 
 def complements(edges: DataFrame) -> DataFrame:
-    """For each record the records it complements and those that complement it, sorted."""
-    out = edges.groupBy(F.col("origin").alias("infoleg_id")).agg(F.array_sort(F.collect_set("destination")).alias("complements"))
-    into = edges.groupBy(F.col("destination").alias("infoleg_id")).agg(F.array_sort(F.collect_set("origin")).alias("complemented_by"))
-    none = F.array().cast("array<bigint>")
-    return out.join(into, "infoleg_id", "full_outer").select("infoleg_id", F.coalesce("complements", none).alias("complements"), F.coalesce("complemented_by", none).alias("complemented_by"))
+    """(infoleg_id, relation, other): the records that each record complements and those that complement it, distinct.
+
+    A row for each, since a record may have most others as neighbours.
+    """
+    out = edges.select(F.col("origin").alias("infoleg_id"), F.lit("complements").alias("relation"), F.col("destination").alias("other"))
+    into = edges.select(F.col("destination").alias("infoleg_id"), F.lit("complemented_by").alias("relation"), F.col("origin").alias("other"))
+    return out.unionByName(into).distinct()
 
 
 def reference_rows(refs: DataFrame) -> DataFrame:

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources import shared
+
 DEFAULT_K = 10
 # Boosts of the searched fields.
-BOOSTS = {"titulo_sumario": 3.0, "titulo_resumido": 3.0, "texto_norma": 2.0, "texto_norma_actualizado": 2.0, "observaciones": 1.0}
+BOOSTS = {
+    "titulo_sumario": 3.0, "titulo_resumido": 3.0, "purified_texto_norma": 2.0, "purified_texto_norma_actualizado": 2.0, "observaciones": 1.0,
+    "structured_texto_norma": 1.0, "structured_texto_norma_actualizado": 1.0,
+}
 K1, B = 1.2, 0.75
-MAX_QUERY_ROWS = 100_000  # query tables up to this many rows are copied to every task, larger ones are joined in blocks
+EXPANSIONS = 50  # fixed value: terms that a word is expanded to, at most
+BLOCK_BYTES = 1 << 24  # of query vectors that go to every task at a time
+NO_HITS = "No documents found. Were they loaded?"  # fixed value
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,43 +49,131 @@ def top_k(docs: DataFrame, query: list[float], k: int = DEFAULT_K, filters: dict
     return scored.orderBy(F.desc("score"), key).limit(k if k > 0 else DEFAULT_K)
 
 
-def batch_top_k(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, vector: str = "embedding", key: str = "id", query_key: str = "query_id") -> DataFrame:
-    """The ``k`` documents nearest to each row of ``queries``: query_id, id, score, rank.
-
-    A stated set of queries against all documents. Each task keeps the k best of its own documents for each query, so only
-    those are shuffled; up to MAX_QUERY_ROWS queries go to every task, beyond that Spark chooses the join.
-    """
-    asked = queries.select(query_key, F.col(vector).alias("__q"), norm(F.col(vector)).alias("__qn"))
-    few = len(asked.select(query_key).limit(MAX_QUERY_ROWS + 1).take(MAX_QUERY_ROWS + 1)) <= MAX_QUERY_ROWS
-    own = docs.select(key, F.col(vector).alias("__v"), norm(F.col(vector)).alias("__vn"))
-    pairs = own.join(F.broadcast(asked) if few else asked)
-    scored = pairs.select(query_key, key, F.try_divide(dot(F.col("__q"), F.col("__v")), F.col("__qn") * F.col("__vn")).alias("score")).filter("score is not null")
+def _query_blocks(queries: DataFrame, vector: str, query_key: str, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and vectors of the queries that have one, in blocks of about ``block_bytes``, whatever their number."""
+    asked = queries.select(F.col(query_key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter((F.size("v") > 0) & F.col("k").isNotNull())
+    n, dims = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = -(-n * (dims or 0) * 8 // block_bytes)
+    for b in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).toArrow()
+        if len(rows):
+            yield rows.column("k").to_numpy(), np.stack(rows.column("v").to_numpy())
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows and those with values that are no numbers become NaN."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+class _Best:
+    """The ``k`` largest scores of each query, with keys; ties go to the smaller key."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.scores, self.keys = k, np.full((queries, 0), -np.inf), None
+
+    def add(self, scores: np.ndarray, keys: np.ndarray) -> None:
+        scores = np.where(np.isnan(scores), -np.inf, np.round(scores, 12))
+        every = np.broadcast_to(keys, scores.shape)
+        if self.keys is not None:
+            scores, every = np.concatenate([self.scores, scores], axis=1), np.concatenate([self.keys, every], axis=1)
+        if scores.shape[1] > 4 * self.k:  # all that reach the k-th largest score
+            floor = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k, None]
+            most = int((scores >= floor).sum(1).max())
+            if most < scores.shape[1]:
+                at = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+                scores, every = np.take_along_axis(scores, at, 1), np.take_along_axis(every, at, 1)
+        _, rank = np.unique(every, return_inverse=True)
+        order = np.lexsort((rank.reshape(every.shape), -scores), axis=1)[:, : self.k]
+        self.scores, self.keys = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
+
+
+def _nearest(rows: DataFrame, block: tuple[np.ndarray, np.ndarray], k: int, key: str, query_key: str, query_kind: str, compare: Callable[[np.ndarray, np.ndarray], np.ndarray], read: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """(query, key, score): the best ``k`` of each task's rows (key, v) for each query of a block."""
+    names, vectors = block
+    kind = rows.schema[key].dataType.simpleString()
+    sent = rows.sparkSession.sparkContext.broadcast((names, vectors))  # a block of bounded size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors = sent.value
+        best = _Best(len(names), k)
+        for batch in batches:
+            batch = batch.filter(pa.compute.and_(batch.column("v").is_valid(), batch.column("k").is_valid()))
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                best.add(compare(vectors, read(part.column("v"))), part.column("k").to_numpy(zero_copy_only=False))
+        if best.keys is not None:
+            q, j = np.nonzero(best.scores > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(best.keys[q, j]), pa.array(best.scores[q, j])], [query_key, key, "score"])
+
+    return rows.select(F.col(key).alias("k"), "v").mapInArrow(run, f"`{query_key}` {query_kind}, `{key}` {kind}, score double")
+
+
+def _first_k(scored: DataFrame, k: int, key: str, query_key: str) -> DataFrame:
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def approximate_top_k(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, tables: int = 40, bits: int = 6, vector: str = "embedding", key: str = "id", query_key: str = "query_id", seed: int = 5) -> DataFrame:
-    """Like :func:`batch_top_k` from candidates only: those that share a bucket of random hyperplanes with the query.
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return np.stack(lists.to_numpy(zero_copy_only=False)) if len(lists) else np.zeros((0, 1))
+
 
-    Every bucket lookup is an equi-join, so nothing is broadcast and no pair outside the buckets is scored. More bits
-    make buckets smaller, more tables find more; rows without a vector are left out.
+def batch_top_k(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, vector: str = "embedding", key: str = "id", query_key: str = "query_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The ``k`` documents nearest to each row of ``queries``: query_id, id, score, rank.
+
+    A stated set of queries against all documents, cut into blocks of a fixed number of bytes. A block goes to every task,
+    which compares it with its documents by matrix products and keeps the k best for each query, so only those are
+    shuffled. Rows without vector or with a zero one are left out; all vectors have one length.
     """
+    own = docs.select(key, F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") > 0)
+    kind = queries.schema[query_key].dataType.simpleString()
+    found = [_nearest(own, (names, _unit(vectors)), k, key, query_key, kind, lambda q, x: q @ _unit(x).T, _matrix) for names, vectors in _query_blocks(queries, vector, query_key, block_bytes)]
+    if not found:
+        return docs.sparkSession.createDataFrame([], f"`{query_key}` {kind}, `{key}` {docs.schema[key].dataType.simpleString()}, score double, rank int")
+    return _first_k(reduce(DataFrame.unionByName, found), k, key, query_key)
+
+
+def sketches(docs: DataFrame, bits: int, vector: str = "embedding", key: str = "id", seed: int = 5) -> DataFrame:
+    """(key, v): signs of ``bits`` random projections of each vector, packed; what an approximate search reads of a document."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("v"))
+            packed = _signs(x, bits, seed)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([row.tobytes() for row in packed], pa.binary())], [key, "v"])
 
-    def bucketed(rows: DataFrame, name: str, vector_as: str) -> DataFrame:
-        def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                x = np.stack(batch["v"].to_numpy()) if len(batch) else np.zeros((0, 1))
-                planes = np.random.default_rng(seed).normal(size=(x.shape[1], tables * bits))
-                signs = (x @ planes > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits))
-                yield pd.DataFrame({"k": batch["k"], "v": batch["v"], "buckets": list(signs + (np.arange(tables) << bits))})
+    source = docs.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") > 0)
+    return source.mapInArrow(run, f"`{key}` {kind}, v binary")
 
-        kind = rows.schema[name].dataType.simpleString()
-        coded = rows.select(F.col(name).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") > 0).mapInPandas(code, f"k {kind}, v array<double>, buckets array<long>")
-        return coded.select(F.col("k").alias(name), F.col("v").alias(vector_as), F.explode("buckets").alias("bucket"))
 
-    pairs = bucketed(queries, query_key, "__q").join(bucketed(docs, key, "__v"), "bucket").groupBy(query_key, key).agg(F.any_value("__q").alias("__q"), F.any_value("__v").alias("__v"))
-    scored = pairs.select(query_key, key, cosine(F.col("__q"), F.col("__v")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))).filter(F.col("rank") <= k)
+def _signs(x: np.ndarray, bits: int, seed: int) -> np.ndarray:
+    return np.packbits(x @ np.random.default_rng(seed).normal(size=(x.shape[1], bits)) > 0, axis=1)
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many more bits the packed rows agree than they differ."""
+    x, y = ((np.unpackbits(m, axis=1).astype(np.float32) * 2 - 1) for m in (a, b))
+    return (x @ y.T).astype(np.float64)
+
+
+def approximate_top_k(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, bits: int = 512, candidates: int | None = None, vector: str = "embedding", key: str = "id", query_key: str = "query_id", index: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Like :func:`batch_top_k` from candidates only, of which each query has ``candidates`` (default 10 k).
+
+    Every document is indexed by the signs of ``bits`` random projections (64 bytes for 512; ``index`` may be a stored
+    table of :func:`sketches`). The documents whose signs agree best with a query's are its candidates; only these are
+    joined with their vectors and scored exactly. More bits or candidates find more.
+    """
+    index = sketches(docs, bits, vector, key) if index is None else index
+    kind = queries.schema[query_key].dataType.simpleString()
+    most = candidates or 10 * k
+    read = lambda v: np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), bits // 8)
+    near = [_nearest(index, (names, _signs(vectors, bits, 5)), most, key, query_key, kind, _agreement, read) for names, vectors in _query_blocks(queries, vector, query_key, block_bytes)]
+    if not near:
+        return batch_top_k(docs, queries, k, vector, key, query_key)
+    pairs = _first_k(reduce(DataFrame.unionByName, near), most, key, query_key).select(query_key, key)
+    scored = pairs.join(docs.select(key, F.col(vector).alias("__v")), key).join(queries.select(query_key, F.col(vector).alias("__q")), query_key)
+    return _first_k(scored.select(query_key, key, cosine(F.col("__q"), F.col("__v")).alias("score")).filter("score is not null"), k, key, query_key)
 
 
 def terms(text: Column) -> Column:
@@ -84,38 +181,50 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9áéíóúüñàèìòùâêîôûäëïöçß]+"), lambda t: t != "")
 
 
-def keyword_search(docs: DataFrame, words: list[str], boosts: dict[str, float], k: int = DEFAULT_K, key: str = "id") -> DataFrame:
+def allowed_edits(word: str) -> int:
+    """None for up to two characters, one for up to five, else two."""
+    return 0 if len(word) <= 2 else 1 if len(word) <= 5 else 2
+
+
+def expand_fuzzy(vocabulary: DataFrame, words: list[str], term: str = "term") -> DataFrame:
+    """(word, term, edits): the terms of a vocabulary within the edits that each query word allows."""
+    asked = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(allowed_edits(w)).alias("most")) for w in sorted(set(words))])
+    close = F.filter(asked, lambda a: F.abs(F.length(a["word"]) - F.length(term)) <= a["most"])
+    near = F.filter(F.transform(close, lambda a: F.struct(a["word"].alias("word"), a["most"].alias("most"), F.levenshtein(a["word"], F.col(term), 2).alias("edits"))), lambda a: (a["edits"] >= 0) & (a["edits"] <= a["most"]))
+    return vocabulary.select(term).distinct().select(term, F.explode(near).alias("a")).select("a.word", term, "a.edits")
+
+
+def keyword_search(docs: DataFrame, words: list[str], boosts: dict[str, float] = BOOSTS, k: int = DEFAULT_K, key: str = "id", fuzzy: bool = True) -> DataFrame:
     """BM25 of each field times its boost; a document's score is its best field's. id and score of the best ``k``.
 
-    Only the query's words leave the documents, as one row for each word that a field contains.
+    With ``fuzzy`` a word also finds terms within the edits that its length allows, the EXPANSIONS nearest of them (ties
+    by term), each weighted by the share of characters that are not edited. Texts are cut into terms once; of these a
+    table is written, from which vocabulary, field lengths and matches are read. Only matching terms leave a document.
     """
-    asked = F.array(*[F.lit(w) for w in sorted(set(words))])
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(b)).alias("boost"), terms(F.col(f)).alias("t")) for f, b in boosts.items()])
-    rows = docs.select(key, F.explode(fields).alias("f")).select(key, "f.field", "f.boost", F.size("f.t").alias("len"), "f.t")
-    stats = rows.groupBy("field").agg(F.count_if(F.col("len") > 0).alias("n"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("avg_len"))
-    count = lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda t: t == w)).alias("tf"))
-    found = rows.select(key, "field", "boost", "len", F.explode(F.filter(F.transform(asked, count), lambda c: c["tf"] > 0)).alias("c")).select(key, "field", "boost", "len", "c.term", "c.tf")
+    rows = docs.select(key, F.explode(fields).alias("f")).select(key, "f.field", "f.boost", "f.t").filter(F.size("t") > 0)
+    rows = shared.table(rows, "terms")
+    if fuzzy:
+        near = expand_fuzzy(rows.select(F.explode("t").alias("term")), words)
+        near = near.withColumn("place", F.row_number().over(Window.partitionBy("word").orderBy("edits", "term"))).filter(F.col("place") <= EXPANSIONS)
+        chosen = [(r["word"], r["term"], 1.0 - r["edits"] / min(len(r["word"]), len(r["term"]))) for r in near.collect()]
+    else:
+        chosen = [(w, w, 1.0) for w in sorted(set(words))]
+    if not chosen:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    wanted = docs.sparkSession.createDataFrame(chosen, "word string, term string, weight double")  # EXPANSIONS rows a word at most
+    stats = rows.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
+    hits = rows.select(key, "field", "boost", F.size("t").alias("len"), F.explode(F.filter("t", lambda t: t.isin(sorted({t for _, t, _ in chosen})))).alias("term"))
+    found = hits.groupBy(key, "field", "boost", "len", "term").agg(F.count("*").alias("tf"))
     df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
-    scored = found.join(df, ["field", "term"]).join(F.broadcast(stats), "field")  # stats has a row for each field
+    scored = found.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field").join(F.broadcast(wanted), "term")  # as many rows as fields and chosen terms
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    per_field = scored.groupBy(key, "field").agg(F.max("boost").alias("boost"), F.sum(idf * tf).alias("bm25"))
+    per_field = scored.groupBy(key, "field").agg(F.max("boost").alias("boost"), F.sum(F.col("weight") * idf * tf).alias("bm25"))
     best = per_field.groupBy(key).agg(F.round(F.max(F.col("boost") * F.col("bm25")), 6).alias("score"))
     return best.orderBy(F.desc("score"), key).limit(k)
 
 
-def allowed_edits(word: str) -> int:
-    """None for up to two characters, one for up to five, else two."""
-    return 0 if len(word) <= 2 else 1 if len(word) <= 5 else 2
-
-
-def expand_fuzzy(vocabulary: DataFrame, words: list[str], term: str = "term") -> DataFrame:
-    """(word, term): the terms of a vocabulary within the edits that each query word allows."""
-    asked = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(allowed_edits(w)).alias("edits")) for w in sorted(set(words))])
-    near = F.filter(asked, lambda a: (F.abs(F.length(a["word"]) - F.length(term)) <= a["edits"]) & (F.levenshtein(a["word"], F.col(term), 2) >= 0) & (F.levenshtein(a["word"], F.col(term)) <= a["edits"]))
-    return vocabulary.select(term).distinct().select(term, F.explode(near).alias("a")).select("a.word", term)
-
-
 def highlight(text: Column, words: list[str], size: int = 150, most: int = 3) -> Column:
     """Up to ``most`` fragments of ``size`` characters with matches in <em>; fragments tile the text, so none overlap."""
     pattern = r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(sorted({w for w in words if w.isalnum()}, key=len, reverse=True)) + r")(?![\p{L}\p{N}_])"
@@ -148,6 +257,7 @@ def vector_stats(vectors: DataFrame, key: str, vector: str = "embedding") -> Dat
     return vectors.select(key, F.size(vector).cast("long").alias("dims"), F.slice(vector, 1, 5).alias("first_values"), F.array_min(vector).alias("min_value"), F.array_max(vector).alias("max_value"), F.round(F.try_divide(total, F.size(vector)), 6).alias("avg_value"))
 
 
+# The wording of contexts.
 def format_context(rows: DataFrame, group: str, rank: str) -> DataFrame:
     """group and ``context``: numbered blocks of a question's records with title, summary and at most ten articles.
 
@@ -166,6 +276,26 @@ def format_context(rows: DataFrame, group: str, rank: str) -> DataFrame:
     return blocks.select(group, F.array_join(F.transform("b", lambda x: x["b"]), "\n").alias("context"))
 
 
+def question_context(questions: DataFrame, index: DataFrame, norms: DataFrame, articles: DataFrame, k: int = 5, filters: dict[str, object] | None = None) -> DataFrame:
+    """From questions with vectors to context: query_id, norma_ids, context, answer and message, a row for each question.
+
+    ``index`` holds the search documents (id, source_id, embedding and what ``filters`` compare); the ``k`` nearest that
+    pass the filters are a question's hits. Their records, distinct and in order of the first hit, are joined with
+    ``norms`` (infoleg_id and the fields of :func:`format_context`) and ``articles`` (infoleg_id, articles). A question
+    without hits gets an empty context and says so.
+    """
+    for name, value in (filters or {}).items():
+        index = index.filter(F.col(name) == value)
+    hits = batch_top_k(index, questions, k).join(index.select("id", F.col("source_id").try_cast("long").alias("infoleg_id")), "id").filter("infoleg_id is not null")
+    records = hits.groupBy("query_id", "infoleg_id").agg(F.min("rank").alias("rank"))
+    full = records.join(norms, "infoleg_id").join(articles, "infoleg_id", "left")
+    ids = full.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "infoleg_id"))), lambda r: r["infoleg_id"]).alias("norma_ids"))  # k at most
+    rows = questions.select("query_id").join(format_context(full, "query_id", "rank").join(ids, "query_id"), "query_id", "left")
+    none = F.col("norma_ids").isNull()
+    message = F.when(none, "No similar documents found").otherwise(F.concat(F.lit("Successfully retrieved context with "), F.size("norma_ids").cast("string"), F.lit(" normas")))
+    return rows.select("query_id", F.coalesce("norma_ids", F.array().cast("array<bigint>")).alias("norma_ids"), F.coalesce("context", F.lit("")).alias("context"), F.when(none, NO_HITS).otherwise("").alias("answer"), message.alias("message"))
+
+
 def short_context(hits: DataFrame, group: str, rank: str, text: Column, most: int = 3, size: int = 500) -> DataFrame:
     """group, context (the first ``size`` characters of the best ``most`` hits) and source ids."""
     best = hits.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(rank))).filter(F.col("__n") <= most)

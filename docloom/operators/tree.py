@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from docloom.sources import shared
 
-MAX_DEPTH = 16
 _DIVISION = "struct<name:string,ordinal:string,title:string,body:string,embedding:array<double>,articles:array<string>,divisions:array<string>>"
 _ARTICLE = "struct<ordinal:string,body:string,embedding:array<double>,articles:array<string>>"
 NODE = ["norm_id", "kind", "path", "parent_path", "sort_path", "depth", "order_index", "name", "ordinal", "title", "body", "embedding"]
@@ -45,8 +44,8 @@ def _children(rows: DataFrame, column: str, kind: str) -> DataFrame:
     )
 
 
-def flatten(trees: DataFrame, key: str, tree: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """All nodes of all trees, one row each (columns ``NODE``). Broken JSON and nodes below ``max_depth`` give no rows.
+def flatten(trees: DataFrame, key: str, tree: str) -> DataFrame:
+    """All nodes of all trees, of any depth, one row each (columns ``NODE``). Broken JSON gives no rows.
 
     Each level is written to the shared folder with its nodes' children as JSON, so every text is parsed once a level and
     the next level starts from that file, not from the trees.
@@ -54,10 +53,10 @@ def flatten(trees: DataFrame, key: str, tree: str, max_depth: int = MAX_DEPTH) -
     top = F.from_json(tree, "struct<divisions:array<string>>")["divisions"]
     level = trees.select(F.col(key).alias("norm_id"), F.lit("").alias("path"), F.lit("").alias("sort_path"), F.lit(0).alias("depth"), F.lit(None).cast("array<string>").alias("__articles"), top.alias("__divisions"))
     levels = []
-    for _ in range(max_depth):
+    while True:
         level = shared.table(_children(level, "__articles", "article").unionByName(_children(level, "__divisions", "division")), "level")
         levels.append(level.select(*NODE))
-        if len(levels) == max_depth or not level.filter("size(__articles) > 0 or size(__divisions) > 0").head(1):
+        if not level.filter("size(__articles) > 0 or size(__divisions) > 0").head(1):
             break
     return reduce(DataFrame.unionByName, levels)
 
@@ -98,6 +97,8 @@ def rebuild(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
         article = F.concat(_open(F.struct("ordinal", "body")), F.lit(',"articles":'), listed(F.col("a")), F.lit("}"))
         division = F.concat(_open(F.struct("name", "ordinal", "title", "body")), F.lit(',"articles":'), listed(F.col("a")), F.lit(',"divisions":'), listed(F.col("d")), F.lit("}"))
         below = own.select("norm_id", "kind", "path", "parent_path", "order_index", F.when(F.col("kind") == "article", article).otherwise(division).alias("json"))
+        if (deepest - depth) % 4 == 3:  # deep trees would make one plan of all levels
+            below = shared.table(below, "below")
     roots = below.groupBy("norm_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("order_index", "path", "json"))), lambda c: c["json"]).alias("d"))
     return roots.select("norm_id", F.concat(F.lit('{"divisions":['), F.array_join("d", ","), F.lit("]}")).alias("tree"))
 
@@ -125,10 +126,11 @@ def counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("norm_id").agg(F.count_if(F.col("kind") == "division").alias("divisions_created"), F.count_if(F.col("kind") == "article").alias("articles_created"))
 
 
-def structure_errors(trees: DataFrame, key: str, tree: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def structure_errors(trees: DataFrame, key: str, tree: str) -> DataFrame:
     """First error of each tree in document order: key, path, error. Trees without error give no row.
 
-    Checked are the list of divisions, the required keys of every node, string fields (null allowed) and list fields.
+    Checked are the list of divisions, the required keys of every node at every depth, string fields (null allowed) and
+    list fields.
     """
     v = F.try_parse_json(tree)
     root = trees.select(F.col(key).alias(key), v.alias("v"))
@@ -139,7 +141,7 @@ def structure_errors(trees: DataFrame, key: str, tree: str, max_depth: int = MAX
     errors.append(root.filter(F.col("v").isNotNull() & ~is_list(top)).select(key, F.lit("").alias("path"), F.lit("").alias("sort"), F.lit("divisions must be a list").alias("error")))
     fields = {"division": (["name", "ordinal", "title", "body"], ["articles", "divisions"]), "article": (["ordinal", "body"], ["articles"])}
     level = {"division": _nodes(root.filter(is_list(top)).select(key, F.lit("").alias("path"), F.lit("").alias("sort"), "v"), key, "divisions", "d", "2"), "article": None}
-    for _ in range(max_depth):
+    while True:
         following: dict[str, list[DataFrame]] = {"division": [], "article": []}
         for kind, rows in level.items():
             if rows is None:
@@ -159,7 +161,7 @@ def structure_errors(trees: DataFrame, key: str, tree: str, max_depth: int = MAX
                 child = "division" if name == "divisions" else "article"
                 ok = rows.filter(is_list(kind_of(F.col("v"), f"$.{name}")))
                 following[child].append(_nodes(ok, key, name, "d" if child == "division" else "a", "2" if child == "division" else "1"))
-        level = {k: reduce(DataFrame.unionByName, v) if v else None for k, v in following.items()}
+        level = {k: shared.table(reduce(DataFrame.unionByName, v), "level") if v else None for k, v in following.items()}
         if not any(rows is not None and rows.head(1) for rows in level.values()):
             break
     everything = reduce(DataFrame.unionByName, errors)

@@ -60,6 +60,14 @@ def word_diff(pairs: DataFrame, original: str, derived: str) -> DataFrame:
     return w.withColumn("removed", F.array_sort(F.array_except("__o", "__d"))).withColumn("added", F.array_sort(F.array_except("__d", "__o"))).drop("__o", "__d")
 
 
+def content_diff(original: Column, derived: Column) -> Column:
+    """Unified diff of the texts cleaned for comparison, which are a line each; empty if they are equal."""
+    a, b = for_comparison(F.coalesce(original, F.lit(""))), for_comparison(F.coalesce(derived, F.lit("")))
+    span = lambda text: F.when(text == "", "0,0").otherwise("1")
+    line = lambda sign, text: F.when(text != "", F.concat(F.lit("\n" + sign), text)).otherwise("")
+    return F.when(a == b, "").otherwise(F.concat(F.lit("--- original\n+++ llm_extracted\n@@ -"), span(a), F.lit(" +"), span(b), F.lit(" @@"), line("-", a), line("+", b)))
+
+
 def first_success(attempts: DataFrame, key: str, priority: str, model: str, output: str, success: str, tokens: str) -> DataFrame:
     """For each key the output and model of the successful attempt of lowest priority, the models tried up to it, and their tokens.
 

@@ -10,6 +10,7 @@ from docloom.plans import views
 from docloom.plans.corpus import SQL_WORDS
 from docloom.plans.registry import query
 from docloom.plans.views import ARTICLES, DIVISIONS, NORMAS, table
+from docloom.sources import records
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,25 +70,30 @@ def search_words(text: str) -> list[str]:
 
 
 _TERMS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^a-z0-9áéíóúüñàèìòùâêîôûäëïöçß]+'), lambda t: t <> '')"
-_KEYWORD = f"""with {NORMAS}, q as (select distinct unnest({_TERMS.format('text')}) term from (select text from benchmark order by item_id limit 1)),
-fields as (select infoleg_id id, 'titulo_resumido' field, 3.0 boost, {_TERMS.format('titulo_resumido')} t from normas union all select infoleg_id, 'texto_norma', 2.0, {_TERMS.format('texto_norma')} from normas),
-stats as (select field, count(*) filter (len(t) > 0) n, avg(len(t)) filter (len(t) > 0) avg_len from fields group by 1),
-found as (select id, field, boost, len(t) l, term, len(list_filter(t, lambda x: x = term)) tf from fields, q where list_contains(t, term)),
-df as (select field, term, count(*) df from found group by all),
-scored as (select id, field, boost, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len))) s from found join df using (field, term) join stats using (field) group by all)
+_FIELDS = {"titulo_sumario": "titulo_sumario", "titulo_resumido": "titulo_resumido", "purified_texto_norma": "texto_norma", "purified_texto_norma_actualizado": "texto_norma_actualizado", "observaciones": "texto_resumido", "structured_texto_norma": "upper(texto_norma)", "structured_texto_norma_actualizado": "upper(texto_norma_actualizado)"}
+_PLAIN = "translate({0}, 'áéíóúüñàèìòùâêîôûäëïöçß', 'ABCDEFGHIJKLMNOPQRSTUVW')"  # DuckDB counts edits of bytes
+_ALLOWED = "case when length(word) <= 2 then 0 when length(word) <= 5 then 1 else 2 end"
+_KEYWORD = f"""with {NORMAS}, q as (select distinct unnest({_TERMS.format('text')}) word from (select text from benchmark order by item_id limit 1)),
+fields as ({' union all '.join(f"select infoleg_id id, '{f}' field, {search.BOOSTS[f]} boost, {_TERMS.format(c)} t from normas" for f, c in _FIELDS.items())}),
+stats as (select field, count(*) n, avg(len(t)) avg_len from fields where len(t) > 0 group by 1),
+tokens as materialized (select id, field, boost, l, term, count(*) tf from (select id, field, boost, len(t) l, unnest(t) term from fields) group by all),
+near as (select word, term, levenshtein({_PLAIN.format('word')}, {_PLAIN.format('term')}) edits from (select distinct term from tokens), q where abs(length(word) - length(term)) <= {_ALLOWED}),
+chosen as (select word, term, 1.0 - edits / least(length(word), length(term)) weight from near where edits <= {_ALLOWED} qualify row_number() over (partition by word order by edits, term) <= 50),
+df as (select field, term, count(*) df from tokens group by all),
+scored as (select id, field, boost, sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len))) s from tokens join chosen using (term) join df using (field, term) join stats using (field) group by all)
 select id, round(max(boost * s), 6) score from scored group by id order by score desc, id limit 10"""
 
 
 @query("k6_keyword", _KEYWORD)
 def k6(spark: SparkSession, sf: str) -> DataFrame:
-    docs = views.normas(spark, sf).withColumnRenamed("infoleg_id", "id")
-    return search.keyword_search(docs, _question(spark, sf), {"titulo_resumido": 3.0, "texto_norma": 2.0})
+    docs = views.normas(spark, sf).selectExpr("infoleg_id id", *[f"{c} {f}" for f, c in _FIELDS.items()])
+    return search.keyword_search(docs, _question(spark, sf))
 
 
 @query(
     "k7_fuzzy_terms",
     f"""with vocab as (select distinct unnest({_TERMS.format('text')}) term from documents), q as (select distinct unnest({_TERMS.format('text')}) word from (select text from benchmark order by item_id limit 1))
-select word, term from vocab join q on levenshtein(translate(word, 'áéíóúüñàèìòùâêîôûäëïöçß', 'ABCDEFGHIJKLMNOPQRSTUVW'), translate(term, 'áéíóúüñàèìòùâêîôûäëïöçß', 'ABCDEFGHIJKLMNOPQRSTUVW')) <= case when length(word) <= 2 then 0 when length(word) <= 5 then 1 else 2 end""",
+select word, term, levenshtein({_PLAIN.format('word')}, {_PLAIN.format('term')}) edits from vocab, q where levenshtein({_PLAIN.format('word')}, {_PLAIN.format('term')}) <= {_ALLOWED}""",
 )
 def k7(spark: SparkSession, sf: str) -> DataFrame:
     vocabulary = table(spark, sf, "documents").select(F.explode(search.terms(F.col("text"))).alias("term"))
@@ -122,10 +128,12 @@ def p23(spark: SparkSession, sf: str) -> DataFrame:
     return search.metadata(views.normas(spark, sf).withColumnsRenamed({"publicacion": "sancion", "titulo_resumido": "nro_boletin"}))
 
 
-@query("p24_without_embedding", "select vec_id, label from embeddings")
+@query("p24_without_embedding", """select vec_id, '{"label":' || label || ',"articles":[{"n":1,"articles":[{"n":2}]}],"by_name":{"a":{"n":' || vec_id || '}}}' node from embeddings""")
 def p24(spark: SparkSession, sf: str) -> DataFrame:
-    nested = table(spark, sf, "embeddings").select("vec_id", F.struct("label", "embedding").alias("node"))
-    return nested.withColumn("node", F.col("node").dropFields("embedding")).select("vec_id", "node.label")
+    article = F.struct(F.lit(1).alias("n"), "embedding", F.array(F.struct("embedding", F.lit(2).alias("n"))).alias("articles"))
+    node = F.struct("label", "embedding", F.array(article).alias("articles"), F.create_map(F.lit("a"), F.struct(F.col("vec_id").alias("n"), "embedding")).alias("by_name"))
+    bare = records.without_field(table(spark, sf, "embeddings").select("vec_id", node.alias("node"), "embedding"))
+    return bare.select("vec_id", F.to_json("node").alias("node"))
 
 
 @query("p25_node_text", f"""with {DIVISIONS} select id, nullif(trim(concat_ws(' ', nullif(case when order_index % 2 = 0 then "name" else '' end, ''), nullif(body, '')), ' '), '') t from divisions""")
@@ -145,9 +153,13 @@ def p30(spark: SparkSession, sf: str) -> DataFrame:
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     """Five records for each question: the nearest vectors' ids are record ids."""
     hits = search.batch_top_k(_docs(spark, sf), _queries(spark, sf), 5).select("query_id", F.col("id").alias("infoleg_id"), "rank")
+    return hits.join(views.normas(spark, sf), "infoleg_id").join(_listed_articles(spark, sf), "infoleg_id", "left")
+
+
+def _listed_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """The first twelve divisions of each record; a context shows ten."""
     articles = views.divisions(spark, sf).filter("order_index <= 12").groupBy(F.col("norma_id").alias("infoleg_id")).agg(F.array_sort(F.collect_list(F.struct("order_index", "name", "body"))).alias("a"))
-    listed = articles.select("infoleg_id", F.transform("a", lambda x: F.struct(x["name"].alias("ordinal"), x["body"].alias("body"))).alias("articles"))
-    return hits.join(views.normas(spark, sf), "infoleg_id").join(listed, "infoleg_id", "left")
+    return articles.select("infoleg_id", F.transform("a", lambda x: F.struct(x["name"].alias("ordinal"), x["body"].alias("body"))).alias("articles"))
 
 
 _CONTEXT = f"""{NORMAS}, {DIVISIONS}, {_VECTORS}, {_BATCH},
@@ -175,42 +187,55 @@ def p28(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", F.md5("context").alias("digest"), F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources"))
 
 
-@query("k9_question_context", f"with {_CONTEXT} select query_id, count(*) records, min(infoleg_id) first_id, sum(length(coalesce(l, ''))) article_chars from found left join lines on norma_id = infoleg_id group by 1")
+_BLOCKS = """string_agg(chr(10) || '--- Norma ' || i || ' ---' || chr(10) || 'Tipo: ' || coalesce(tipo_norma, 'N/A') || chr(10) || 'Título: ' || coalesce(nullif(titulo_resumido, ''), titulo_sumario) || chr(10)
+  || 'Jurisdicción: ' || coalesce(jurisdiccion, 'N/A') || chr(10) || case when coalesce(texto_resumido, '') <> '' then 'Resumen: ' || texto_resumido || chr(10) else '' end
+  || case when l is not null then chr(10) || 'Artículos relevantes:' || chr(10) || l else '' end, chr(10) order by i)"""
+
+
+@query(
+    "k9_question_context",
+    f"""with {_CONTEXT}, contexts as (select query_id, {_BLOCKS} context, string_agg(infoleg_id, ',' order by i) ids, count(*) n from found left join lines on norma_id = infoleg_id where query_id % 300 <> 0 group by 1)
+select id query_id, coalesce(ids, '') norma_ids, md5(coalesce(context, '')) digest, case when n is null then 'No documents found. Were they loaded?' else '' end answer,
+  case when n is null then 'No similar documents found' else 'Successfully retrieved context with ' || n || ' normas' end message from docs left join contexts on query_id = id where id % 100 = 0""",
+)
 def k9(spark: SparkSession, sf: str) -> DataFrame:
-    line = lambda a: F.when(a["body"] != "", F.length(a["ordinal"]) + F.length(a["body"]) + 16).otherwise(0)
-    chars = F.aggregate(F.transform(F.slice("articles", 1, 10), line), F.lit(0).cast("long"), lambda s, x: s + x)
-    return _hits(spark, sf).groupBy("query_id").agg(F.count("*").alias("records"), F.min("infoleg_id").alias("first_id"), F.sum(F.coalesce(chars, F.lit(0))).alias("article_chars"))
+    """Every third question has a vector of zeros, which is near to nothing."""
+    asked = _queries(spark, sf).withColumn("embedding", F.when(F.col("query_id") % 300 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")))
+    index = _docs(spark, sf).withColumn("source_id", F.col("id").cast("string"))
+    out = search.question_context(asked, index, views.normas(spark, sf), _listed_articles(spark, sf))
+    return out.select("query_id", F.array_join(F.transform("norma_ids", lambda i: i.cast("string")), ",").alias("norma_ids"), F.md5("context").alias("digest"), "answer", "message")
 
 
 @query("u1_hash_embedding", None)
 def u1(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", embed.hash_embedding(F.col("text")).alias("embedding"))
+    return table(spark, sf, "documents").select("doc_id", embed.hash_embedding(F.col("text")).alias("embedding"))
 
 
-_PAIRS = f"""pairs as (select a.conv_id, {SQL_WORDS.format('a.text')} o, {SQL_WORDS.format('b.text')} d from conversations a join conversations b on a.conv_id = b.conv_id where a.turn = 0 and b.turn = 1)"""
+_PAIRS = f"""pairs as (select a.conv_id, b.turn, {SQL_WORDS.format('a.text')} o, {SQL_WORDS.format('b.text')} d from conversations a join conversations b on a.conv_id = b.conv_id and a.turn = b.turn - 1)"""
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn as a derivation of the one before it."""
     c = table(spark, sf, "conversations")
-    return c.filter("turn = 0").select("conv_id", F.col("text").alias("original")).join(c.filter("turn = 1").select("conv_id", F.col("text").alias("derived")), "conv_id")
+    return c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("original")).join(c.select("conv_id", "turn", F.col("text").alias("derived")), ["conv_id", "turn"])
 
 
 def _words(spark: SparkSession, sf: str) -> DataFrame:
     p = _pairs(spark, sf)
-    return p.select("conv_id", verify.content_words(F.col("original")).alias("o"), verify.content_words(F.col("derived")).alias("d"))
+    return p.select("conv_id", "turn", verify.content_words(F.col("original")).alias("o"), verify.content_words(F.col("derived")).alias("d"))
 
 
 _UNION, _BOTH = "len(list_distinct(list_concat(o, d)))", "len(list_intersect(list_distinct(o), list_distinct(d)))"
 
 
-@query("v2_jaccard", f"with {_PAIRS} select conv_id, round(case when {_UNION} = 0 then 1 else {_BOTH} / {_UNION} end, 9) jaccard from pairs")
+@query("v2_jaccard", f"with {_PAIRS} select conv_id, turn, round(case when {_UNION} = 0 then 1 else {_BOTH} / {_UNION} end, 9) jaccard from pairs")
 def v2(spark: SparkSession, sf: str) -> DataFrame:
-    return _words(spark, sf).select("conv_id", F.round(verify.jaccard(F.col("o"), F.col("d")), 9).alias("jaccard"))
+    return _words(spark, sf).select("conv_id", "turn", F.round(verify.jaccard(F.col("o"), F.col("d")), 9).alias("jaccard"))
 
 
-@query("v3_added_penalty", f"with {_PAIRS}, s as (select conv_id, (len(list_distinct(d)) - {_BOTH}) / greatest(len(list_distinct(o)), 1) r from pairs) select conv_id, round(case when r > 0.05 then greatest(0.4, 1 - 3 * r) else 1 end, 9) penalty from s")
+@query("v3_added_penalty", f"with {_PAIRS}, s as (select conv_id, turn, (len(list_distinct(d)) - {_BOTH}) / greatest(len(list_distinct(o)), 1) r from pairs) select conv_id, turn, round(case when r > 0.05 then greatest(0.4, 1 - 3 * r) else 1 end, 9) penalty from s")
 def v3(spark: SparkSession, sf: str) -> DataFrame:
-    return _words(spark, sf).select("conv_id", F.round(verify.added_penalty(F.col("o"), F.col("d")), 9).alias("penalty"))
+    return _words(spark, sf).select("conv_id", "turn", F.round(verify.added_penalty(F.col("o"), F.col("d")), 9).alias("penalty"))
 
 
 _HALF = f"halves as (select doc_id, {SQL_WORDS.format('text')} o, {SQL_WORDS.format('substr(text, 1, length(text) // 2)')} d from documents)"
@@ -225,12 +250,12 @@ def v4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("v1_sequence_ratio")
 def v1(spark: SparkSession, sf: str) -> DataFrame:
-    return _words(spark, sf).select("conv_id", verify.sequence_ratio("o", "d").alias("ratio"))
+    return _words(spark, sf).select("conv_id", "turn", verify.sequence_ratio("o", "d").alias("ratio"))
 
 
 @query("v5_fidelity")
 def v5(spark: SparkSession, sf: str) -> DataFrame:
-    return verify.fidelity(_pairs(spark, sf), "original", "derived").select("conv_id", "sequence", "jaccard", "added", "truncated", "score")
+    return verify.fidelity(_pairs(spark, sf), "original", "derived").select("conv_id", "turn", "sequence", "jaccard", "added", "truncated", "score")
 
 
 @query("v6_decision", """select event_id, event_type <> 'error' and "value" >= 70 - 1e-9 is_valid, case when event_type = 'error' then 'invalid structure' when "value" < 70 - 1e-9 then 'content differs' else 'ok' end message from events""")
@@ -244,10 +269,23 @@ _CMP = r"list_distinct(list_filter(string_split(trim(regexp_replace(regexp_repla
 
 @query(
     "v7_word_diff",
-    f"with p as (select a.conv_id, {_CMP.format('a.text')} o, {_CMP.format('b.text')} d from conversations a join conversations b on a.conv_id = b.conv_id where a.turn = 0 and b.turn = 1) select conv_id, array_to_string(list_sort(list_filter(o, lambda w: not list_contains(d, w))), ' ') removed, array_to_string(list_sort(list_filter(d, lambda w: not list_contains(o, w))), ' ') added from p",
+    f"with p as (select a.conv_id, b.turn, {_CMP.format('a.text')} o, {_CMP.format('b.text')} d from conversations a join conversations b on a.conv_id = b.conv_id and a.turn = b.turn - 1) select conv_id, turn, array_to_string(list_sort(list_filter(o, lambda w: not list_contains(d, w))), ' ') removed, array_to_string(list_sort(list_filter(d, lambda w: not list_contains(o, w))), ' ') added from p",
 )
 def v7(spark: SparkSession, sf: str) -> DataFrame:
-    return verify.word_diff(_pairs(spark, sf), "original", "derived").select("conv_id", F.array_join("removed", " ").alias("removed"), F.array_join("added", " ").alias("added"))
+    return verify.word_diff(_pairs(spark, sf), "original", "derived").select("conv_id", "turn", F.array_join("removed", " ").alias("removed"), F.array_join("added", " ").alias("added"))
+
+
+_LINE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '^texto norma(?: actualizado)?:[ \t-\r]*', ''), '[ \t-\r]+', ' ', 'g'), '-{{2,}}', '', 'g'), '[°.][ ]*', ' ', 'g'), ' ')"
+
+
+@query(
+    "v7_content_diff",
+    f"""with p as (select a.conv_id, b.turn, {_LINE.format("coalesce(a.text, '')")} o, {_LINE.format("coalesce(b.text, '')")} d from conversations a join conversations b on a.conv_id = b.conv_id and a.turn = b.turn - 1)
+select conv_id, turn, case when o = d then '' else '--- original' || chr(10) || '+++ llm_extracted' || chr(10) || '@@ -' || case when o = '' then '0,0' else '1' end || ' +' || case when d = '' then '0,0' else '1' end || ' @@'
+  || case when o <> '' then chr(10) || '-' || o else '' end || case when d <> '' then chr(10) || '+' || d else '' end end diff from p""",
+)
+def v7_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(spark, sf).select("conv_id", "turn", verify.content_diff(F.col("original"), F.col("derived")).alias("diff"))
 
 
 _ATTEMPTS = """attempts as (select user_id, row_number() over (partition by user_id order by event_type, event_id) p, event_type model, 'out' || event_id output, event_type <> 'error' success, cast(floor("value") as bigint) tokens from (select *, row_number() over (partition by user_id, event_type order by event_id) n from events) where n = 1 and (user_id % 5 <> 0 or event_type = 'error')),
@@ -269,9 +307,9 @@ def v8(spark: SparkSession, sf: str) -> DataFrame:
     return _chosen(spark, sf).withColumn("attempts", F.array_join("attempts", ","))
 
 
-@query("v9_fallback", f"with {_ATTEMPTS} select doc_id user_id, coalesce(output, substr(text, 1, 30)) text, coalesce(case when output is not null then model end, 'none') model_used, cast(case when output is not null then tokens else 0 end as bigint) tokens_used from documents left join chosen on user_id = doc_id")
+@query("v9_fallback", f"with {_ATTEMPTS} select doc_id user_id, coalesce(output, text) text, coalesce(case when output is not null then model end, 'none') model_used, cast(case when output is not null then tokens else 0 end as bigint) tokens_used from documents left join chosen on user_id = doc_id")
 def v9(spark: SparkSession, sf: str) -> DataFrame:
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("user_id"), F.substring("text", 1, 30).alias("text"))
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("user_id"), "text")
     return verify.with_fallback(texts, _chosen(spark, sf), "user_id", "text")
 
 

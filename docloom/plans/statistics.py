@@ -22,10 +22,9 @@ def a5(spark: SparkSession, sf: str) -> DataFrame:
     return stats.failed_ids(_failures(spark, sf))
 
 
-@query("a6_failures_by_type", f"with {_FAILURES} select coalesce(error_type, 'unknown') error_type, count(*) n, md5(string_agg(infoleg_id, ',' order by infoleg_id)) ids from failures group by 1")
+@query("a6_failures_by_type", f"with {_FAILURES} select coalesce(error_type, 'unknown') error_type, infoleg_id, count(*) over (partition by coalesce(error_type, 'unknown')) n from failures")
 def a6(spark: SparkSession, sf: str) -> DataFrame:
-    out = stats.failures_by_type(_failures(spark, sf))
-    return out.select("error_type", "n", F.md5(F.array_join(F.transform("infoleg_ids", lambda i: i.cast("string")), ",")).alias("ids"))
+    return stats.failures_by_type(_failures(spark, sf))
 
 
 @query("a7_failure_summary", f"with {_FAILURES} select coalesce(error_type, 'unknown') error_type, count(*) n, (select count(*) from failures) total, (select count(distinct infoleg_id) from failures) unique_ids from failures group by 1")
@@ -42,12 +41,19 @@ def a8(spark: SparkSession, sf: str) -> DataFrame:
     "a9_daily_intake",
     """with days as (select cast(unnest(generate_series(date '1998-01-01', date '1998-12-31', interval 1 day)) as date) d),
 own as (select cast(o_orderdate as date) d, o_orderkey k, o_orderstatus s from orders)
-select days.d as "day", count(k) total, count(*) filter (s = 'O') scraped, count(*) filter (s = 'P') cached, count(*) filter (s = 'F') failed, coalesce(string_agg(k, ',' order by k) filter (s = 'F'), '') failed_ids from days left join own on own.d = days.d group by 1""",
+select days.d as "day", count(k) total, count(*) filter (s = 'O') scraped, count(*) filter (s = 'P') cached, count(*) filter (s = 'F') failed from days left join own on own.d = days.d group by 1""",
 )
 def a9(spark: SparkSession, sf: str) -> DataFrame:
-    outcomes = table(spark, sf, "orders").selectExpr("cast(o_orderdate as date) day", "o_orderkey", "case o_orderstatus when 'O' then 'scraped' when 'P' then 'cached' else 'failed' end status")
-    out = stats.daily_intake(outcomes, "1998-01-01", "1998-12-31", "day", "status", "o_orderkey")
-    return out.withColumn("failed_ids", F.array_join(F.transform("failed_ids", lambda i: i.cast("string")), ","))
+    return stats.daily_intake(_outcomes(spark, sf), "1998-01-01", "1998-12-31", "day", "status")
+
+
+def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").selectExpr("cast(o_orderdate as date) day", "o_orderkey", "case o_orderstatus when 'O' then 'scraped' when 'P' then 'cached' else 'failed' end status")
+
+
+@query("a9_failed_ids", """select cast(o_orderdate as date) "day", o_orderkey from orders where o_orderstatus not in ('O', 'P') and cast(o_orderdate as date) between date '1998-01-01' and date '1998-12-31'""")
+def a9_failed(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.failed_of_day(_outcomes(spark, sf), "1998-01-01", "1998-12-31", "day", "status", "o_orderkey")
 
 
 @query("a10_index_statistics", f"with {NORMAS} select tipo_norma, count(*) n from normas where tipo_norma is not null group by 1 order by n desc, 1 limit 10")
@@ -55,6 +61,16 @@ def a10(spark: SparkSession, sf: str) -> DataFrame:
     return stats.index_statistics(views.normas(spark, sf), "tipo_norma")
 
 
+@query(
+    "a10_index_report",
+    f"""with {NORMAS}, t as (select 'content_types' section, titulo_sumario "value" from normas union all select 'jurisdictions', jurisdiccion from normas union all select 'document_types', tipo_norma from normas),
+counts as (select section, "value", count(*) n from t where "value" is not null group by all)
+select section, "value", n from counts qualify row_number() over (partition by section order by n desc, "value") <= 10 union all select 'documents', null, count(*) from normas""",
+)
+def a10_report(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.index_report(views.normas(spark, sf), {"content_types": "titulo_sumario", "jurisdictions": "jurisdiccion", "document_types": "tipo_norma"})
+
+
 @query("a11_batch_summary", """select event_id // 500 batch, count(*) total, count(*) filter (event_type <> 'error') successful, count(*) filter (event_type = 'error') failed, round(count(*) filter (event_type <> 'error') * 100.0 / count(*), 2) success_rate from events group by 1""")
 def a11(spark: SparkSession, sf: str) -> DataFrame:
     return stats.outcome_statistics(table(spark, sf, "events").withColumn("batch", F.expr("event_id div 500")), ["batch"], F.col("event_type") != "error")

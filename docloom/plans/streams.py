@@ -83,14 +83,23 @@ def t4(spark: SparkSession, sf: str) -> DataFrame:
 @query("t5_upsert", """select user_id, max(event_id) event_id, arg_max("value", event_id) "value" from events group by 1""")
 def t5(spark: SparkSession, sf: str) -> DataFrame:
     rows = _stream(spark, sf, "events", "inserting").select("user_id", "event_id", "value")
-    return flow.upsert_stream(rows, "user_id", "keyed", "event_id")
+    return flow.upsert_stream(rows, "user_id", shared.new_path(spark, "keyed"), "event_id")
 
 
-@query("t6_replay", "select doc_id, case when l.doc_id is not null then 'replayed' else 'not_in_cache' end status, quality, case when l.doc_id is not null then true end from_cache from (select doc_id from documents where doc_id % 3 = 0) d left join labels l using (doc_id)")
+_STAGE_OF = {"view": "processing", "click": "message_sent", "error": "api_error", "purchase": "insertion"}
+
+
+@query("t13_vocabulary", f"""select event_id, coalesce(stage in ({', '.join(f"'{s}'" for s in flow.STAGES)}), false) is_known from (select event_id, case event_type {' '.join(f"when '{k}' then '{v}'" for k, v in _STAGE_OF.items())} else 'data_transformation' end stage from events)""")
+def t13(spark: SparkSession, sf: str) -> DataFrame:
+    stage = F.expr("case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in _STAGE_OF.items()) + " else 'data_transformation' end")
+    return flow.drain(flow.vocabulary(_stream(spark, sf, "events").withColumn("stage", stage)).select("event_id", "is_known"), "vocabulary")
+
+
+@query("t6_replay", "select doc_id, case when l.doc_id is not null then 'replayed' else 'not_in_cache' end status, quality, case when l.doc_id is not null then true end from_cache from documents d left join labels l using (doc_id)")
 def t6(spark: SparkSession, sf: str) -> DataFrame:
     from docloom.operators import store
 
-    asked = table(spark, sf, "documents").filter("doc_id % 3 = 0").select("doc_id")
+    asked = table(spark, sf, "documents").select("doc_id")
     cache = table(spark, sf, "labels").select("doc_id", "quality", F.lit(True).alias("from_cache"))
     return store.replay(asked, cache, "doc_id").select("doc_id", "status", "quality", "from_cache")
 
@@ -102,6 +111,12 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     return norms.select("*", *absent)
 
 
+def _as_text(records_: DataFrame) -> DataFrame:
+    """Records whose lists are JSON text, as a store may hand them out."""
+    numbers = F.concat(F.lit('[{"numero":"'), F.col("infoleg_id").cast("string"), F.lit('","dependencia":"x","rama_digesto":null}]'))
+    return records_.withColumn("id_normas", numbers).withColumn("lista_normas_que_complementa", F.concat(F.lit("["), F.col("infoleg_id").cast("string"), F.lit(",7]")))
+
+
 @query("s1_read_cache", f"with {NORMAS} select infoleg_id, tipo_norma, publicacion::varchar publicacion, md5(texto_norma) body from normas")
 def s1(spark: SparkSession, sf: str) -> DataFrame:
     path = shared.new_path(spark, "cache")
@@ -110,18 +125,20 @@ def s1(spark: SparkSession, sf: str) -> DataFrame:
     return good.select("infoleg_id", "tipo_norma", "publicacion", F.md5("texto_norma").alias("body"))
 
 
-@query("s3_export", f"with {NORMAS} select infoleg_id, coalesce(texto_norma <> '', false) has_full_text, publicacion::varchar publicacion from normas")
+@query("s3_export", f"with {NORMAS} select infoleg_id, coalesce(texto_norma <> '', false) has_full_text, publicacion::varchar publicacion, md5(texto_norma) body, 'migrator://postgres/' || infoleg_id api_url, infoleg_id::varchar numero, infoleg_id + 7 complements from normas")
 def s3(spark: SparkSession, sf: str) -> DataFrame:
-    wrapped = records.wrap(_records(spark, sf), "2024-01-01T00:00:00")
-    return wrapped.select("data.scraping_data.infoleg_response.infoleg_id", "data.scraping_data.scraper_metadata.has_full_text", "data.scraping_data.infoleg_response.publicacion")
+    wrapped = records.wrap(_as_text(_records(spark, sf)), "2024-01-01T00:00:00").select("data.scraping_data.*")
+    record, about = "infoleg_response", "scraper_metadata"
+    complements = F.aggregate(f"{record}.lista_normas_que_complementa", F.lit(0).cast("long"), lambda a, x: a + x)
+    return wrapped.select(f"{record}.infoleg_id", f"{about}.has_full_text", f"{record}.publicacion", F.md5(f"{record}.texto_norma").alias("body"), f"{about}.api_url", F.col(f"{record}.id_normas")[0]["numero"].alias("numero"), complements.alias("complements"))
 
 
-@query("s5_payload", f"with {NORMAS} select infoleg_id, tipo_norma, titulo_sumario, case when infoleg_id % 2 = 0 then publicacion end publicacion, 0 complements from normas")
+@query("s5_payload", f"with {NORMAS} select infoleg_id, tipo_norma, titulo_sumario, case when infoleg_id % 2 = 0 then publicacion end publicacion, case when infoleg_id % 3 = 0 then 0 else infoleg_id end complements from normas")
 def s5(spark: SparkSession, sf: str) -> DataFrame:
     day = F.when(F.col("infoleg_id") % 2 == 0, F.date_format("publicacion", "yyyy-MM-dd")).otherwise(F.date_format("publicacion", "dd/MM/yyyy"))
-    payload = F.to_json(F.struct(F.col("infoleg_id").alias("id"), F.col("tipo_norma").alias("tipoNorma"), F.col("titulo_sumario").alias("tituloSumario"), day.alias("publicacion")))
+    payload = F.to_json(F.struct(F.col("infoleg_id").alias("id"), F.col("tipo_norma").alias("tipoNorma"), F.col("titulo_sumario").alias("tituloSumario"), day.alias("publicacion"), F.when(F.col("infoleg_id") % 3 != 0, F.array("infoleg_id")).alias("listaNormasQueComplementa")))
     rows = records.from_payload(views.normas(spark, sf).select(payload.alias("json")))
-    return rows.select("infoleg_id", "tipo_norma", "titulo_sumario", "publicacion", F.size("lista_normas_que_complementa").alias("complements"))
+    return rows.select("infoleg_id", "tipo_norma", "titulo_sumario", "publicacion", F.coalesce(F.try_element_at("lista_normas_que_complementa", F.lit(1)), F.lit(0)).alias("complements"))
 
 
 _PAGES = "numbered as (select o_orderkey k, cast(o_orderdate as date) d, row_number() over (partition by cast(o_orderdate as date) order by o_orderkey) - 1 i from orders)"
@@ -158,31 +175,31 @@ def s8(spark: SparkSession, sf: str) -> DataFrame:
     return records.read_dump(spark, path, "embedding array<float>, label int").select("_id", "label", F.size("embedding").cast("long").alias("dims"))
 
 
-@query("s9_failure_log", "select doc_id, substr(text, 1, 1000) as input from documents where doc_id % 5 = 0")
+@query("s9_failure_log", "select doc_id, substr(text, 1, 1000) as input from documents")
 def s9(spark: SparkSession, sf: str) -> DataFrame:
     path = shared.new_path(spark, "failures")
-    failed = table(spark, sf, "documents").filter("doc_id % 5 = 0").select("doc_id", F.col("text").alias("input"))
+    failed = table(spark, sf, "documents").select("doc_id", F.col("text").alias("input"))
     records.log_failures(failed.filter("doc_id % 2 = 0"), path)
     records.log_failures(failed.filter("doc_id % 2 = 1"), path)
     return spark.read.schema("doc_id bigint, input string").json(path)
 
 
-@query("s10_articles", "select count(*) n, count(distinct article_number) numbers from (select item_id % 10 article_number from benchmark)")
+@query("s10_articles", "select cast(item_id as varchar) article_number, md5(text) body from benchmark")
 def s10(spark: SparkSession, sf: str) -> DataFrame:
     path = shared.new_path(spark, "articles")
-    one = F.struct((F.col("item_id") % 10).cast("string").alias("article_number"), F.lit(None).cast("string").alias("title"), F.col("text").alias("body"))
-    table(spark, sf, "benchmark").groupBy((F.col("item_id") % 4).alias("g")).agg(F.to_json(F.collect_list(one)).alias("value")).write.partitionBy("g").text(path)
-    rows = records.read_articles(spark, path)
-    return rows.agg(F.count("*").alias("n"), F.countDistinct("article_number").alias("numbers"))
+    one = F.struct(F.col("item_id").cast("string").alias("article_number"), F.lit(None).cast("string").alias("title"), F.col("text").alias("body"))
+    lists = table(spark, sf, "benchmark").groupBy(F.expr("item_id div 50").alias("g")).agg(F.to_json(F.collect_list(one)).alias("value"))  # 50 articles a file
+    lists.write.partitionBy("g").text(path)
+    return records.read_articles(spark, path).select("article_number", F.md5("body").alias("body"))
 
 
-@query("p18_flat_norm", f"with {NORMAS} select infoleg_id, tipo_norma, md5(coalesce(texto_norma_actualizado, texto_norma)) structured, 0 tokens_used from normas")
+@query("p18_flat_norm", f"with {NORMAS} select infoleg_id, tipo_norma, md5(coalesce(texto_norma_actualizado, texto_norma)) structured, infoleg_id % 7 tokens_used from normas")
 def p18(spark: SparkSession, sf: str) -> DataFrame:
     wrapped = records.wrap(_records(spark, sf), "2024-01-01").select("data.scraping_data")
     r = "scraping_data.infoleg_response"
     trees = F.map_from_entries(F.array(F.struct(F.lit("original_text"), F.struct(F.col(f"{r}.texto_norma").alias("structured_data"))), F.struct(F.lit("updated_text"), F.struct(F.col(f"{r}.texto_norma_actualizado").alias("structured_data")))))
     done = F.struct(
-        F.create_map(F.lit("original_text"), F.col(f"{r}.texto_norma")).alias("purifications"), trees.alias("parsings"), F.lit(None).cast("struct<model_used:string,tokens_used:bigint>").alias("processor_metadata"),
+        F.create_map(F.lit("original_text"), F.col(f"{r}.texto_norma")).alias("purifications"), trees.alias("parsings"), F.struct(F.lit("m").alias("model_used"), (F.col(f"{r}.infoleg_id") % 7).alias("tokens_used")).alias("processor_metadata"),
         F.lit(None).cast("struct<embedding_model_used:string>").alias("embedder_metadata"),
     )
     flat = records.flat_norm(wrapped.withColumn("processing_data", done))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from docloom.functions.text import number_or, strict_date
 
@@ -39,13 +40,43 @@ def read_cached(spark: SparkSession, path: str, multi_line: bool = False) -> tup
 
 
 def wrap(norms: DataFrame, cached_at: str, version: str = "1.0") -> DataFrame:
-    """Records as cache entries: cached_at, cache_version and data, dates as ISO text, metadata says if there is a full text."""
-    fields = [F.date_format(c, "yyyy-MM-dd").alias(c) if kind == "date" else F.col(c) for c, kind in norms.dtypes if c != "id"]
+    """Records as cache entries: cached_at, cache_version and data; dates as ISO text, lists that are JSON text parsed.
+
+    The metadata say where the record is from and if there is a full text.
+    """
+
+    def field(c: str, kind: str) -> Column:
+        if kind == "date":
+            return F.date_format(c, "yyyy-MM-dd").alias(c)
+        return F.from_json(c, _LISTS[c]).alias(c) if kind == "string" and c in _LISTS else F.col(c)
+
     full = F.coalesce(F.col("texto_norma") != "", F.lit(False))
-    data = F.struct(F.struct(F.struct(*fields).alias("infoleg_response"), F.struct(full.alias("has_full_text"), F.lit(version).alias("scraper_version")).alias("scraper_metadata")).alias("scraping_data"))
+    about = F.struct(F.concat(F.lit("migrator://postgres/"), F.col("infoleg_id").cast("string")).alias("api_url"), F.lit(version).alias("scraper_version"), full.alias("has_full_text"), F.lit(cached_at).alias("scraping_timestamp"), F.lit(False).alias("from_cache"))
+    data = F.struct(F.struct(F.struct(*[field(c, kind) for c, kind in norms.dtypes if c != "id"]).alias("infoleg_response"), about.alias("scraper_metadata")).alias("scraping_data"))
     return norms.select(F.lit(cached_at).alias("cached_at"), F.lit(version).alias("cache_version"), data.alias("data"))
 
 
+def without_field(df: DataFrame, name: str = "embedding") -> DataFrame:
+    """``df`` without the fields called exactly ``name``, at every depth of structs, lists and map values."""
+
+    def holds(kind: DataType) -> bool:
+        if isinstance(kind, StructType):
+            return any(f.name == name or holds(f.dataType) for f in kind.fields)
+        return holds(kind.elementType) if isinstance(kind, ArrayType) else holds(kind.valueType) if isinstance(kind, MapType) else False
+
+    def bare(value: Column, kind: DataType) -> Column:
+        if not holds(kind):
+            return value
+        if isinstance(kind, ArrayType):
+            return F.transform(value, lambda x: bare(x, kind.elementType))
+        if isinstance(kind, MapType):
+            return F.transform_values(value, lambda _, x: bare(x, kind.valueType))
+        kept = [f for f in kind.fields if f.name != name]
+        return F.when(value.isNotNull(), F.struct(*[bare(value[f.name], f.dataType).alias(f.name) for f in kept]))
+
+    return df.select(*[bare(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields if f.name != name])
+
+
 def from_payload(payloads: DataFrame, column: str = "json") -> DataFrame:
     """API payloads (JSON text) as records: names in snake case, strict dates, missing lists empty; broken JSON gives nulls."""
     types = {"infoleg_id": "bigint", **_LISTS}

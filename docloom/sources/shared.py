@@ -1,7 +1,7 @@
 """Tables in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, a temporary
-one stands in. A written table cuts lineage: an executor lost later costs no recomputation.
+The folder is the session's ``spark.checkpoint.dir``; only where that is unset and the session runs on one machine, as in
+tests, a temporary one stands in. A written table cuts lineage: an executor lost later costs no recomputation.
 """
 
 from __future__ import annotations
@@ -18,10 +18,13 @@ _MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder, or a temporary one if the session names none."""
+    """The session's shared folder, or a temporary one if a session on one machine names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="docloom-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)

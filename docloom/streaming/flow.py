@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from docloom.operators.store import upsert
 from docloom.sources import shared
 
 # Stages that log records name.
@@ -61,29 +61,53 @@ def dead_letters(attempts: DataFrame, key: str, most: int = 3) -> DataFrame:
     return attempts.groupBy(key).agg(F.count("*").alias("receives")).filter(F.col("receives") >= most)
 
 
-def upsert_stream(stream: DataFrame, key: str, label: str, order: str | None = None) -> DataFrame:
-    """A keyed table fed by a stream that may deliver twice.
+def upsert_stream(stream: DataFrame, key: str, path: str, order: str | None = None, compact: int = 16) -> DataFrame:
+    """A keyed table in ``path``, fed by a stream that may deliver twice; returns the table.
 
-    Each batch writes the next version of the table from the version before it, under the batch's number, so a batch that
-    is repeated writes the same again. ``order`` picks the row that stays among those of one key.
+    Each batch adds its last row of each key, under the batch's number, so a batch that is repeated writes the same again
+    and the rest of the table is not touched. After ``compact`` batches the rows so far become a new base. The folder
+    tells which base and batches count, so a stream that is started again with the same path goes on where it ended.
+    ``order`` picks the row that stays among those of one key; without it the later batch's.
     """
     spark = stream.sparkSession
-    path = shared.new_path(spark, label)
-    last: list[int] = []
+    schema = StructType([*stream.schema.fields, StructField("__batch", LongType())])
 
     def put(batch: DataFrame, number: int) -> None:
-        now = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order or key).alias("r")).select("r.*")
-        if number and last:
-            before = spark.read.schema(stream.schema).parquet(f"{path}/version={last[-1]}")
-            if order:
-                later = before.select(F.col(key).alias("__k"), F.col(order).alias("__o"))
-                now = now.join(later, (F.col(key) == F.col("__k")) & (F.col("__o") > F.col(order)), "left_anti")
-            now = upsert(before, now, key)
-        now.write.mode("overwrite").parquet(f"{path}/version={number}")
-        last.append(number)
+        _last_rows(batch.withColumn("__batch", F.lit(number).cast("long")), key, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        base, batches = _versions(spark, path)
+        if len(batches) >= compact:
+            _last_rows(_read_versions(spark, path, schema, base, batches), key, order).write.mode("overwrite").parquet(f"{path}/base={batches[-1]}")
 
     stream.writeStream.option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/version={last[-1]}")
+    return _last_rows(_read_versions(spark, path, schema, *_versions(spark, path)), key, order).drop("__batch")
+
+
+def _last_rows(rows: DataFrame, key: str, order: str | None) -> DataFrame:
+    by = F.struct(order, "__batch") if order else F.struct("__batch", *[c for c in rows.columns if c not in (key, "__batch")])
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), by).alias("r")).select("r.*")
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """Number of the last complete base in a folder, and of the complete batches after it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"base": [], "batch": []}
+    for entry in files.listStatus(hadoop) if files.exists(hadoop) else []:
+        kind, _, number = entry.getPath().getName().partition("=")
+        if kind in found and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
+            found[kind].append(int(number))
+    base = max(found["base"], default=None)
+    return base, sorted(n for n in found["batch"] if base is None or n > base)
+
+
+def _read_versions(spark: SparkSession, path: str, schema: StructType, base: int | None, batches: list[int]) -> DataFrame:
+    paths = [f"{path}/base={base}"] * (base is not None) + [f"{path}/batch={n}" for n in batches]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def vocabulary(logs: DataFrame, stage: str = "stage") -> DataFrame:
+    """Logs with ``is_known``: whether the record's stage is one that records may name."""
+    return logs.withColumn("is_known", F.coalesce(F.col(stage).isin(*STAGES), F.lit(False)))
 
 
 def on_time(logs: DataFrame, delay: str = LATEST, ts: str = "ts") -> DataFrame:

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.operators import segment, tree
+from docloom.operators import heap, segment, tree
 
 text = st.text("abc \"\\é\n", max_size=6)
 articles = st.recursive(st.just([]), lambda kids: st.lists(st.fixed_dictionaries({"ordinal": text, "body": text, "articles": kids}), max_size=2), max_leaves=4)
@@ -70,3 +70,23 @@ def test_segment(spark):
     got = {(r["norm_id"], r["path"]): r["body"] for r in segment.segment(rows).collect()}
     assert got[1, "d3_a1"] == "Apruébase:" and got[1, "d3_a1_a1_a2"] == "dos\nsigue" and got[1, "d3_a1_a2"] == "segundo" and got[1, "d4_a1"] == "Viejo"
     assert got[2, "d1_d1_a1"] == "x" and got[2, "d2_d1_a1"] == "y" and not any(n == 3 for n, _ in got)
+
+
+def test_deep_trees(spark):
+    deep = node(body="b20")
+    for i in range(19, 0, -1):
+        deep = node(body=f"b{i}", divisions=[deep])
+    broken = json.loads(json.dumps({"divisions": [deep]}).replace('"body": "b20"', '"body": 5'))
+    rows = spark.createDataFrame([(1, json.dumps({"divisions": [deep]}))], "norm_id long, tree string")
+    nodes = tree.flatten(rows, "norm_id", "tree")
+    assert nodes.count() == 20 and json.loads(tree.rebuild(nodes).first()["tree"]) == {"divisions": [deep]}
+    errors = tree.structure_errors(spark.createDataFrame([(1, json.dumps(broken)), (2, json.dumps({"divisions": [deep]}))], "norm_id long, tree string"), "norm_id", "tree").collect()
+    assert [(r["norm_id"], r["path"].count("_"), r["error"]) for r in errors] == [(1, 19, "body must be a string")]
+
+
+def test_descendants(spark):
+    rows = [(1, None), (2, 1), (3, 2), (4, None), (5, 4), (6, 99), (7, 8), (8, 7)]
+    nodes = spark.createDataFrame(rows, "id long, parent long")
+    found = lambda roots: sorted(map(tuple, heap.descendants(nodes, roots, "parent").collect()))
+    assert found(2) == [(2, 2, 0), (2, 3, 1)] and found(42) == []
+    assert found(nodes.filter("id in (1, 4, 7)")) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (4, 4, 0), (4, 5, 1), (7, 7, 0), (7, 8, 1)]
