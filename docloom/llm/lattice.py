@@ -64,7 +64,7 @@ def _points(x: np.ndarray, probes: int) -> np.ndarray:
     """Hashes of the nearest lattice point of each row and of the ``probes`` next ones, by column."""
     own = decode_e8(x)
     gain = (x - own) @ ROOTS.T
-    nearest = np.argsort(-gain, axis=1, kind="stable")[:, :probes]
+    nearest = gain.argmax(1)[:, None] if probes == 1 else np.argsort(-gain, axis=1, kind="stable")[:, :probes]
     out = np.zeros((len(x), 1 + probes), np.uint64)
     for p in range(1 + probes):
         point = own if p == 0 else own + ROOTS[nearest[:, p - 1]]
