@@ -122,11 +122,11 @@ class _Adam:
         self.value[rows] -= scale * self.m[rows] / (np.sqrt(self.v[rows]) + 1e-8)
 
 
-def _log_odds(rows: list[np.ndarray], y: np.ndarray, size: int, least: int) -> np.ndarray:
+def _log_odds(words: list[np.ndarray], y: np.ndarray, size: int, least: int) -> np.ndarray:
     """How much oftener texts with label 1 hold each slot, as a logarithm; 0 for slots in fewer than ``least`` texts."""
     seen = np.zeros((2, size), np.int64)
-    for own, label in zip(rows, y.astype(int).tolist()):
-        seen[label, np.unique(own)] += 1
+    for own, label in zip(words, y.astype(int).tolist()):
+        seen[label, np.unique(_rows(own))] += 1
     n = np.bincount(y.astype(int), minlength=2)
     odds = np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
     return np.where(seen.sum(0) >= least, odds, 0.0)
@@ -152,9 +152,9 @@ def train(rows: DataFrame, totals: tuple[int, int] | None = None, **options: obj
     Words are hashed in tasks; the driver gets 8 bytes for each. ``totals`` counts the labels 0 and 1 in all that the
     rows are a sample of (default: the rows themselves). ``options`` are those of :func:`learn`.
     """
-    own = sorted(encode(rows.filter("y in (0, 1)")).collect(), key=lambda r: (r["order"], r["tokens"]))
-    words = [np.frombuffer(bytes(r["tokens"]), np.uint64) for r in own]
-    return learn(words, np.asarray([r["y"] for r in own], np.float32), np.asarray([r["language"] for r in own], np.int64), totals, **options)
+    found = encode(rows.filter("y in (0, 1)")).toArrow().sort_by("order")
+    words = [np.frombuffer(t.as_buffer() or b"", np.uint64) for t in found.column("tokens")]
+    return learn(words, found.column("y").to_numpy().astype(np.float32), found.column("language").to_numpy(), totals, **options)
 
 
 def learn(words: list[np.ndarray], y: np.ndarray, language: np.ndarray, totals: tuple[int, int] | None = None, widths: tuple[int, ...] = (1, 2, 3), filters: int = 8, size: int = 8, epochs: int = 4, least: int = 4, seed: int = 7) -> Network:
@@ -178,10 +178,12 @@ def learn(words: list[np.ndarray], y: np.ndarray, language: np.ndarray, totals:
     if len(set(y[fit].tolist())) < 2:
         net.out[:], net.out_bias = 0, 4.0 if len(y) and y.mean() > 0.5 else -4.0
         return net
-    rows = [_rows(w) for w in words]
-    known = np.unique(np.concatenate([rows[i].ravel() for i in fit]))
+    held_slots = np.zeros(slots, bool)
+    for i in fit:
+        held_slots[_rows(words[i])] = True
+    known = np.flatnonzero(held_slots)
     net.embedding[known] = rng.normal(0, 0.02, (len(known), size))
-    net.embedding[:, 0] += _log_odds([rows[i].ravel() for i in fit], y[fit], slots, least) / 4
+    net.embedding[:, 0] += _log_odds([words[i] for i in fit], y[fit], slots, least) / 4
     for f in net.filters.values():
         f[:, 0] = np.abs(f[:, 0])  # to begin with, filters answer to words of the label
     base = np.asarray([net.out_bias], np.float32)
@@ -191,8 +193,8 @@ def learn(words: list[np.ndarray], y: np.ndarray, language: np.ndarray, totals:
     for _ in range(max(epochs, 300 * size_of_batch // len(fit))):  # a small sample is passed more often
         rng.shuffle(fit)
         for batch in np.array_split(fit, max(1, len(fit) // size_of_batch)):
-            sub = np.concatenate([rows[i] for i in batch])
-            at = np.concatenate([[0], np.cumsum([len(rows[i]) for i in batch])])
+            sub = _rows(np.concatenate([words[i] for i in batch]))
+            at = np.concatenate([[0], np.cumsum([len(words[i]) for i in batch])])
             shown = (rng.random(len(sub)) >= 0.1).astype(np.float32)  # some words are hidden, so that no text is learned by heart
             x = net.embedding[sub].sum(1) * shown[:, None]
             pooled, places = _pooled(net, x, np.arange(len(x)), at, where=True)
