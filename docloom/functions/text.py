@@ -27,7 +27,8 @@ UNICODE_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u
 BLOCK_TAGS = ("p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "header", "footer", "nav", "aside", "blockquote", "pre", "hr", "ul", "ol", "li", "dl", "dt", "dd")
 INLINE_TAGS = ("b", "i", "em", "strong", "span", "a", "u", "sub", "sup", "code", "kbd", "samp", "var", "small", "big", "tt")
 ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}  # & last: it must not make new entities
-CONTROLS = r"\x00-\x09\x0b-\x1f\x7f-\x9f\p{Cf}\p{Co}"
+_BLANKS = r"[\p{Zs}\p{Cc}\p{Cf}\p{Co}]"  # spaces, controls, format and private characters
+BLANK, ODD_BLANK = rf"[[^!-~\n]&&{_BLANKS}]", rf"[[^ -~\n]&&{_BLANKS}]"  # those but line breaks, and those that are no plain space
 
 
 def primary_text(updated: Column, original: Column) -> Column:
@@ -98,7 +99,7 @@ def fix_double_encoding(text: Column) -> Column:
 
 def normalize_whitespace(text: Column) -> Column:
     """Unicode spaces and controls become spaces, runs collapse within lines, at most one empty line stays."""
-    out = F.regexp_replace(text, rf"[ {CONTROLS}{UNICODE_SPACES}]++", " ")
+    out = F.regexp_replace(text, rf"(?: {BLANK}|{ODD_BLANK}){BLANK}*+", " ")  # single spaces are passed over
     out = F.regexp_replace(out, r" ?+(\n) ?+(?:(\n) ?+)?+(?:\n ?+)*+", "$1$2")
     return F.btrim(out, F.lit(" \n"))
 
@@ -124,7 +125,8 @@ def html_to_text(html: Column, keep_noncontent: bool = False) -> Column:
 
 def purify(html: Column) -> Column:
     """Clean text, or null where nothing is left."""
-    return F.when(strip(html) != "", F.nullif(html_to_text(html), F.lit("")))
+    once = F.transform(F.array(html_to_text(html)), lambda t: F.when(t != "", t))  # the text is used twice, but made once
+    return F.when(strip(html) != "", F.element_at(once, 1))
 
 
 class _Structured(HTMLParser):

@@ -39,13 +39,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return _MADE[-1]
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables made so far, for sessions that outlive their queries; nothing may read them any more."""
+    while _MADE:
+        path = _MADE.pop()
+        for end in ("", "-progress"):
+            _delete(spark, path + end)
+
+
 def _clear() -> None:
     """Delete all tables of this program, if its session still lives; else they stay for whoever clears the folder."""
     spark = SparkSession.getActiveSession()
     if spark is not None:
-        for path in _MADE:
-            for end in ("", "-progress"):
-                _delete(spark, path + end)
+        clear(spark)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
