@@ -70,7 +70,7 @@ def search_words(text: str) -> list[str]:
 
 
 _TERMS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^a-z0-9áéíóúüñàèìòùâêîôûäëïöçß]+'), lambda t: t <> '')"
-_FIELDS = {"titulo_sumario": "titulo_sumario", "titulo_resumido": "titulo_resumido", "purified_texto_norma": "texto_norma", "purified_texto_norma_actualizado": "texto_norma_actualizado", "observaciones": "texto_resumido", "structured_texto_norma": "upper(texto_norma)", "structured_texto_norma_actualizado": "upper(texto_norma_actualizado)"}
+_FIELDS = {"titulo_sumario": "titulo_sumario", "titulo_resumido": "titulo_resumido", "purified_texto_norma": "texto_norma", "purified_texto_norma_actualizado": "texto_norma_actualizado", "observaciones": "texto_resumido", "structured_texto_norma": "texto_norma || ' fin'", "structured_texto_norma_actualizado": "texto_norma_actualizado || ' fin'"}
 _PLAIN = "translate({0}, 'áéíóúüñàèìòùâêîôûäëïöçß', 'ABCDEFGHIJKLMNOPQRSTUVW')"  # DuckDB counts edits of bytes
 _ALLOWED = "case when length(word) <= 2 then 0 when length(word) <= 5 then 1 else 2 end"
 _KEYWORD = f"""with {NORMAS}, q as (select distinct unnest({_TERMS.format('text')}) word from (select text from benchmark order by item_id limit 1)),
