@@ -11,7 +11,7 @@ for each combination of features, a number that the codes bound, and the trees a
 Their probability of being a known positive becomes one of being personal data by division through its mean over the
 known positives of the kind (which are a share of all positives, the same at all places). A kind's threshold is the
 lowest at which the proposals to be added are, by these probabilities, precise enough. Of accepted proposals that overlap
-each other the best stays, and none that overlaps a base span of its kind.
+each other, of whatever kinds, the best stays, and none that overlaps a base span.
 """
 
 from __future__ import annotations
@@ -229,8 +229,8 @@ def learn(scanned: DataFrame) -> Trees:
     """Count base spans and other proposals by their codes and fit the trees to the counts, whose number the codes bound."""
     base = F.transform("__known", lambda m, i: m.withField("start", F.col("__base")[i]["start"]).withField("end", F.col("__base")[i]["end"]))
     rows = [scanned.select("__row", F.explode(c).alias("m")).select("__row", "m.kind", "m.start", "m.end", "m.f", F.lit(known).alias("known")) for c, known in ((base, 1), ("__more", 0))]
-    # a proposal that overlaps a base span of its kind is that span or part of it, and counts as neither
-    reach, following = spans.around(["__row", "kind"], ["start", "known"], F.col("known") == 1)
+    # a proposal that overlaps a base span, of whatever kind, is that span or part of it, and counts as neither
+    reach, following = spans.around(["__row"], ["start", "known"], F.col("known") == 1)
     apart = (F.col("known") == 1) | ((F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(following, F.col("end")) >= F.col("end")))
     all_rows = rows[0].unionByName(rows[1]).withColumn("apart", apart).filter("apart").select("kind", "f.*", "known")
     cells = all_rows.groupBy("kind", *CODES).agg(F.count("*").alias("n"), F.sum("known").alias("hits")).orderBy("kind", *CODES).collect()
@@ -253,11 +253,11 @@ def find_pii(docs: DataFrame, text: str = "text", trees: Trees | None = None, ke
     touched = judged.filter(F.size("__more") > 0)
     base = touched.select("__row", F.explode("__base").alias("m")).select("__row", "m.*", F.lit(math.inf).alias("score"))
     rows = touched.select("__row", F.explode("__more").alias("m")).select("__row", "m.*").unionByName(base)
-    # spans of a kind that overlap, directly or through others, stand together; the best stays unless there is a base span
-    order = Window.partitionBy("__row", "kind").orderBy("start", F.desc("score"), "end")
+    # spans that overlap, directly or through others, stand together; the best proposal stays unless there is a base span
+    order = Window.partitionBy("__row").orderBy("start", F.desc("score"), "end", "kind")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("new", (F.coalesce(reach, F.lit(0)) <= F.col("start")).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    best = F.row_number().over(Window.partitionBy("__row", "kind", "island").orderBy(F.desc("score"), "start", "end"))
+    best = F.row_number().over(Window.partitionBy("__row", "island").orderBy(F.desc("score"), "start", "end", "kind"))
     added = rows.withColumn("place", best).filter((F.col("place") == 1) & (F.col("score") < math.inf))
     added = added.groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("__added"))
     plain = [F.col(f"`{c}`") for c in kept]
