@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, labelled, language, lattice, neardup, packing, pii, quality, quotes, secrets, spans, toxicity
+from docloom.llm import decontaminate, labelled, language, lattice, lexical, neardup, packing, pii, quality, quotes, secrets, sequences, spans, toxicity, whitening
+from docloom.sources import shared
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +98,24 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.link_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.rank(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def op13_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = shared.new_path(spark, "sequences")
+    sequences.write(docs, public_tokenizers.path("word_bpe_49k.json"), folder)
+    return sequences.read(spark, folder, "doc_id", docs.schema["doc_id"].dataType)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
@@ -108,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_ngram_join": op9_ngram_join,
     "op10_lattice": op10_lattice,
+    "op11_whitening": op11_whitening,
+    "op12_lexical": op12_lexical,
+    "op13_sequences": op13_sequences,
 }
 
 _OP7 = r"""
@@ -210,4 +232,24 @@ select p.conv_id, p.turn, p.role, own_text, n_passages, cast(n_linked as bigint)
 from parents p join threads t on t.conv_id = p.conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_quotes": _OP5, "op7_decontaminate": _OP7, "op9_ngram_join": _OP9, "op10_lattice": _OP10}
+_OP12 = r"""
+with terms as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') t
+  from documents),
+docs as materialized (select doc_id, len(t) n, t, row_number() over () r from terms where len(t) > 0),
+totals as (select count(*) nn, cast(sum(n) as bigint) ll from docs),
+asked as materialized (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) term
+  from benchmark where item_id is not null),
+found as materialized (
+  select r, doc_id, n, term, count(*) tf
+  from (select r, doc_id, n, unnest(t) term from docs) where term in (select term from asked) group by all),
+weights as (select term, cast(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) as bigint) w from found, totals group by term, nn),
+scored as (
+  select item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // ll)))) as bigint) score
+  from asked join found using (term) join weights using (term), totals group by item_id, r, doc_id)
+select item_id, cast("rank" as integer) "rank", doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) "rank" from scored where score > 0 and doc_id is not null) where "rank" <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_quotes": _OP5, "op7_decontaminate": _OP7, "op9_ngram_join": _OP9, "op10_lattice": _OP10, "op12_lexical": _OP12}
