@@ -2,7 +2,7 @@
 
 The ids of all documents in ascending order of their keys are one stream, cut into rows of a fixed length. A file is an
 Arrow stream between markers with a footer of its batches; a batch has a fixed number of rows of two fixed-size lists, the
-ids and a mask that is 1 for ids and 0 for what fills up a file's last row. So the i-th sequence of a file lies at a
+ids and a mask, a bit for each, that is true for ids and false for what fills up a file's last row. So the i-th sequence of a file lies at a
 place that needs no search, and a memory-mapped file gives it without a copy. Beside each file stands one with the keys of
 its documents and where each ends. A task writes the files of the range of keys that it got from the shuffle; only names
 that a finished task returned are listed, so a task that ran twice leaves a file that nothing reads.
@@ -179,7 +179,7 @@ class _Writer:
         self.name, self.kind, self.length, self.key = name, kind, length, key
         self.rows = max(1, BATCH_IDS // length)
         items = pa.from_numpy_dtype(kind)
-        self.schema = pa.schema([("ids", pa.list_(items, length)), ("mask", pa.list_(pa.uint8(), length))], {"rows": str(self.rows)})
+        self.schema = pa.schema([("ids", pa.list_(items, length)), ("mask", pa.list_(pa.bool_(), length))], {"rows": str(self.rows)})
         self.places = pa.schema([("key", key), ("end", pa.int64())])
         self.sinks = [self.fs.open_output_stream(f"{self.at}/{name}.{end}") for end in ("arrow", "documents.arrow")]
         self.out = pa.ipc.new_file(self.sinks[0], self.schema)
@@ -208,8 +208,8 @@ class _Writer:
             if len(part) < most and not final:
                 break
             n = -(-len(part) // self.length) * self.length
-            values, mask = np.zeros(n, self.kind), np.zeros(n, np.uint8)
-            values[: len(part)], mask[: len(part)] = part, 1
+            values, mask = np.zeros(n, self.kind), np.zeros(n, bool)
+            values[: len(part)], mask[: len(part)] = part, True
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (values, mask)]
             self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         rest = len(stream) % most
@@ -245,7 +245,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", key:
         last, part, done = np.asarray([end], kind), TaskContext.get().partitionId(), []
         writer = None
         for whole in batches:
-            for batch in slices(whole, "__text", 8 << 20):
+            for batch in slices(whole, "__text", 4 << 20):
                 for name, ids in zip(batch.column(0), encode(batch.column(1))):
                     if writer is None:
                         writer = _Writer(folder, f"part-{part:06d}-{len(done):04d}-{uuid.uuid4().hex}", kind, length, batch.schema.field(0).type)
@@ -287,19 +287,19 @@ class SequenceFile:
     def __len__(self) -> int:
         return self.size
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence ``i``."""
         if not 0 <= i < self.size:
             raise IndexError(i)
-        batch, at = self.reader.get_batch(i // self.rows), i % self.rows
-        part = slice(at * self.length, (at + 1) * self.length)
-        return tuple(column.values.to_numpy()[part] for column in batch.columns)
+        batch, at = self.reader.get_batch(i // self.rows), i % self.rows * self.length
+        ids, mask = (column.values.slice(at, self.length) for column in batch.columns)
+        return ids.to_numpy(), mask
 
     def batches(self) -> Iterator[np.ndarray]:
         """The ids that the mask shows, a batch at a time."""
         for b in range(self.reader.num_record_batches):
-            ids, mask = (column.values.to_numpy() for column in self.reader.get_batch(b).columns)
-            yield ids if mask.all() else ids[mask == 1]
+            ids, mask = (column.values for column in self.reader.get_batch(b).columns)
+            yield ids.to_numpy() if mask.false_count == 0 else ids.filter(mask).to_numpy()
 
     def close(self) -> None:
         self.source.close()
