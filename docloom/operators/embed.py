@@ -10,13 +10,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
-def hash_embedding(text: Column, dims: int = 64) -> Column:
-    """A vector of unit length from the words' hashes; the default where no model is given. Null for a text without words."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.crc32(w), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(counts, lambda x: x / length))
+def hash_slot(word: Column, dims: int) -> Column:
+    """The slot of a word: the first 60 bits of its MD5 modulo ``dims``, which any engine can compute."""
+    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long") % dims
+
+
+def hash_embedding(texts: DataFrame, key: str, text: str, dims: int = 64, out: str = "embedding") -> DataFrame:
+    """(key, ``out``): a vector of unit length from the counts of the words' slots; the default where no model is given.
+
+    Words are lower-cased runs without ASCII white space. A text's words become rows, counted by slot before anything is
+    shuffled, so what leaves a task is a row for each text and slot at most, however long or frequent a text is. Rows with
+    the same key are one text. Texts without words, null ones included, have a null vector; so has a null key's, whose
+    rows are also one text.
+    """
+    own = texts.select(F.col(f"`{key}`").alias("__k"), F.explode_outer(F.split(F.lower(F.col(f"`{text}`").cast("string")), r"[ \t-\r]+")).alias("__w"))
+    slots = own.select("__k", F.when(F.col("__w") != "", hash_slot(F.col("__w"), dims)).cast("int").alias("__s"))
+    counts = slots.groupBy("__k", "__s").agg(F.count("*").cast("double").alias("__n"))
+    filled = F.when(F.col("__s").isNotNull(), F.struct("__s", "__n"))
+    sparse = counts.groupBy("__k").agg(F.map_from_entries(F.collect_list(filled)).alias("m"), F.sqrt(F.sum(F.when(F.col("__s").isNotNull(), F.col("__n") * F.col("__n")))).alias("length"))  # dims entries at most
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("length"))
+    return sparse.select(F.col("__k").alias(key), F.when(F.col("length").isNotNull(), vector).alias(out))
 
 
 def embed(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]], list[list[float]]]], out: str = "embedding") -> DataFrame:

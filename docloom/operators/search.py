@@ -14,13 +14,6 @@ from pyspark.sql import functions as F
 from docloom.sources import shared
 
 DEFAULT_K = 10
-# Boosts of the searched fields.
-BOOSTS = {
-    "titulo_sumario": 3.0, "titulo_resumido": 3.0, "purified_texto_norma": 2.0, "purified_texto_norma_actualizado": 2.0, "observaciones": 1.0,
-    "structured_texto_norma": 1.0, "structured_texto_norma_actualizado": 1.0,
-}
-K1, B = 1.2, 0.75
-EXPANSIONS = 50  # fixed value: terms that a word is expanded to, at most
 BLOCK_BYTES = 1 << 24  # of query vectors that go to every task at a time
 NO_HITS = "No documents found. Were they loaded?"  # fixed value
 
@@ -176,55 +169,6 @@ def approximate_top_k(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, b
     return _first_k(scored.select(query_key, key, cosine(F.col("__q"), F.col("__v")).alias("score")).filter("score is not null"), k, key, query_key)
 
 
-def terms(text: Column) -> Column:
-    """Lower-case words of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9áéíóúüñàèìòùâêîôûäëïöçß]+"), lambda t: t != "")
-
-
-def allowed_edits(word: str) -> int:
-    """None for up to two characters, one for up to five, else two."""
-    return 0 if len(word) <= 2 else 1 if len(word) <= 5 else 2
-
-
-def expand_fuzzy(vocabulary: DataFrame, words: list[str], term: str = "term") -> DataFrame:
-    """(word, term, edits): the terms of a vocabulary within the edits that each query word allows."""
-    asked = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(allowed_edits(w)).alias("most")) for w in sorted(set(words))])
-    close = F.filter(asked, lambda a: F.abs(F.length(a["word"]) - F.length(term)) <= a["most"])
-    near = F.filter(F.transform(close, lambda a: F.struct(a["word"].alias("word"), a["most"].alias("most"), F.levenshtein(a["word"], F.col(term), 2).alias("edits"))), lambda a: (a["edits"] >= 0) & (a["edits"] <= a["most"]))
-    return vocabulary.select(term).distinct().select(term, F.explode(near).alias("a")).select("a.word", term, "a.edits")
-
-
-def keyword_search(docs: DataFrame, words: list[str], boosts: dict[str, float] = BOOSTS, k: int = DEFAULT_K, key: str = "id", fuzzy: bool = True) -> DataFrame:
-    """BM25 of each field times its boost; a document's score is its best field's. id and score of the best ``k``.
-
-    With ``fuzzy`` a word also finds terms within the edits that its length allows, the EXPANSIONS nearest of them (ties
-    by term), each weighted by the share of characters that are not edited. Texts are cut into terms once; of these a
-    table is written, from which vocabulary, field lengths and matches are read. Only matching terms leave a document.
-    """
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(b)).alias("boost"), terms(F.col(f)).alias("t")) for f, b in boosts.items()])
-    rows = docs.select(key, F.explode(fields).alias("f")).select(key, "f.field", "f.boost", "f.t").filter(F.size("t") > 0)
-    rows = shared.table(rows, "terms")
-    if fuzzy:
-        near = expand_fuzzy(rows.select(F.explode("t").alias("term")), words)
-        near = near.withColumn("place", F.row_number().over(Window.partitionBy("word").orderBy("edits", "term"))).filter(F.col("place") <= EXPANSIONS)
-        chosen = [(r["word"], r["term"], 1.0 - r["edits"] / min(len(r["word"]), len(r["term"]))) for r in near.collect()]
-    else:
-        chosen = [(w, w, 1.0) for w in sorted(set(words))]
-    if not chosen:
-        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    wanted = docs.sparkSession.createDataFrame(chosen, "word string, term string, weight double")  # EXPANSIONS rows a word at most
-    stats = rows.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
-    hits = rows.select(key, "field", "boost", F.size("t").alias("len"), F.explode(F.filter("t", lambda t: t.isin(sorted({t for _, t, _ in chosen})))).alias("term"))
-    found = hits.groupBy(key, "field", "boost", "len", "term").agg(F.count("*").alias("tf"))
-    df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
-    scored = found.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field").join(F.broadcast(wanted), "term")  # as many rows as fields and chosen terms
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    per_field = scored.groupBy(key, "field").agg(F.max("boost").alias("boost"), F.sum(F.col("weight") * idf * tf).alias("bm25"))
-    best = per_field.groupBy(key).agg(F.round(F.max(F.col("boost") * F.col("bm25")), 6).alias("score"))
-    return best.orderBy(F.desc("score"), key).limit(k)
-
-
 def highlight(text: Column, words: list[str], size: int = 150, most: int = 3) -> Column:
     """Up to ``most`` fragments of ``size`` characters with matches in <em>; fragments tile the text, so none overlap."""
     pattern = r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(sorted({w for w in words if w.isalnum()}, key=len, reverse=True)) + r")(?![\p{L}\p{N}_])"

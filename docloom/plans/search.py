@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import embed, search, verify
+from docloom.operators import embed, keywords, search, verify
 from docloom.plans import views
 from docloom.plans.corpus import SQL_WORDS
 from docloom.plans.registry import query
 from docloom.plans.views import ARTICLES, DIVISIONS, NORMAS, table
-from docloom.sources import records
+from docloom.sources import records, shared
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +74,7 @@ _FIELDS = {"titulo_sumario": "titulo_sumario", "titulo_resumido": "titulo_resumi
 _PLAIN = "translate({0}, 'áéíóúüñàèìòùâêîôûäëïöçß', 'ABCDEFGHIJKLMNOPQRSTUVW')"  # DuckDB counts edits of bytes
 _ALLOWED = "case when length(word) <= 2 then 0 when length(word) <= 5 then 1 else 2 end"
 _KEYWORD = f"""with {NORMAS}, q as (select distinct unnest({_TERMS.format('text')}) word from (select text from benchmark order by item_id limit 1)),
-fields as ({' union all '.join(f"select infoleg_id id, '{f}' field, {search.BOOSTS[f]} boost, {_TERMS.format(c)} t from normas" for f, c in _FIELDS.items())}),
+fields as ({' union all '.join(f"select infoleg_id id, '{f}' field, {keywords.BOOSTS[f]} boost, {_TERMS.format(c)} t from normas" for f, c in _FIELDS.items())}),
 stats as (select field, count(*) n, avg(len(t)) avg_len from fields where len(t) > 0 group by 1),
 tokens as materialized (select id, field, boost, l, term, count(*) tf from (select id, field, boost, len(t) l, unnest(t) term from fields) group by all),
 near as (select word, term, levenshtein({_PLAIN.format('word')}, {_PLAIN.format('term')}) edits from (select distinct term from tokens), q where abs(length(word) - length(term)) <= {_ALLOWED}),
@@ -84,10 +84,16 @@ scored as (select id, field, boost, sum(weight * ln(1 + (n - df + 0.5) / (df + 0
 select id, round(max(boost * s), 6) score from scored group by id order by score desc, id limit 10"""
 
 
+def _keyword_index(spark: SparkSession, sf: str) -> keywords.KeywordIndex:
+    """Built by the first question of a program, read by all others."""
+    docs = views.normas(spark, sf).selectExpr("infoleg_id id", *[f"{c} {f}" for f, c in _FIELDS.items()])
+    path = shared.once(spark, f"keywords {spark.sparkContext.applicationId} {sf}", lambda path: keywords.build_index(docs, path))
+    return keywords.KeywordIndex(spark, path, "id", keywords.BOOSTS)
+
+
 @query("k6_keyword", _KEYWORD)
 def k6(spark: SparkSession, sf: str) -> DataFrame:
-    docs = views.normas(spark, sf).selectExpr("infoleg_id id", *[f"{c} {f}" for f, c in _FIELDS.items()])
-    return search.keyword_search(docs, _question(spark, sf))
+    return keywords.search(_keyword_index(spark, sf), _question(spark, sf))
 
 
 @query(
@@ -96,8 +102,8 @@ def k6(spark: SparkSession, sf: str) -> DataFrame:
 select word, term, levenshtein({_PLAIN.format('word')}, {_PLAIN.format('term')}) edits from vocab, q where levenshtein({_PLAIN.format('word')}, {_PLAIN.format('term')}) <= {_ALLOWED}""",
 )
 def k7(spark: SparkSession, sf: str) -> DataFrame:
-    vocabulary = table(spark, sf, "documents").select(F.explode(search.terms(F.col("text"))).alias("term"))
-    return search.expand_fuzzy(vocabulary, _question(spark, sf))
+    vocabulary = table(spark, sf, "documents").select(F.explode(keywords.terms(F.col("text"))).alias("term"))
+    return keywords.expand_fuzzy(vocabulary, _question(spark, sf))
 
 
 @query(
@@ -206,9 +212,16 @@ def k9(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", F.array_join(F.transform("norma_ids", lambda i: i.cast("string")), ",").alias("norma_ids"), F.md5("context").alias("digest"), "answer", "message")
 
 
-@query("u1_hash_embedding", None)
+@query(
+    "u1_hash_embedding",
+    r"""with w as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t-\r]+'), lambda t: t <> '')) w from documents),
+counts as (select doc_id, cast(('0x' || substr(md5(w), 1, 15)) as bigint) % 64 slot, count(*) n from w group by all),
+vectors as (select d.doc_id, s slot, coalesce(n, 0) / sqrt(sum(coalesce(n, 0) * coalesce(n, 0)) over (partition by d.doc_id)) x from (select doc_id from documents) d, (select unnest(range(0, 64)) s) left join counts c on c.doc_id = d.doc_id and c.slot = s)
+select doc_id, string_agg(cast(round(x * 1000000) as bigint), ',' order by slot) embedding from vectors group by 1""",
+)
 def u1(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", embed.hash_embedding(F.col("text")).alias("embedding"))
+    vectors = embed.hash_embedding(table(spark, sf, "documents"), "doc_id", "text")
+    return vectors.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.round(x * 1000000).cast("long").cast("string")), ",").alias("embedding"))
 
 
 _PAIRS = f"""pairs as (select a.conv_id, b.turn, {SQL_WORDS.format('a.text')} o, {SQL_WORDS.format('b.text')} d from conversations a join conversations b on a.conv_id = b.conv_id and a.turn = b.turn - 1)"""

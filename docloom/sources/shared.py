@@ -10,11 +10,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 _MADE: list[str] = []
+_KEPT: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return _MADE[-1]
 
 
+def once(spark: SparkSession, label: str, build: Callable[[str], object]) -> str:
+    """The folder that ``build`` filled for ``label`` in this program; it is called again only if :func:`clear` took it."""
+    path = _KEPT.get(label)
+    if path is None or path not in _MADE:
+        path = new_path(spark, "kept")
+        build(path)
+        _KEPT[label] = path
+    return path
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables made so far, for sessions that outlive their queries; nothing may read them any more."""
     while _MADE:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import search
+from docloom.operators import keywords, search
 
 
 @pytest.fixture(scope="module")
@@ -58,10 +58,60 @@ def test_stored_index(vectors):
 def test_keyword_search(spark):
     rows = [(1, "alpha beta", None), (2, "alpah", "gamma gamma"), (3, "", "beta"), (4, None, None), (5, "alphas in gamma", "")]
     docs = spark.createDataFrame(rows, "id long, title string, body string")
-    plain = search.keyword_search(docs, ["alpha"], {"title": 3.0, "body": 1.0}, fuzzy=False).collect()
-    fuzzy = search.keyword_search(docs, ["alpha"], {"title": 3.0, "body": 1.0}).collect()
+    plain = keywords.keyword_search(docs, ["alpha"], {"title": 3.0, "body": 1.0}, fuzzy=False).collect()
+    fuzzy = keywords.keyword_search(docs, ["alpha"], {"title": 3.0, "body": 1.0}).collect()
     assert [r["id"] for r in plain] == [1] and {r["id"] for r in fuzzy} == {1, 5} and fuzzy[0]["id"] == 1  # a swap is two edits
-    assert search.keyword_search(docs, ["zzzzzz"], {"title": 3.0}).count() == 0 == search.keyword_search(docs, ["in"], {"body": 1.0}).count()
+    assert keywords.keyword_search(docs, ["zzzzzz"], {"title": 3.0}).count() == 0 == keywords.keyword_search(docs, ["in"], {"body": 1.0}).count()
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_terms_by_deletions(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = sorted({"".join(rng.choice(list("abé"), rng.integers(1, 12))) for _ in range(1500)})
+    words = ["".join(rng.choice(list("abé"), n)) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12) for _ in range(3)]
+    want = {(w, t, edits(w, t)) for w in words for t in vocabulary if edits(w, t) <= keywords.allowed_edits(w)}
+    got = keywords.expand_fuzzy(spark.createDataFrame([(t,) for t in vocabulary * 2], "term string"), words)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan and "Inner" in plan and "key" in plan
+
+
+def test_stored_keyword_index(spark, tmp_path):
+    """Small blocks: the same scores as one block, though most are never opened; a question reads its terms' folders."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"word{int(x)}" for x in rng.pareto(0.6, 3000) % 500]
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 60))), "word7" if i % 50 == 0 else None) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "id long, title string, body string").repartition(4)
+    index = keywords.build_index(docs, str(tmp_path / "index"), {"title": 3.0, "body": 1.0})
+    plain = keywords.search(index, ["word7", "word31", "zzz"], 10, fuzzy=False).collect()
+    bags = [(i, [keywords_of(t), keywords_of(b)]) for i, t, b in rows]
+    for field in (0, 1):
+        sizes = [len(f[field]) for _, f in bags if f[field]]
+        df = {w: sum(w in f[field] for _, f in bags) for w in ("word7", "word31")}
+        for _, f in bags:
+            f.append([bm25(w, f[field], sizes, df) for w in ("word7", "word31")])
+    best = sorted(((-round(max(3 * sum(f[2]), sum(f[3])), 6), i) for i, f in bags))[:10]
+    assert [(-r["score"], r["id"]) for r in plain] == best
+    plan = index.postings(["word7", "word31"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert keywords.search(index, ["nothing"], fuzzy=True).count() == 0
+
+
+def keywords_of(text):
+    return (text or "").split()
+
+
+def bm25(word, bag, sizes, df):
+    tf, mean = bag.count(word), sum(sizes) / len(sizes)
+    return np.log(1 + (len(sizes) - df[word] + 0.5) / (df[word] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(bag) / mean)) if tf else 0.0
 
 
 def test_question_without_hits(spark):

@@ -1,5 +1,7 @@
+import hashlib
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docloom.operators import embed, sampling, search, store, verify
@@ -35,8 +37,17 @@ def test_user_functions(spark):
     outcome = embed.correct(rows, "t", lambda: lambda t: t.upper() if t.strip() else 1 / 0, "m").select("attempt.*").collect()
     assert [(r["output"], r["success"]) for r in outcome] == [("A B", True), (None, False), (None, False)]
     assert [r["tree"] for r in embed.structure(rows, "t", lambda: lambda t: "{}").collect()] == ["{}", "{}", None]
-    vectors = rows.select(embed.hash_embedding(F.col("t"), 8).alias("v")).collect()
-    assert abs(sum(x * x for x in vectors[0]["v"]) - 1) < 1e-9 and vectors[1]["v"] is None
+
+
+def test_hash_embedding(spark):
+    rows = [(1, "a b  A\n" * 3), (2, " "), (3, None), (4, "word " * 20000), (4, "word"), (None, "x")]
+    got = {r["id"]: r["embedding"] for r in embed.hash_embedding(spark.createDataFrame(rows, "id long, t string"), "id", "t", 8).collect()}
+    slot = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:15], 16) % 8
+    want = [0.0] * 8
+    want[slot("a")] += 6
+    want[slot("b")] += 3
+    assert np.allclose(got[1], np.asarray(want) / np.linalg.norm(want)) and got[2] is None is got[3]
+    assert got[4][slot("word")] == 1.0 and sum(got[4]) == 1.0 and got[None][slot("x")] == 1.0
 
 
 def test_ids(spark):
