@@ -13,14 +13,15 @@ Terms are compared by 64-bit hashes. The index covers the terms of the questions
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from docloom.llm import scratch
 from docloom.llm.words import Words, slices
@@ -145,11 +146,13 @@ class Shard:
     """
 
     FIELDS = ("doc_edges", "terms", "values", "list_terms", "list_edges", "block_edges", "members", "summary_edges", "summary_terms", "summary_values")
-    WIDE = ("doc_edges", "block_edges", "list_edges", "summary_edges", "values", "summary_values")
+    WIDE = ("doc_edges", "block_edges", "list_edges", "summary_edges")  # 64 bits; a value is below a million
 
     def __init__(self, keys: list, arrays: dict[str, np.ndarray]):
         self.keys = keys
         self.__dict__.update(arrays)
+        self.largest = np.zeros(len(self.list_terms), np.int64)  # value of each term
+        np.maximum.at(self.largest, np.searchsorted(self.list_terms, self.terms), self.values)
 
     @classmethod
     def build(cls, keys: list, sizes: np.ndarray, terms: np.ndarray, values: np.ndarray, weights: np.ndarray, block: int) -> Shard:
@@ -170,7 +173,7 @@ class Shard:
             at = _ranges(edges[members], sizes[members])
             np.maximum.at(largest, local[at], values[at])
             some = np.flatnonzero(largest)
-            summary.append((some, largest[some]))
+            summary.append((some.astype(np.int32), largest[some].astype(np.int32)))
             largest[some] = 0
         lengths = lambda parts: np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
@@ -234,25 +237,17 @@ def _similar(docs: np.ndarray, sketch: np.ndarray, block: int) -> list[np.ndarra
     return out
 
 
-def index(counts: DataFrame, total: Totals, key: str, block: int = BLOCK, shard_docs: int = SHARD_DOCS, shard_terms: int = SHARD_TERMS) -> DataFrame:
-    """Shards of all documents that have a key and one of the terms: keys and packed arrays, a row for each shard.
-
-    Nothing is shuffled: a task indexes what it reads. The rows may be written and searched later, by the same totals.
-    """
-    if not total.n:
-        total = Totals(1, 1, total.weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held, kind = [], 0, None
+def _shards(batches: Iterator[pa.RecordBatch], total: Totals, block: int, shard_docs: int, shard_terms: int) -> Iterator[Shard]:
+    """Shards of the rows of :func:`term_counts` that a task reads."""
+    kept, held = [], 0
 
-        def built() -> pa.RecordBatch:
-            sizes = np.asarray([len(t) for _, t, _ in kept], np.int64)
-            shard = Shard.build([k for k, _, _ in kept], sizes, np.concatenate([t for _, t, _ in kept]), np.concatenate([v for _, _, v in kept]), total.weights, block)
-            return pa.RecordBatch.from_arrays([pa.array([shard.keys], pa.list_(kind)), *[pa.array([b], pa.binary()) for b in shard.packed()]], ["keys", *Shard.FIELDS])
+    def built() -> Shard:
+        sizes = np.asarray([len(t) for _, t, _ in kept], np.int64)
+        return Shard.build([k for k, _, _ in kept], sizes, np.concatenate([t for _, t, _ in kept]), np.concatenate([v for _, _, v in kept]), total.weights, block)
 
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for name, n, terms, seen in zip(*[c.to_pylist() for c in batch.columns]):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            for name, n, terms, seen in zip(*[c.to_pylist() for c in batch.slice(at, 1024).columns]):
                 if name is None or not terms:
                     continue
                 terms, tf = np.frombuffer(terms, "<i4"), np.frombuffer(seen, "<i8")
@@ -262,15 +257,30 @@ def index(counts: DataFrame, total: Totals, key: str, block: int = BLOCK, shard_
                 m = 10 + 90 * n * total.n // total.length
                 kept.append((name, terms, _BILLION * tf // (1000 * tf + 8 * m)))
                 held += len(terms)
-        if kept:
-            yield built()
+    if kept:
+        yield built()
 
-    fields = [StructField("keys", _list_of(counts, key)), *[StructField(f, BinaryType()) for f in Shard.FIELDS]]
-    return counts.mapInArrow(run, StructType(fields))
 
+def index(counts: DataFrame, total: Totals, key: str, block: int = BLOCK, shard_docs: int = SHARD_DOCS, shard_terms: int = SHARD_TERMS) -> DataFrame:
+    """Shards of all documents that have a key and one of the terms: keys and packed arrays, a row for each shard.
 
-def _list_of(rows: DataFrame, key: str) -> object:
-    return rows.select(F.array(F.col(f"`{key}`"))).schema[0].dataType
+    Nothing is shuffled: a task indexes what it reads. The rows may be written and searched later, by the same totals.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                yield batch
+
+        for shard in _shards(seen(), total, block, shard_docs, shard_terms):
+            yield pa.RecordBatch.from_arrays([pa.array([shard.keys], pa.list_(kind)), *[pa.array([b], pa.binary()) for b in shard.packed()]], ["keys", *Shard.FIELDS])
+
+    fields = [StructField("keys", ArrayType(counts.schema[key].dataType)), *[StructField(f, BinaryType()) for f in Shard.FIELDS]]
+    return counts.mapInArrow(run, StructType(fields))
 
 
 class _Top:
@@ -321,28 +331,39 @@ def _search_shard(shard: Shard, terms: np.ndarray, weights: np.ndarray, top: _To
     weight[own] = 0
 
 
-def search_shards(shards: DataFrame, asked: Questions, total: Totals, k: int = K) -> DataFrame:
-    """(q, doc, score): for each question, by its number, the best ``k`` that each task found."""
-    sent = shards.sparkSession.sparkContext.broadcast((asked.terms, total.weights))  # GROUP_TERMS, or those of one question
+def _found(rows: DataFrame, asked: Questions, total: Totals, k: int, key: object, shards: Callable[[Iterator[pa.RecordBatch]], Iterator[Shard]]) -> DataFrame:
+    """(q, doc, score): for each question, by its number, the best ``k`` of the shards that each task gets from its rows."""
+    kind = to_arrow_type(key)
+    sent = rows.sparkSession.sparkContext.broadcast((asked.terms, total.weights))  # GROUP_TERMS, or those of one question
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         questions, weights = sent.value
-        tops, weight, opened, kind = [_Top(k) for _ in questions], np.zeros(len(weights), np.int64), [0], pa.null()
+        tops, weight, opened = [_Top(k) for _ in questions], np.zeros(len(weights), np.int64), [0]
+        for shard in shards(batches):
+            for terms, top in zip(questions, tops):
+                _search_shard(shard, terms, weights, top, weight, opened)
+        found = [(q, name, -s) for q, top in enumerate(tops) for s, name in top.best]
+        if found:
+            q, names, scores = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(names, kind), pa.array(scores, pa.int64())], ["q", "doc", "score"])
+
+    return rows.mapInArrow(run, StructType([StructField("q", IntegerType()), StructField("doc", key), StructField("score", LongType())]))
+
+
+def search_shards(shards: DataFrame, asked: Questions, total: Totals, k: int = K) -> DataFrame:
+    """(q, doc, score) from stored shards, rows of :func:`index`."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
         for batch in batches:
-            kind = batch.schema.field(0).type.value_type
             for i in range(batch.num_rows):
-                shard = Shard.unpacked(batch.column(0)[i].as_py(), [c[i].as_buffer() for c in batch.columns[1:]])
-                shard.largest = np.zeros(len(shard.list_terms), np.int64)
-                np.maximum.at(shard.largest, np.searchsorted(shard.list_terms, shard.terms), shard.values)
-                for terms, top in zip(questions, tops):
-                    _search_shard(shard, terms, weights, top, weight, opened)
-        found = [(q, key, -s) for q, top in enumerate(tops) for s, key in top.best]
-        if found:
-            q, keys, scores = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(keys, kind), pa.array(scores, pa.int64())], ["q", "doc", "score"])
+                yield Shard.unpacked(batch.column(0)[i].as_py(), [c[i].as_buffer() for c in batch.columns[1:]])
+
+    return _found(shards, asked, total, k, shards.schema["keys"].dataType.elementType, unpacked)
+
 
-    doc = shards.schema["keys"].dataType.elementType
-    return shards.mapInArrow(run, StructType([StructField("q", IntegerType()), StructField("doc", doc), StructField("score", LongType())]))
+def search_counts(counts: DataFrame, asked: Questions, total: Totals, key: str, k: int = K, block: int = BLOCK) -> DataFrame:
+    """(q, doc, score) from rows of :func:`term_counts`: a task builds a shard, searches it and goes on to the next."""
+    return _found(counts, asked, total, k, counts.schema[key].dataType, lambda batches: _shards(batches, total, block, SHARD_DOCS, SHARD_TERMS))
 
 
 def rank(docs: DataFrame, questions: DataFrame, text: str = "text", key: str = "doc_id", question_key: str = "item_id", question_text: str = "text", k: int = K, block: int = BLOCK, group_terms: int = GROUP_TERMS) -> DataFrame:
@@ -359,7 +380,7 @@ def rank(docs: DataFrame, questions: DataFrame, text: str = "text", key: str = "
     for asked in _question_groups(questions, question_key, question_text, group_terms):
         counts = term_counts(docs, asked.hashes, key, text)
         total = totals(counts, len(asked.hashes))
-        found = search_shards(index(counts, total, key, block), asked, total, k)
+        found = search_counts(counts, asked, total, key, k, block)
         order = Window.partitionBy("q").orderBy(F.desc("score"), "doc")
         best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         labels = spark.createDataFrame(list(enumerate(asked.names)), StructType([StructField("q", IntegerType()), StructField("name", names[0].dataType)]))
