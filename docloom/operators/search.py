@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +44,17 @@ def top_k(docs: DataFrame, query: list[float], k: int = DEFAULT_K, filters: dict
     return scored.orderBy(F.desc("score"), key).limit(k if k > 0 else DEFAULT_K)
 
 
+_FEW = 1024  # queries that are fetched without counting them first
+
+
 def _query_blocks(queries: DataFrame, vector: str, query_key: str, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Keys and vectors of the queries that have one, in blocks of about ``block_bytes``, whatever their number."""
     asked = queries.select(F.col(query_key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter((F.size("v") > 0) & F.col("k").isNotNull())
+    rows = asked.limit(_FEW).toArrow()
+    if len(rows) < _FEW and rows.nbytes <= block_bytes:
+        if len(rows):
+            yield rows.column("k").to_numpy(), np.stack(rows.column("v").to_numpy())
+        return
     n, dims = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = -(-n * (dims or 0) * 8 // block_bytes)
     for b in range(blocks):
@@ -53,6 +63,23 @@ def _query_blocks(queries: DataFrame, vector: str, query_key: str, block_bytes:
             yield rows.column("k").to_numpy(), np.stack(rows.column("v").to_numpy())
 
 
+def in_blocks(blocks: Iterator[tuple[np.ndarray, np.ndarray]], compared: Callable[[tuple[np.ndarray, np.ndarray]], tuple[DataFrame, Broadcast]]) -> DataFrame | None:
+    """The rows that ``compared`` gives for each block of queries, with what it sent to the tasks; None without blocks.
+
+    Of more than one block each is run and its few rows are written before the next is read, and what was sent goes, so
+    the driver and the tasks hold one block at a time.
+    """
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None or second is None:
+        return None if first is None else compared(first)[0]
+    done = []
+    for block in chain([first, second], blocks):
+        rows, sent = compared(block)
+        done.append(shared.table(rows, "block"))
+        sent.destroy()
+    return reduce(DataFrame.unionByName, done)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1; zero rows and those with values that are no numbers become NaN."""
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -81,8 +108,8 @@ class _Best:
         self.scores, self.keys = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
 
 
-def _nearest(rows: DataFrame, block: tuple[np.ndarray, np.ndarray], k: int, key: str, query_key: str, query_kind: str, compare: Callable[[np.ndarray, np.ndarray], np.ndarray], read: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """(query, key, score): the best ``k`` of each task's rows (key, v) for each query of a block."""
+def _nearest(rows: DataFrame, block: tuple[np.ndarray, np.ndarray], k: int, key: str, query_key: str, query_kind: str, compare: Callable[[np.ndarray, np.ndarray], np.ndarray], read: Callable[[pa.Array], np.ndarray]) -> tuple[DataFrame, Broadcast]:
+    """(query, key, score) and what was sent to the tasks: the best ``k`` of each task's rows (key, v) for each query of a block."""
     names, vectors = block
     kind = rows.schema[key].dataType.simpleString()
     sent = rows.sparkSession.sparkContext.broadcast((names, vectors))  # a block of bounded size
@@ -99,7 +126,7 @@ def _nearest(rows: DataFrame, block: tuple[np.ndarray, np.ndarray], k: int, key:
             q, j = np.nonzero(best.scores > -np.inf)
             yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(best.keys[q, j]), pa.array(best.scores[q, j])], [query_key, key, "score"])
 
-    return rows.select(F.col(key).alias("k"), "v").mapInArrow(run, f"`{query_key}` {query_kind}, `{key}` {kind}, score double")
+    return rows.select(F.col(key).alias("k"), "v").mapInArrow(run, f"`{query_key}` {query_kind}, `{key}` {kind}, score double"), sent
 
 
 def _first_k(scored: DataFrame, k: int, key: str, query_key: str) -> DataFrame:
@@ -120,53 +147,11 @@ def batch_top_k(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, vector:
     """
     own = docs.select(key, F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") > 0)
     kind = queries.schema[query_key].dataType.simpleString()
-    found = [_nearest(own, (names, _unit(vectors)), k, key, query_key, kind, lambda q, x: q @ _unit(x).T, _matrix) for names, vectors in _query_blocks(queries, vector, query_key, block_bytes)]
-    if not found:
+    nearest = lambda block: _nearest(own, (block[0], _unit(block[1])), k, key, query_key, kind, lambda q, x: q @ _unit(x).T, _matrix)
+    found = in_blocks(_query_blocks(queries, vector, query_key, block_bytes), nearest)
+    if found is None:
         return docs.sparkSession.createDataFrame([], f"`{query_key}` {kind}, `{key}` {docs.schema[key].dataType.simpleString()}, score double, rank int")
-    return _first_k(reduce(DataFrame.unionByName, found), k, key, query_key)
-
-
-def sketches(docs: DataFrame, bits: int, vector: str = "embedding", key: str = "id", seed: int = 5) -> DataFrame:
-    """(key, v): signs of ``bits`` random projections of each vector, packed; what an approximate search reads of a document."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column("v"))
-            packed = _signs(x, bits, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([row.tobytes() for row in packed], pa.binary())], [key, "v"])
-
-    source = docs.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") > 0)
-    return source.mapInArrow(run, f"`{key}` {kind}, v binary")
-
-
-def _signs(x: np.ndarray, bits: int, seed: int) -> np.ndarray:
-    return np.packbits(x @ np.random.default_rng(seed).normal(size=(x.shape[1], bits)) > 0, axis=1)
-
-
-def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many more bits the packed rows agree than they differ."""
-    x, y = ((np.unpackbits(m, axis=1).astype(np.float32) * 2 - 1) for m in (a, b))
-    return (x @ y.T).astype(np.float64)
-
-
-def approximate_top_k(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, bits: int = 512, candidates: int | None = None, vector: str = "embedding", key: str = "id", query_key: str = "query_id", index: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Like :func:`batch_top_k` from candidates only, of which each query has ``candidates`` (default 10 k).
-
-    Every document is indexed by the signs of ``bits`` random projections (64 bytes for 512; ``index`` may be a stored
-    table of :func:`sketches`). The documents whose signs agree best with a query's are its candidates; only these are
-    joined with their vectors and scored exactly. More bits or candidates find more.
-    """
-    index = sketches(docs, bits, vector, key) if index is None else index
-    kind = queries.schema[query_key].dataType.simpleString()
-    most = candidates or 10 * k
-    read = lambda v: np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), bits // 8)
-    near = [_nearest(index, (names, _signs(vectors, bits, 5)), most, key, query_key, kind, _agreement, read) for names, vectors in _query_blocks(queries, vector, query_key, block_bytes)]
-    if not near:
-        return batch_top_k(docs, queries, k, vector, key, query_key)
-    pairs = _first_k(reduce(DataFrame.unionByName, near), most, key, query_key).select(query_key, key)
-    scored = pairs.join(docs.select(key, F.col(vector).alias("__v")), key).join(queries.select(query_key, F.col(vector).alias("__q")), query_key)
-    return _first_k(scored.select(query_key, key, cosine(F.col("__q"), F.col("__v")).alias("score")).filter("score is not null"), k, key, query_key)
+    return _first_k(found, k, key, query_key)
 
 
 def highlight(text: Column, words: list[str], size: int = 150, most: int = 3) -> Column:

@@ -74,10 +74,17 @@ def t3(spark: SparkSession, sf: str) -> DataFrame:
     return flow.drain(good.select("doc_id", F.lit(True).alias("ok")).unionByName(fixed), "malformed")
 
 
-@query("t4_dead_letters", "select user_id, count(*) receives from events where event_type = 'error' group by 1 having count(*) >= 3")
+@query("t4_dead_letters", "select user_id, 3 receives from events where event_type = 'error' group by 1 having count(*) >= 3")
 def t4(spark: SparkSession, sf: str) -> DataFrame:
-    attempts = _stream(spark, sf, "events").filter("event_type = 'error'")
-    return flow.drain(flow.dead_letters(attempts, "user_id"), "dead", "complete")
+    attempts = _stream(spark, sf, "events").filter("event_type = 'error'").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return flow.drain(flow.dead_letters(attempts, "user_id"), "dead")
+
+
+@query("t2_batches", "select doc_id, length(text) size from documents")
+def t2(spark: SparkSession, sf: str) -> DataFrame:
+    """The inserting stage: ten files a batch, ten seconds apart."""
+    stage = lambda rows: rows.select("doc_id", F.length("text").cast("long").alias("size"))
+    return flow.consume(_stream(spark, sf, "documents", "inserting"), stage, "inserting", shared.new_path(spark, "batches"))[0]
 
 
 @query("t5_upsert", """select user_id, max(event_id) event_id, arg_max("value", event_id) "value" from events group by 1""")
@@ -97,11 +104,9 @@ def t13(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t6_replay", "select doc_id, case when l.doc_id is not null then 'replayed' else 'not_in_cache' end status, quality, case when l.doc_id is not null then true end from_cache from documents d left join labels l using (doc_id)")
 def t6(spark: SparkSession, sf: str) -> DataFrame:
-    from docloom.operators import store
-
-    asked = table(spark, sf, "documents").select("doc_id")
-    cache = table(spark, sf, "labels").select("doc_id", "quality", F.lit(True).alias("from_cache"))
-    return store.replay(asked, cache, "doc_id").select("doc_id", "status", "quality", "from_cache")
+    cache = lambda: table(spark, sf, "labels").select("doc_id", "quality", F.lit(True).alias("from_cache"))
+    answers = flow.replay(_stream(spark, sf, "documents"), cache, "doc_id", shared.new_path(spark, "replay"))
+    return answers.select("doc_id", "status", "quality", "from_cache")
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:

@@ -55,3 +55,76 @@ def test_a_cluster_needs_a_shared_folder():
         assert "spark.checkpoint.dir" in str(error)
     else:
         raise AssertionError("no error")
+
+
+def messages(spark, folder, rows, schema):
+    """A file for each message."""
+    for row in rows:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def attempts(spark, folder, rows):
+    """A file for each receive (id, day)."""
+    for name, day in rows:
+        spark.sql("select 1").select(F.lit(name).cast("string").alias("id"), F.expr(f"timestamp'2024-01-01' + interval {day} days").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_third_receive_is_dead_once(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    dead = lambda: sorted(map(tuple, flow.drain(flow.dead_letters(flow.source(spark, source, "id string, ts timestamp", stage="embedding"), "id"), "dead", path=path).collect()), key=repr)
+    attempts(spark, source, [("a", 1), ("b", 1), ("a", 1)])
+    assert dead() == []
+    attempts(spark, source, [("a", 2), ("c", 1)])
+    assert dead() == [("a", 3)]
+    attempts(spark, source, [("a", 2), ("a", 3), ("b", 2)])
+    assert dead() == [("a", 3)]  # restarted, no second time
+    attempts(spark, source, [("d", 3)] * 5 + [(None, 3)] * 3)
+    assert dead() == [("a", 3), ("d", 3), (None, 3)]
+    attempts(spark, source, [("a", 40), ("x", 41)])
+    dead()
+    attempts(spark, source, [("b", 42), ("x", 43)])  # b's receives of the first days are forgotten
+    assert dead() == [("a", 3), ("d", 3), (None, 3)]
+
+
+def test_replay_sees_the_cache_of_its_time(spark, tmp_path):
+    source, cache, path = (str(tmp_path / n) for n in ("in", "cache", "out"))
+    read = lambda: spark.read.schema("id long, body string").parquet(cache)
+    run = lambda: {(r["id"], r["status"], r["body"]) for r in flow.replay(flow.source(spark, source, "id long"), read, "id", path).collect()}
+    spark.createDataFrame([(1, "one")], "id long, body string").write.parquet(cache)
+    messages(spark, source, [(1,), (2,), (2,)], "id long")
+    first = {(1, "replayed", "one"), (2, "not_in_cache", None)}
+    assert run() == first
+    spark.createDataFrame([(2, "two")], "id long, body string").write.mode("append").parquet(cache)
+    assert run() == first  # no new request
+    messages(spark, source, [(2,)], "id long")
+    assert run() == first | {(2, "replayed", "two")}
+
+
+def test_batches_of_a_stage(spark, tmp_path):
+    import time
+
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    messages(spark, source, [(i,) for i in range(12)], "id long")
+    parts = []
+
+    def stage(rows):
+        if not rows.isStreaming:
+            parts.append(rows.rdd.getNumPartitions())
+        return rows.withColumn("twice", F.col("id") * 2)
+
+    start = time.time()
+    out, taken = flow.consume(flow.source(spark, source, "id long", stage="embedding"), stage, "embedding", path)
+    assert taken == [5, 5, 2] and time.time() - start >= 5 and max(parts) <= 20
+    assert sorted(r["twice"] for r in out.collect()) == [2 * i for i in range(12)]
+    messages(spark, source, [(99,)], "id long")
+    out, taken = flow.consume(flow.source(spark, source, "id long", stage="embedding"), stage, "embedding", path)
+    assert taken == [1] and out.count() == 13
+
+
+def test_complete_results_resume(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    counts = lambda: {r["id"]: r["n"] for r in flow.drain(flow.source(spark, source, "id long").groupBy("id").agg(F.count("*").alias("n")), "n", "complete", path).collect()}
+    messages(spark, source, [(1,), (2,)], "id long")
+    assert counts() == {1: 1, 2: 1} == counts()
+    messages(spark, source, [(1,)], "id long")
+    assert counts() == {1: 2, 2: 1}
