@@ -131,7 +131,8 @@ def build(docs: DataFrame, path: str, vector: str = "embedding", key: str = "id"
     n, dims = own.agg(F.count("*"), F.max(F.size("v"))).first()
     most = min(SAMPLE, SAMPLE_BYTES // (4 * (dims or 1)))
     rows = own.withColumn("h", F.xxhash64("key")).orderBy("h", "key").limit(most).select("v").toArrow()
-    model = train(search._unit(search._matrix(rows.column("v").combine_chunks()).astype(np.float32)), n) if n else Model(np.zeros((1, 1), np.float32), np.zeros((1, 1, SUBSPACE), np.float32), 1, 1)
+    model = train(search._unit(search._matrix(rows.column("v").combine_chunks()).astype(np.float32)), n, kind) if n else Model(np.zeros((1, 1), np.float32), np.zeros((1, 1, SUBSPACE), np.float32), 1, 1, kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -196,6 +197,8 @@ def top_k(spark: SparkSession, path: str, queries: DataFrame, key: str = "id", k
     def compared(block: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, object]:
         names, unit = block[0], search._unit(block[1])
         names, unit = names[np.isfinite(unit).all(1)], unit[np.isfinite(unit).all(1)]
+        if unit.shape[1] != model.centroids.shape[1]:  # no vector of an index has another length
+            names, unit = names[:0], np.zeros((0, model.centroids.shape[1]))
         wanted = [n for n, asking in enumerate(Prober(model, unit, k, probes).asking) if len(asking)]
         sent = spark.sparkContext.broadcast((model, names, unit))  # a block of bounded size
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +21,7 @@ BUCKETS = 64  # folders of postings; a question reads those of its terms
 BLOCK = 64  # documents of a block, about
 PREFIX = 7  # characters of a term that deletions are taken from
 _OPENED = 8  # blocks that are scored to find the lowest score that counts
+_DIRECT = 1024  # blocks that cost less to score than to bound
 
 
 def terms(text: Column) -> Column:
@@ -74,9 +76,9 @@ def expand_fuzzy(vocabulary: DataFrame, words: list[str], term: str = "term") ->
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """Where an index lies: ``postings`` by bucket of the term, ``keys`` of the vocabulary, ``fields``.
+    """Where an index lies: ``postings`` by bucket of the term, ``keys`` of the vocabulary, ``terms``, ``fields``.
 
-    A row of postings is a term's block in a field: the documents with their counts, how many they are, and ``peak``, the
+    A row of postings is a term's block in a field: the documents with their counts, and ``peak``, the
     largest part that count and length give a document's score. A block is the same set of documents for all terms and fields.
     """
 
@@ -93,15 +95,19 @@ class KeywordIndex:
     def keys(self) -> DataFrame:
         return self.spark.read.schema("key string, term string").parquet(f"{self.path}/keys")
 
+    @property
+    def terms(self) -> DataFrame:
+        return self.spark.read.schema("term string, field string, df long").parquet(f"{self.path}/terms")
+
     def postings(self, chosen: list[str]) -> DataFrame:
         """Rows of the given terms, of which only their buckets' folders are read."""
-        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in chosen], "term string").select(_bucket(F.col("term"))).distinct().collect()]
+        buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in chosen})
         rows = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("bucket").isin(buckets))
         return rows.filter(F.col("term").isin(chosen)) if len(chosen) <= 10 else rows.join(F.broadcast(self.spark.createDataFrame([(t,) for t in sorted(chosen)], "term string")), "term")
 
 
 def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(term) % BUCKETS).cast("int")
 
 
 def _part(tf: Column, size: Column, mean: Column) -> Column:
@@ -124,10 +130,13 @@ def build_index(docs: DataFrame, path: str, boosts: dict[str, float] = BOOSTS, k
     n = index.fields.agg(F.max("n")).first()[0] or 1
     blocks = max(1, n // BLOCK)
     rated = found.join(F.broadcast(index.fields), "field").withColumn("part", _part(F.col("tf"), F.col("len"), F.col("avg_len")))
-    posted = rated.groupBy("term", "field", F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("doc", "tf", "part")).alias("docs"), F.count("*").alias("df"), F.max("part").alias("peak"))
-    spread = posted.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod("block", F.lit(8)))
+    posted = rated.groupBy("term", "field", F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("doc", "tf", "part")).alias("docs"), F.max("part").alias("peak"))
+    parts = min(64, 1 + blocks // 1024)  # files of a bucket: a term may have a row in every block
+    spread = posted.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod("block", F.lit(parts)))
     spread.sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
-    term_keys(found.select("term")).sortWithinPartitions("key").write.parquet(f"{path}/keys")
+    counts = found.groupBy("term", "field").agg(F.count("*").alias("df"))
+    counts.repartition(_bucket(F.col("term"))).sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    term_keys(counts.select("term")).sortWithinPartitions("key").write.parquet(f"{path}/keys")
     shared.drop(found)
     return index
 
@@ -141,12 +150,13 @@ def chosen_terms(index: KeywordIndex, words: list[str], fuzzy: bool = True) -> l
     return [(r["word"], r["term"], 1.0 - r["edits"] / min(len(r["word"]), len(r["term"]))) for r in near.collect()]
 
 
-def search(index: KeywordIndex, words: list[str], k: int = 10, fuzzy: bool = True) -> DataFrame:
+def search(index: KeywordIndex, words: list[str], k: int = 10, fuzzy: bool = True, direct: int = _DIRECT) -> DataFrame:
     """BM25 of each field times its boost; a document's score is its best field's. key and score of the best ``k``.
 
     With ``fuzzy`` a word also finds terms within the edits that its length allows, each weighted by the share of characters
     that are not edited. Blocks are first bounded by their terms' peaks, without reading their documents. Those with the
-    highest bounds are scored, and of all others only those whose bound reaches the ``k``-th score found.
+    highest bounds are scored, and of all others only those whose bound reaches the ``k``-th score found. An index of at
+    most ``direct`` blocks is scored at once, with the same result.
     """
     spark = index.spark
     chosen = chosen_terms(index, words, fuzzy)
@@ -156,21 +166,24 @@ def search(index: KeywordIndex, words: list[str], k: int = 10, fuzzy: bool = Tru
     weights = spark.createDataFrame(chosen, "word string, term string, weight double").groupBy("term").agg(F.sum("weight").alias("weight"))
     boosts = spark.createDataFrame(list(index.boosts.items()), "field string, boost double")
     postings = index.postings(sorted({t for _, t, _ in chosen}))
-    heads = postings.select("term", "field", "block", "df", "peak")
-    df = heads.groupBy("term", "field").agg(F.sum("df").alias("df"))
+    heads = postings.select("term", "field", "block", "peak")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    worth = df.join(F.broadcast(index.fields), "field").join(F.broadcast(boosts), "field").join(F.broadcast(weights), "term").select("term", "field", (F.col("boost") * F.col("weight") * idf).alias("worth"))
+    worth = index.terms.join(F.broadcast(index.fields), "field").join(F.broadcast(boosts), "field").join(F.broadcast(weights), "term").select("term", "field", (F.col("boost") * F.col("weight") * idf).alias("worth"))
     worth = worth.toArrow()  # a row for each field and chosen term at most
     if not len(worth):
         return none
     worth = spark.createDataFrame(worth)
+    small = max(r["n"] for r in index.fields.collect()) <= direct * BLOCK  # a row for each field
     bounds = heads.join(F.broadcast(worth), ["term", "field"]).groupBy("block", "field").agg(F.sum(F.col("worth") * F.col("peak")).alias("b")).groupBy("block").agg(F.max("b").alias("bound"))
 
-    def scored(blocks: DataFrame) -> DataFrame:
-        rows = postings.join(blocks.select("block"), "block", "left_semi").join(F.broadcast(worth), ["term", "field"])
+    def scored(blocks: DataFrame | None) -> DataFrame:
+        own = postings if blocks is None else postings.join(blocks.select("block"), "block", "left_semi")
+        rows = own.join(F.broadcast(worth), ["term", "field"])
         parts = rows.select("field", "worth", F.explode("docs").alias("d")).groupBy("d.doc", "field").agg(F.sum(F.col("worth") * F.col("d.part")).alias("s"))
         return parts.groupBy("doc").agg(F.round(F.max("s"), 6).alias("score")).orderBy(F.desc("score"), "doc").limit(k)
 
+    if small:
+        return scored(None).select(F.col("doc").alias(index.key), "score")
     first = bounds.orderBy(F.desc("bound"), "block").limit(_OPENED)
     best = scored(F.broadcast(first)).collect()
     floor = best[-1]["score"] - 1e-6 if len(best) == k else 0.0

@@ -52,13 +52,13 @@ def test_recall_of_approximate_search(spark, sf):
 def test_few_rows_of_grouped_vectors_are_visited(spark, tmp_path):
     """Of vectors with groups, under a tenth are visited at all, fewer are scored, and the recall is kept."""
     rng = np.random.default_rng(2)
-    centres = rng.normal(size=(200, 32))
-    x = search._unit(centres[rng.integers(0, 200, 20000)] + 0.35 * rng.normal(size=(20000, 32)))
-    docs = spark.createDataFrame(pa.table({"id": np.arange(20000), "embedding": list(x)}))
+    centres = rng.normal(size=(100, 32))
+    x = search._unit(centres[rng.integers(0, 100, 6000)] + 0.35 * rng.normal(size=(6000, 32)))
+    docs = spark.createDataFrame(pa.table({"id": np.arange(6000), "embedding": list(x)}))
     path = str(tmp_path / "index")
     ann.build(docs, path)
     model = ann._model(path)
-    asked = np.arange(0, 20000, 100)
+    asked = np.arange(0, 6000, 100)
     prober = ann.Prober(model, x[asked], 10, model.probes)
     lists = model.list_of(x)
     codes = model.codes(x, lists)
@@ -131,6 +131,7 @@ def test_stored_keyword_index(spark, tmp_path):
             f.append([bm25(w, f[field], sizes, df) for w in ("word7", "word31")])
     best = sorted(((-round(max(3 * sum(f[2]), sum(f[3])), 6), i) for i, f in bags))[:10]
     assert [(-r["score"], r["id"]) for r in plain] == best
+    assert [(-r["score"], r["id"]) for r in keywords.search(index, ["word7", "word31", "zzz"], 10, fuzzy=False, direct=0).collect()] == best
     plan = index.postings(["word7", "word31"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     assert keywords.search(index, ["nothing"], fuzzy=True).count() == 0
