@@ -6,6 +6,8 @@ lost executor costs the stage that runs, not the pipeline.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,28 +15,57 @@ from docloom.llm import decontaminate, neardup, packing, quality, scratch, secre
 from docloom.llm.queries import quality_model, tokenizer_path
 
 
+def _with_own_names(docs: DataFrame, used: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` of ``docs``, of whose columns it sees the ``used`` ones by name and all others by a number.
+
+    So no column of the documents, whatever it is called, meets one that an operator makes, and all come back unchanged.
+    """
+    hidden = [name if name in used else f"__column{i}" for i, name in enumerate(docs.columns)]
+    return stage(docs.toDF(*hidden)).select(*hidden).toDF(*docs.columns)
+
+
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier, learned on labelled documents of its input, does not reject."""
+    """Documents that the compression classifier, learned on labelled documents of its input, does not reject.
+
+    Null and empty texts are scored like others, equal texts alike, and repeated rows stay repeated. An empty table gives an
+    empty one. All columns come back, whatever their names.
+    """
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    return _with_own_names(docs, ("doc_id", "text"), lambda d: quality.score(d, model).filter("predicted = 1"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
-    return neardup.keep_one(docs)
+    """One document of each class of near duplicates.
+
+    Of equal texts and of repeated rows one stays; rows without words, null texts too, all stay. An empty table gives an
+    empty one. All columns come back, whatever their names.
+    """
+    return _with_own_names(docs, ("doc_id", "text"), neardup.keep_one)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not contain the benchmark beyond the contamination rule."""
-    checked = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return checked.filter("not contaminated").select(*docs.columns)
+    """Documents that do not contain the benchmark beyond the contamination rule.
+
+    Null and empty texts contain nothing and stay, as repeated rows do; an empty benchmark lets all pass. All columns come
+    back, whatever their names.
+    """
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _with_own_names(docs, ("doc_id", "text"), lambda d: decontaminate.decontaminate(d, benchmark).filter("not contaminated"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced in their texts and n_chars to match."""
-    clean = secrets.redact(docs.withColumn("__before", F.length("text")))
-    size = F.when(F.col("__before") != F.length("text"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", size).select(*docs.columns)
+    """All documents, with secrets replaced in their texts and n_chars to match.
+
+    Null texts stay null, and repeated rows stay repeated; a null source owns nothing. All other columns come back
+    unchanged, whatever their names.
+    """
+
+    def clean(d: DataFrame) -> DataFrame:
+        found = secrets.redact(d.withColumn("__before", F.length("text")))
+        size = F.when(F.col("__before") != F.length("text"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        return found.withColumn("n_chars", size)
+
+    return _with_own_names(docs, ("doc_id", "text", "source", "n_chars"), clean)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
