@@ -39,3 +39,20 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_keep_foreign_columns(spark):
+    """Columns with names that operators use, or with a dot, come back unchanged; odd rows and empty tables pass."""
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    odd = docs.limit(3).withColumn("text", F.lit(None).cast("string")).unionByName(docs.limit(2).withColumn("text", F.lit(""))).unionByName(docs.limit(1)).unionByName(docs.limit(1).withColumn("source", F.lit(None).cast("string")))
+    names = ["score", "predicted", "n_words", "n_hit", "n_items", "item_ids", "contaminated", "spans", "class_id", "__before", "__t", "a.b"]
+    wide = docs.unionByName(odd)
+    for i, name in enumerate(names):
+        wide = wide.withColumn(name, F.lit(-float(i)))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, small)
+        assert out.columns == wide.columns and [f.dataType for f in out.schema] == [f.dataType for f in wide.schema]
+        rows = out.select(*[F.col(f"`{n}`") for n in names]).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(-float(i) for i in range(len(names)))]
+        assert stage(spark, wide.limit(0), small).count() == 0
