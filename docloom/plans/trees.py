@@ -9,6 +9,7 @@ from docloom.operators import heap, relations, segment, store, tree
 from docloom.plans import views
 from docloom.plans.registry import query
 from docloom.plans.views import ARTICLES, DIVISIONS, NORMAS, REFERENCES, RELATIONS, table
+from docloom.sources import shared
 
 _UPSERTED = f"""{NORMAS}, base as (select infoleg_id, tipo_norma, titulo_sumario from normas where infoleg_id % 2 = 0),
 incoming as (select infoleg_id, tipo_norma, titulo_sumario || ' new' titulo_sumario from normas where infoleg_id % 3 = 0)"""
@@ -162,6 +163,12 @@ def trees(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("norm_id", F.to_json(F.struct(F.transform("lines", division).alias("divisions")), {"ignoreNullFields": "false"}).alias("tree"))
 
 
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """All nodes of all trees, flattened by the first query of a program that asks for them."""
+    path = shared.once(spark, f"nodes {spark.sparkContext.applicationId} {sf}", lambda path: tree.flatten(trees(spark, sf), "norm_id", "tree").write.parquet(path))
+    return spark.read.parquet(path)
+
+
 _NODES = f"""{ARTICLES}, tree_nodes as (
   select norma_id norm_id, 'division' kind, 'd' || order_index path, cast(null as varchar) parent_path, '2' || lpad(cast(order_index as varchar), 6, '0') sort_path, order_index, substr(body, 1, 20) body from divisions
   union all select division_id // 10000, 'article', 'd' || division_id % 10000 || '_a' || order_index, 'd' || division_id % 10000,
@@ -176,7 +183,7 @@ def h3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("h1_sibling_order", f"with {_NODES} select norm_id, kind, parent_path, max(order_index) siblings from tree_nodes group by all")
 def h1(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.flatten(trees(spark, sf), "norm_id", "tree").groupBy("norm_id", "kind", "parent_path").agg(F.max("order_index").alias("siblings"))
+    return _nodes(spark, sf).groupBy("norm_id", "kind", "parent_path").agg(F.max("order_index").alias("siblings"))
 
 
 @query(
@@ -192,12 +199,12 @@ def h2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("h4_insertion_order", f"with {_NODES} select norm_id, path, row_number() over (partition by norm_id order by sort_path) number from tree_nodes")
 def h4(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.depth_order(tree.flatten(trees(spark, sf), "norm_id", "tree")).select("norm_id", "path", "number")
+    return tree.depth_order(_nodes(spark, sf)).select("norm_id", "path", "number")
 
 
 @query("h5_rebuild", f"with {_NODES} select norm_id, count(*) nodes, md5(string_agg(md5(body), '' order by sort_path)) digest from tree_nodes group by 1")
 def h5(spark: SparkSession, sf: str) -> DataFrame:
-    rebuilt = tree.rebuild(tree.flatten(trees(spark, sf), "norm_id", "tree"))
+    rebuilt = tree.rebuild(_nodes(spark, sf))
     again = tree.flatten(rebuilt, "norm_id", "tree").groupBy("norm_id").agg(F.count("*").alias("nodes"), F.array_sort(F.collect_list(F.struct("sort_path", F.md5("body").alias("b")))).alias("b"))
     return again.select("norm_id", "nodes", F.md5(F.array_join(F.transform("b", lambda x: x["b"]), "")).alias("digest"))
 
@@ -219,17 +226,17 @@ def h7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("h8_document_text", f"with {_NODES}, b as (select norm_id, sort_path, regexp_replace(body, '^\\s+|\\s+$', '', 'g') body from tree_nodes) select norm_id, md5(string_agg(body, ' ' order by sort_path)) digest from b where body <> '' group by 1")
 def h8(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.document_text(tree.flatten(trees(spark, sf), "norm_id", "tree")).select("norm_id", F.md5("text").alias("digest"))
+    return tree.document_text(_nodes(spark, sf)).select("norm_id", F.md5("text").alias("digest"))
 
 
 @query("h9_counts", f"with {_NODES} select norm_id, count(*) filter (kind = 'division') divisions_created, count(*) filter (kind = 'article') articles_created from tree_nodes group by 1")
 def h9(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.counts(tree.flatten(trees(spark, sf), "norm_id", "tree"))
+    return tree.counts(_nodes(spark, sf))
 
 
 def _embedded(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes of which every third article and every fifth division has no embedding."""
-    nodes = tree.flatten(trees(spark, sf), "norm_id", "tree")
+    nodes = _nodes(spark, sf)
     bare = F.when(F.col("kind") == "article", F.col("order_index") % 3 == 0).otherwise(F.col("order_index") % 5 == 0)
     return nodes.withColumn("embedding", F.when(~bare, F.array(F.length("body").cast("double"))))
 
@@ -251,14 +258,14 @@ def h11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j7_attach_keys", f"with {_NODES} select norm_id, path, number from (select norm_id, path, order_index, row_number() over (partition by norm_id order by sort_path) number from tree_nodes) where order_index % 4 <> 0")
 def j7(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = tree.flatten(trees(spark, sf), "norm_id", "tree")
+    nodes = _nodes(spark, sf)
     stored = tree.depth_order(nodes).withColumnRenamed("number", "id").filter("order_index % 4 <> 0")
     return tree.attach_keys(nodes, stored)[0].select("norm_id", "path", F.col("stored_id").alias("number"))
 
 
 @query("j8_without_key", f"with {_NODES} select norm_id, path from tree_nodes where order_index % 4 = 0")
 def j8(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = tree.flatten(trees(spark, sf), "norm_id", "tree")
+    nodes = _nodes(spark, sf)
     stored = tree.keyed(nodes).filter("order_index % 4 <> 0")
     return tree.attach_keys(nodes, stored)[1].select("norm_id", "path")
 
