@@ -268,12 +268,12 @@ def v4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("v1_sequence_ratio")
 def v1(spark: SparkSession, sf: str) -> DataFrame:
-    return _words(spark, sf).select("conv_id", "turn", verify.sequence_ratio("o", "d").alias("ratio"))
+    return verify.sequence_ratio(_words(spark, sf), ["conv_id", "turn"], "o", "d").select("conv_id", "turn", "ratio")
 
 
 @query("v5_fidelity")
 def v5(spark: SparkSession, sf: str) -> DataFrame:
-    return verify.fidelity(_pairs(spark, sf), "original", "derived").select("conv_id", "turn", "sequence", "jaccard", "added", "truncated", "score")
+    return verify.fidelity(_pairs(spark, sf), ["conv_id", "turn"], "original", "derived").select("conv_id", "turn", "sequence", "jaccard", "added", "truncated", "score")
 
 
 @query("v6_decision", """select event_id, event_type <> 'error' and "value" >= 70 - 1e-9 is_valid, case when event_type = 'error' then 'invalid structure' when "value" < 70 - 1e-9 then 'content differs' else 'ok' end message from events""")

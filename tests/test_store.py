@@ -1,3 +1,4 @@
+import difflib
 import hashlib
 import time
 
@@ -24,13 +25,43 @@ def test_quota_never_exceeded(spark):
 
 def test_scores(spark):
     rows = spark.createDataFrame([(1, "uno dos tres cuatro", "uno dos tres cuatro"), (2, "", ""), (3, "uno dos tres cuatro cinco seis siete ocho", "uno dos tres cuatro"), (4, "uno", None)], "id long, o string, d string")
-    got = {r["id"]: r for r in verify.fidelity(rows, "o", "d").collect()}
+    got = {r["id"]: r for r in verify.fidelity(rows, ["id"], "o", "d").collect()}
     assert got[1]["score"] == 1.0 and got[2]["jaccard"] == 1.0 and got[4]["score"] == 0.0
     assert abs(got[3]["truncated"] - 0.4) < 1e-12
     decided = verify.decide(spark.createDataFrame([(True, 0.7), (True, 0.69), (False, 0.9)], "v boolean, s double"), "v", "s", 0.3)
     assert [r["is_valid"] for r in decided.collect()] == [True, False, False]
 
 
+def test_matching_blocks_equal_the_library(spark):
+    """Also lists of 200 and more words, where frequent ones begin no block, and nested blocks."""
+    rng = np.random.default_rng(12)
+    draw = lambda words, n: [f"w{int(x) % words}" for x in rng.pareto(0.8, n) * 2]
+    rows = [(i, draw(3, rng.integers(0, 12)), draw(3, rng.integers(0, 12))) for i in range(150)]
+    rows += [(200 + i, draw(60, rng.integers(0, 90)), draw(60, rng.integers(0, 90))) for i in range(30)]
+    rows += [(300 + i, draw(90, rng.integers(150, 320)), draw(90, rng.integers(190, 320))) for i in range(8)]
+    rows += [(400, ["x"] * 250, ["x"] * 240), (401, ["x"] * 250, ["y", *["x"] * 240]), (402, [], []), (403, ["a"], []), (404, ["a"], ["a"])]
+    edited = draw(500, 300)
+    rows.append((405, edited, [w for w in edited[:120] if w != "w1"] + draw(9, 15) + edited[130:]))
+    got = verify.sequence_ratio(spark.createDataFrame(rows, "id long, o array<string>, d array<string>").repartition(3), ["id"], "o", "d").collect()
+    want = {i: difflib.SequenceMatcher(None, o, d).ratio() for i, o, d in rows}
+    assert {r["id"]: r["ratio"] for r in got} == want
+
+
+def test_fidelity_of_the_turns(spark):
+    """Every turn of the small table as a derivation of the one before it, against the formula in plain Python."""
+    from docloom.plans import search as plans
+
+    words = {(r["conv_id"], r["turn"]): (r["o"], r["d"]) for r in plans._words(spark, "/root/testdata/sf0.001").collect()}
+    for r in plans.v5(spark, "/root/testdata/sf0.001").collect():
+        o, d = words.pop((r["conv_id"], r["turn"]))
+        share = len(set(d) - set(o)) / max(len(set(o)), 1)
+        kept = len(d) / len(o) if o else 1.0
+        jaccard = len(set(o) & set(d)) / len(set(o) | set(d)) if o or d else 1.0
+        score = (0.7 * difflib.SequenceMatcher(None, o, d).ratio() + 0.3 * jaccard) * (max(0.4, 1 - 3 * share) if share > 0.05 else 1) * (max(0.3, 1 - 2 * (0.8 - kept)) if kept < 0.8 else 1)
+        assert abs(r["score"] - score) < 1e-9
+    assert not words
+
+
 def test_user_functions(spark):
     rows = spark.createDataFrame([("a b",), (" ",), (None,)], "t string")
     assert [r["embedding"] for r in embed.embed(rows, "t", lambda: lambda ts: [[float(len(t))] for t in ts]).collect()] == [[3.0], None, None]
