@@ -13,8 +13,9 @@ from docloom.sources import shared
 def descendants(nodes: DataFrame, roots: DataFrame | int, parent: str) -> DataFrame:
     """(root, id, depth) of each root (a table with ``id``, or one id) and of all below it.
 
-    A level at a time, each a join of the last level with the nodes, until a level is empty; ids that a root has already
-    reached are left out, so broken tables with circles end, too.
+    A level at a time, each a join of the last level only with the nodes, until a level is empty. A node has one parent, so it
+    is met twice below a root only if the root stands on a circle, and then the root is met first: where a walk comes
+    back to its root it ends. So broken tables end, too, and no level is compared with those before it.
     """
     edges = nodes.select("id", F.col(parent).alias("parent"))
     wanted = nodes.select("id").filter(F.col("id") == roots) if isinstance(roots, int) else roots.select("id").join(nodes.select("id"), "id", "left_semi")
@@ -22,9 +23,8 @@ def descendants(nodes: DataFrame, roots: DataFrame | int, parent: str) -> DataFr
     levels = []
     while level.head(1):
         levels.append(level)
-        seen = reduce(DataFrame.unionByName, levels).select("root", "id")
         below = edges.join(level.select("root", F.col("id").alias("parent"), (F.col("depth") + 1).alias("depth")), "parent").select("root", "id", "depth")
-        level = shared.table(below.join(seen, ["root", "id"], "left_anti"), "level")
+        level = shared.table(below.filter(F.col("id") != F.col("root")), "level")
     return reduce(DataFrame.unionByName, levels or [level])
 
 

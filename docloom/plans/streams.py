@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.plans import views
 from docloom.plans.registry import query
 from docloom.plans.views import LOGS, NORMAS, table
-from docloom.sources import records, shared
+from docloom.sources import pages, records, shared
 from docloom.streaming import flow
 
 
@@ -166,6 +166,20 @@ def s6_missing(spark: SparkSession, sf: str) -> DataFrame:
     return records.missing_pages(_pages(spark, sf))
 
 
+@query("s6_page_source", """with months as (select date_trunc('month', cast(o_orderdate as date)) d, o_orderkey k, row_number() over (partition by date_trunc('month', cast(o_orderdate as date)) order by o_orderkey) - 1 i from orders)
+select cast(d as date) as "day", i // 100 + 1 page, count(*) n, cast(sum(k) as bigint) total from months where (i // 100 + 1) % 5 <> 0 group by all""")
+def s6_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Order keys of each month, a hundred to a page, landed as files; every fifth page is missing."""
+    path = shared.new_path(spark, "landed")
+    pages.register(spark)
+    place = F.row_number().over(Window.partitionBy("day").orderBy("o_orderkey")) - 1
+    keys = table(spark, sf, "orders").select(F.trunc("o_orderdate", "month").alias("day"), "o_orderkey").withColumn("page", F.floor(place / 100) + 1).filter("page % 5 <> 0")
+    answers = keys.groupBy("day", "page").agg(F.lit(100).alias("limit"), F.collect_list(F.struct(F.col("o_orderkey").alias("id"))).alias("results"))  # a page's keys
+    answers.repartition("day").write.partitionBy("day", "page").json(path)
+    landed = spark.read.format(pages.NAME).load(path).select("day", "page", F.explode("results.id").alias("id"))
+    return landed.groupBy("day", "page").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
+
+
 @query("s7_dump", "select cast(vec_id as varchar) vec_id, cast(label as varchar) label from embeddings")
 def s7(spark: SparkSession, sf: str) -> DataFrame:
     docs, path = table(spark, sf, "embeddings"), shared.new_path(spark, "dump")

@@ -156,7 +156,7 @@ def h13(spark: SparkSession, sf: str) -> DataFrame:
 def trees(spark: SparkSession, sf: str) -> DataFrame:
     article = lambda s, i: F.struct((i + 1).cast("string").alias("ordinal"), s.alias("body"), F.array().cast("array<string>").alias("articles"))
     division = lambda line, i: F.struct(
-        F.concat(F.lit("L"), (i + 1).cast("string")).alias("name"), (i + 1).cast("string").alias("ordinal"), F.lit(None).cast("string").alias("title"), F.substring(line, 1, 20).alias("body"),
+        F.concat(F.lit("L"), (i + 1).cast("string")).alias("name"), (i + 1).cast("string").alias("ordinal"), F.lit(None).cast("string").alias("title"), line.alias("body"),
         F.transform(F.split(line, "[.] "), article).alias("articles"), F.array().cast("array<string>").alias("divisions"),
     )
     docs = table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").cast("long").alias("norm_id"), F.split("text", "\n").alias("lines"))
@@ -170,7 +170,7 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NODES = f"""{ARTICLES}, tree_nodes as (
-  select norma_id norm_id, 'division' kind, 'd' || order_index path, cast(null as varchar) parent_path, '2' || lpad(cast(order_index as varchar), 6, '0') sort_path, order_index, substr(body, 1, 20) body from divisions
+  select norma_id norm_id, 'division' kind, 'd' || order_index path, cast(null as varchar) parent_path, '2' || lpad(cast(order_index as varchar), 6, '0') sort_path, order_index, body from divisions
   union all select division_id // 10000, 'article', 'd' || division_id % 10000 || '_a' || order_index, 'd' || division_id % 10000,
     '2' || lpad(cast(division_id % 10000 as varchar), 6, '0') || '1' || lpad(cast(order_index as varchar), 6, '0'), order_index, body from articles)"""
 

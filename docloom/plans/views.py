@@ -16,15 +16,18 @@ def normas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normas_of(docs: DataFrame) -> DataFrame:
-    """Records: documents with a type, a title, texts that may be missing, empty or blank, and a date."""
+    """Records: documents with a type, a title, texts that may be missing, empty or blank, and a date.
+
+    A short title is the first sentence, a summary the first line, both whole.
+    """
     return docs.selectExpr(
         "cast(doc_id as bigint) infoleg_id",
         "case when doc_id % 50 = 7 then null else source end tipo_norma",
         "upper(lang) titulo_sumario",
         "case when doc_id % 10 = 9 then null when doc_id % 100 = 3 then '' else text end texto_norma",
         "case when doc_id % 3 = 0 and doc_id % 10 <> 9 then text end texto_norma_actualizado",
-        "case when doc_id % 4 = 0 then null when doc_id % 4 = 1 then '   ' else substr(text, 1, 80) end texto_resumido",
-        "substr(text, 1, 40) titulo_resumido",
+        "case when doc_id % 4 = 0 then null when doc_id % 4 = 1 then '   ' else substring_index(text, '\\n', 1) end texto_resumido",
+        "substring_index(text, '. ', 1) titulo_resumido",
         "case doc_id % 3 when 0 then 'Nacional' when 1 then 'Provincial' end jurisdiccion",
         "date_add(date'2000-01-01', cast(doc_id % 5000 as int)) publicacion",
     )
@@ -34,8 +37,8 @@ NORMAS = """normas as (select cast(doc_id as bigint) infoleg_id,
   case when doc_id % 50 = 7 then null else source end tipo_norma, upper(lang) titulo_sumario,
   case when doc_id % 10 = 9 then null when doc_id % 100 = 3 then '' else text end texto_norma,
   case when doc_id % 3 = 0 and doc_id % 10 <> 9 then text end texto_norma_actualizado,
-  case when doc_id % 4 = 0 then null when doc_id % 4 = 1 then '   ' else substr(text, 1, 80) end texto_resumido,
-  substr(text, 1, 40) titulo_resumido,
+  case when doc_id % 4 = 0 then null when doc_id % 4 = 1 then '   ' else split_part(text, chr(10), 1) end texto_resumido,
+  split_part(text, '. ', 1) titulo_resumido,
   case doc_id % 3 when 0 then 'Nacional' when 1 then 'Provincial' end jurisdiccion,
   date '2000-01-01' + cast(doc_id % 5000 as int) as publicacion
   from documents)"""

@@ -128,3 +128,40 @@ def test_complete_results_resume(spark, tmp_path):
     assert counts() == {1: 1, 2: 1} == counts()
     messages(spark, source, [(1,)], "id long")
     assert counts() == {1: 2, 2: 1}
+
+
+def test_landed_pages(spark, tmp_path):
+    """A page a partition; a stream reads each page once, in order of day and number; gaps are named."""
+    import json
+
+    from docloom.sources import pages
+
+    pages.register(spark)
+    folder = tmp_path / "pages"
+
+    def land(day, page, body):
+        (folder / f"day={day}/page={page}").mkdir(parents=True)
+        (folder / f"day={day}/page={page}/x.json").write_text(body if isinstance(body, str) else json.dumps(body))
+
+    load = lambda: spark.read.format("landed_pages").load(f"file://{folder}")
+    assert load().count() == 0
+    land("2024-01-01", 1, {"count": 5, "limit": 2, "results": [{"id": 1}, {"id": 2}]})
+    land("2024-01-01", 3, {"count": 5, "limit": 2, "results": [{"id": 5}, {"id": None}, {"id": 0}]})
+    land("2024-01-02", 1, "no json")
+    assert load().rdd.getNumPartitions() == 3
+    assert sorted(r["infoleg_id"] for r in records.page_ids(load()).collect()) == [1, 2, 5]
+    assert [(str(r["day"]), r["page"]) for r in records.missing_pages(load()).collect()] == [("2024-01-01", 2)]
+
+    def run():
+        stream = spark.readStream.format("landed_pages").load(f"file://{folder}")
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        return sorted((str(r["day"]), r["page"], r["count"]) for r in spark.read.schema(pages.SCHEMA).parquet(str(tmp_path / "out")).collect())
+
+    first = [("2024-01-01", 1, 5), ("2024-01-01", 3, 5), ("2024-01-02", 1, None)]
+    assert run() == first
+    land("2024-01-02", 2, {"count": 3, "limit": 2, "results": []})
+    assert run() == [*first, ("2024-01-02", 2, 3)] == run()
