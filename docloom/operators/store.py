@@ -5,6 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.sources import shared
+
+
+def keyed_table(rows: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """``rows`` written once in buckets of their key, sorted, to a new folder of the shared one.
+
+    Joins on the key, so upserts, replacements and deletes, then read the table where it lies: only what is incoming is
+    shuffled, to the table's buckets. ``buckets`` should be as many as a shuffle of the table would have partitions.
+    """
+    spark = rows.sparkSession
+    path = shared.new_path(spark, "keyed")
+    name = "docloom_" + path.rsplit("-", 1)[-1]
+    rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
 
 def upsert(base: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """``base`` with the rows of ``incoming`` in place of those with the same key.

@@ -180,11 +180,13 @@ def s6_source(spark: SparkSession, sf: str) -> DataFrame:
     return landed.groupBy("day", "page").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
 
 
-@query("s7_dump", "select cast(vec_id as varchar) vec_id, cast(label as varchar) label from embeddings")
+@query("s7_dump", "select cast(vec_id as varchar) vec_id, cast(label as varchar) label, len(embedding) dims, round(list_sum(cast(embedding as double[])), 6) total, round(list_sum(list_transform(cast(embedding as double[]), lambda x, i: x * i)), 6) placed from embeddings")
 def s7(spark: SparkSession, sf: str) -> DataFrame:
     docs, path = table(spark, sf, "embeddings"), shared.new_path(spark, "dump")
     records.dump(docs, path, "csv")
-    return spark.read.schema("vec_id string, embedding string, label string").option("header", True).option("escape", '"').csv(path).select("vec_id", "label")
+    back = spark.read.schema("vec_id string, embedding string, label string").option("header", True).option("escape", '"').csv(path).withColumn("e", F.from_json("embedding", "array<float>"))
+    total = lambda values: F.round(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), 6)
+    return back.select("vec_id", "label", F.size("e").cast("long").alias("dims"), total(F.transform("e", lambda x: x.cast("double"))).alias("total"), total(F.transform("e", lambda x, i: x.cast("double") * (i + 1))).alias("placed"))
 
 
 @query("s8_reimport", "select cast(vec_id as varchar) _id, label, len(embedding) dims from embeddings")

@@ -23,7 +23,7 @@ def _base(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 @query("w1_upsert", f"with {_UPSERTED} select * from base where infoleg_id not in (select infoleg_id from incoming) union all select * from incoming")
 def w1(spark: SparkSession, sf: str) -> DataFrame:
     base, incoming = _base(spark, sf)
-    return store.upsert(base, incoming, "infoleg_id")
+    return store.upsert(store.keyed_table(base, "infoleg_id", 8), incoming, "infoleg_id")
 
 
 @query("w2_replace_children", f"""with {DIVISIONS} select id, norma_id, body from divisions where norma_id % 5 <> 0 union all select id, norma_id, upper("name") from divisions where norma_id % 5 = 0 and order_index <= 2""")
@@ -272,8 +272,12 @@ def j8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "h14_segment",
-    """with l as (select doc_id norm_id, unnest(string_split(text, chr(10))) line from documents), n as (select norm_id, count(*) n from l where trim(line) <> '' group by 1)
-select norm_id, 2 + n // 20 divisions, n articles from n""",
+    """with l as (select doc_id norm_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') ls from documents),
+a as (select norm_id, unnest(ls) line, generate_subscripts(ls, 1) i from l), n as (select norm_id, len(ls) n from l where len(ls) > 0)
+select norm_id, case when i < 20 then 'd2_a' || i else 'd2_d' || i // 20 || '_a' || (i % 20 + 1) end path, cast(i as varchar) ordinal, cast(null as varchar) title, md5(trim('Que ' || line)) body from a
+union all select norm_id, 'd1', null, null, md5('Visto el expediente') from n
+union all select norm_id, 'd2', null, null, md5('') from n
+union all select norm_id, 'd2_d' || c, null, 'Capítulo ' || c * 20, md5('') from (select norm_id, unnest(range(1, n // 20 + 1)) c from n)""",
 )
 def h14(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as rules: a preamble, a main part of one article a line, and a chapter before every twentieth line."""
@@ -281,4 +285,4 @@ def h14(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("norm_id"), F.concat(F.lit("Visto el expediente\n"), F.array_join(F.transform(lines, line), "\n")).alias("text"), F.size(lines).alias("n"))
     nodes = segment.segment(docs.filter("n > 0"))
-    return nodes.groupBy("norm_id").agg(F.count_if(F.col("kind") == "division").alias("divisions"), F.count_if(F.col("kind") == "article").alias("articles"))
+    return nodes.select("norm_id", "path", "ordinal", "title", F.md5(F.trim("body")).alias("body"))

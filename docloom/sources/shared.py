@@ -42,9 +42,9 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def once(spark: SparkSession, label: str, build: Callable[[str], object]) -> str:
-    """The folder that ``build`` filled for ``label`` in this program; it is called again only if :func:`clear` took it."""
+    """The folder that ``build`` filled for ``label`` in this program; it is called again only if that is gone."""
     path = _KEPT.get(label)
-    if path is None or path not in _MADE:
+    if path is None or path not in _MADE or not exists(spark, path):
         path = new_path(spark, "kept")
         build(path)
         _KEPT[label] = path

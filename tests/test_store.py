@@ -17,6 +17,22 @@ def test_upsert_is_idempotent(spark):
     assert sorted(map(tuple, store.upsert(once, new, "k").collect()), key=str) == sorted(map(tuple, once.collect()), key=str)
 
 
+def test_a_keyed_table_is_not_shuffled(spark):
+    """Upsert, replacement and delete join with the table in its buckets; only the other side is exchanged."""
+    rows = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    base, new = store.keyed_table(rows, "k", 16), spark.range(4000, 6000).select(F.col("id").alias("k"), F.lit(-1).cast("long").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out, n in ((store.upsert(base, new, "k"), 6000), (store.replace_children(base, "k", new), 6000), (store.missing(base, new, "k"), 4000)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            branches = plan[: plan.index("Bucketed: true")].splitlines()
+            scan = len(branches[-1]) - len(branches[-1].lstrip(" :+-"))
+            above = [line for line in branches if "Exchange" in line and len(line) - len(line.lstrip(" :+-")) < scan]
+            assert not above and out.count() == n and out.agg(F.sum("v")).first()[0] == (sum(2 * i for i in range(4000)) - 2000 * (n == 6000))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_quota_never_exceeded(spark):
     rows = spark.range(500).select("id", (F.col("id") % 7).cast("string").alias("s"))
     counts = {r["s"]: r["count"] for r in sampling.by_quota(rows, "s", {"0": 3, "1": 1000, "9": 5}, [F.col("id")]).groupBy("s").count().collect()}
