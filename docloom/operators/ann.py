@@ -96,27 +96,54 @@ def train(sample: np.ndarray, n: int, kind: str, seed: int = 7) -> Model:
 
 
 def calibrate(own: DataFrame, path: str, model: Model, target: float, k: int = 10) -> Model:
-    """The model with the fewest lists, and exact scores by powers of two, that reach ``target`` over all rows.
+    """The model with the fewest lists and exact scores that reach ``target`` over all rows, their own vectors left out.
 
-    TRIED vectors are searched exactly; the lists of what they find tell how many to probe, and searches of the index how
-    many rows to score. Where even all lists and scores fall short by ties in double precision, those are taken.
+    TRIED vectors are searched exactly. Where the lists of what they find stand in a query's order tells how many to probe;
+    how many rows of these lists the codes put before it, counted in the index, tells how many to score. Half of what may be
+    missed is left to each. None of this depends on how rows lie in tasks.
     """
     spark = own.sparkSession
     tried = shared.table(own.orderBy(F.xxhash64("key", F.lit(1)), "key").limit(TRIED).select(F.col("key").alias("query_id"), "v"), "tried")
-    near = shared.table(search.batch_top_k(own, tried, k, "v", "key"), "near")
-    pairs = near.join(F.broadcast(tried.withColumnRenamed("v", "q")), "query_id").join(own, "key").select("q", "v").toArrow()  # k for each tried
+    near = search.batch_top_k(own, tried, k + 1, "v", "key").filter("key != query_id")
+    pairs = near.join(F.broadcast(tried.withColumnRenamed("v", "q")), "query_id").join(own, "key").orderBy("query_id", "rank").select("q", "v").toArrow()  # k for each tried
+    if not len(pairs):
+        return model
     unit, found = (search._unit(search._matrix(pairs.column(c).combine_chunks()).astype(np.float64)) for c in ("q", "v"))
+    lists = model.list_of(found)
     order = np.argsort(np.argsort(-(unit @ model.centroids.T), axis=1, kind="stable"), axis=1)
-    places = order[np.arange(len(found)), model.list_of(found)]
-    probes = int(np.searchsorted(np.cumsum(np.bincount(places)) / len(places), (1 + target) / 2 - 1e-12)) + 1
-    true = {(r["query_id"], r["key"]) for r in near.select("query_id", "key").collect()}
-    rescored = 1
-    while True:
-        model = Model(model.centroids, model.codebooks, min(probes, len(model.centroids)), rescored, model.kind)
-        got = top_k(spark, path, tried, "key", k, "v", model=model).select("query_id", "key").collect()
-        if len(true & {(r["query_id"], r["key"]) for r in got}) >= target * len(true) or rescored > 1 << 12:
-            return model
-        rescored *= 2
+    probes = _holding(order[np.arange(len(found)), lists] + 1, (1 + target) / 2)
+    own_codes = model.codes(found, lists)
+    floor = np.asarray([_rough(model, unit[i : i + 1], n, own_codes[i : i + 1])[0, 0] for i, n in enumerate(lists.tolist())])
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = np.zeros(len(unit), np.int64)
+        for batch in batches:
+            number = batch.column("list").to_numpy()
+            for n in np.unique(number).tolist():
+                asking = np.flatnonzero(order[:, n] < probes)
+                codes = np.frombuffer(b"".join(batch.column("code").filter(pa.array(number == n)).to_pylist()), np.uint8).reshape(-1, own_codes.shape[1])
+                for at in range(0, len(asking), 64):
+                    some = asking[at : at + 64]
+                    before[some] += (_rough(model, unit[some], n, codes) > floor[some, None] + 1e-6).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(before)), pa.int32()), pa.array(before)], ["i", "n"])
+
+    counted = _rows(spark, path, model).select("list", "code").mapInArrow(ahead, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    places = np.asarray([r["n"] for r in counted]) + 2  # its own place, and the query's own row
+    return Model(model.centroids, model.codebooks, probes, -(-_holding(places, (1 + target) / 2) // k), model.kind)
+
+
+def _holding(places: np.ndarray, share: float) -> int:
+    """The smallest number of places, from 1, that holds ``share`` of those given."""
+    return int(np.sort(places)[max(0, int(np.ceil(share * len(places))) - 1)])
+
+
+def _rough(model: Model, unit: np.ndarray, number: int, codes: np.ndarray) -> np.ndarray:
+    """Scores by codes of rows of one list: (queries, rows)."""
+    return ((unit @ model.centroids[number])[:, None] + model.tables(unit)[:, np.arange(codes.shape[1]), codes].sum(2)).astype(np.float32)
+
+
+def _rows(spark: SparkSession, path: str, model: Model) -> DataFrame:
+    return spark.read.schema(f"key {model.kind}, code binary, v array<float>, list int").parquet(f"{path}/rows")
 
 
 def build(docs: DataFrame, path: str, vector: str = "embedding", key: str = "id", target: float = TARGET) -> None:
@@ -171,10 +198,9 @@ class Prober:
         asking = self.asking[number]
         for at in range(0, len(asking), 64):
             some = asking[at : at + 64]
-            tables = self.model.tables(self.unit[some])
-            scores = (self.unit[some] @ self.model.centroids[number])[:, None] + tables[:, np.arange(codes.shape[1]), codes].sum(2)
+            scores = _rough(self.model, self.unit[some], number, codes)
             self.visited += scores.size
-            for q, row in zip(some.tolist(), scores.astype(np.float32)):
+            for q, row in zip(some.tolist(), scores):
                 worth = np.flatnonzero(row > self.rough[q, 0])
                 if len(worth) > self.rough.shape[1]:
                     worth = worth[np.argsort(-row[worth], kind="stable")[: self.rough.shape[1]]]
@@ -187,11 +213,11 @@ class Prober:
                 self.best[q] = sorted(found)[: self.k]
 
 
-def top_k(spark: SparkSession, path: str, queries: DataFrame, key: str = "id", k: int = search.DEFAULT_K, vector: str = "embedding", query_key: str = "query_id", probes: int | None = None, block_bytes: int = search.BLOCK_BYTES, model: Model | None = None) -> DataFrame:
+def top_k(spark: SparkSession, path: str, queries: DataFrame, key: str = "id", k: int = search.DEFAULT_K, vector: str = "embedding", query_key: str = "query_id", probes: int | None = None, block_bytes: int = search.BLOCK_BYTES) -> DataFrame:
     """Like :func:`search.batch_top_k`, from an index: query_id, id, score (cosine), rank. ``probes`` overrides the measured number of lists."""
-    model = model or _model(path)
+    model = _model(path)
     probes = probes or model.probes
-    rows = spark.read.schema(f"key {model.kind}, code binary, v array<float>, list int").parquet(f"{path}/rows")
+    rows = _rows(spark, path, model)
     key_kind, kind = model.kind, queries.schema[query_key].dataType.simpleString()
 
     def compared(block: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, object]:
