@@ -9,7 +9,8 @@ that sets base spans apart by definition (signs and separators). Over the whole
 for each combination of features, a number that the codes bound, and the trees are fitted to these counts.
 
 Their probability of being a known positive becomes one of being personal data by division through its mean over the
-known positives of the kind (which are a share of all positives, the same at all places). A kind's threshold is the
+known positives of the kind (which are a share of all positives, the same at all places); that mean is drawn to the one
+over all kinds by a fixed number of rows, so that a kind of few known positives is judged too. A kind's threshold is the
 lowest at which the proposals to be added are, by these probabilities, precise enough. Of accepted proposals that overlap
 each other, of whatever kinds, the best stays, and none that overlaps a base span.
 """
@@ -149,10 +150,10 @@ class Trees:
     thresholds: dict[str, float]
 
 
-def fit(cells: list[tuple[str, tuple[int, ...], int, int]], rounds: int = 40, rate: float = 0.4, precision: float = 0.9, least: int = 20) -> Trees:
-    """Fit to (kind, codes, base spans and other proposals, base spans); a kind of fewer than ``least`` base spans adds none."""
+def fit(cells: list[tuple[str, tuple[int, ...], int, int]], rounds: int = 40, rate: float = 0.4, precision: float = 0.9, prior: float = 20) -> Trees:
+    """Fit to (kind, codes, base spans and other proposals, base spans); all kinds' known positives weigh ``prior`` rows in each kind."""
     rows = [((KINDS.index(k), *codes), n, hits) for k, codes, n, hits in cells]
-    if not rows:
+    if not sum(r[2] for r in rows):
         return Trees(0.0, [], dict.fromkeys(KINDS, math.inf))
     total, good = sum(r[1] for r in rows), sum(r[2] for r in rows)
     start = math.log((good + 1) / (total - good + 1))
@@ -197,13 +198,12 @@ def fit(cells: list[tuple[str, tuple[int, ...], int, int]], rounds: int = 40, ra
             sides.append((f2, bound2, *values))
         trees.append((f, bound, *sides))
     chance = [1 / (1 + math.exp(-s)) for s in scores]  # of being a known positive
+    common = sum(r[2] * c for r, c in zip(rows, chance)) / good
     thresholds = dict.fromkeys(KINDS, math.inf)
     for number, kind in enumerate(KINDS):
         own = [i for i, (codes, _, _) in enumerate(rows) if codes[0] == number]
         known = sum(rows[i][2] for i in own)
-        if known < least:
-            continue
-        share = sum(rows[i][2] * chance[i] for i in own) / known  # of all positives that are known
+        share = (sum(rows[i][2] * chance[i] for i in own) + prior * common) / (known + prior)  # of all positives that are known
         seen = right = 0.0
         for i in sorted(own, key=lambda i: -scores[i]):
             more, personal = rows[i][1] - rows[i][2], min(1.0, chance[i] / share)

@@ -1,9 +1,9 @@
 """Secrets by corpus-wide ownership frequency, in SQL functions only.
 
 Fixed patterns give the base spans; those always stay. A wider pattern proposes other long tokens that mix letters and
-digits. All candidate values are hashed and aggregated over the corpus by distinct repositories and owners: a value that
-several owners have, or one owner in more repositories than a credential is used in, is a widely copied example; any
-other is specific to its owner and looks live. Proposed spans of the second sort are added; base spans are only told
+digits. All candidate values are hashed and aggregated over the corpus by distinct repositories and owners: a value whose
+repositories are spread over several owners is a widely copied example; one that is concentrated in its owner's, however
+many these are, is specific to that owner and looks live. Proposed spans of the second sort are added; base spans are only told
 apart.
 """
 
@@ -22,8 +22,7 @@ BASE = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16,}+", "hex": "[0-9a-f]{24,}+
 WIDE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
 _VALUE = r"""[A-Za-z0-9+/_.=-]+$"""
 _HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
-OWNERS = 2  # a value that more owners have is a copied example,
-REPOSITORIES = 50  # and so is one in more repositories, whoever owns them
+OWNERS = 2  # a value spread over more owners is a copied example; an owner counts by its share of the value's repositories
 
 
 def _value(kind: str, text: Column) -> Column:
@@ -57,21 +56,24 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """value -> repositories and owners that have it, uses, copied; from rows (value, owner, repository).
+    """value -> repositories and owners that have it, spread, uses, copied; from rows (value, owner, repository).
 
-    Equal rows are summed before each shuffle, so a value that most rows have is no burden to any task.
+    ``spread`` is how many owners with equally many repositories each would be as concentrated: 1 for a single owner,
+    little more if others have few of the repositories, the number of owners if all have equally many. It depends on
+    shares, not on the size of the corpus. A null owner is an owner. Equal rows are summed before each shuffle, so a value that most rows have is no burden to any task.
     """
     repositories = candidates.groupBy("value", "owner", "repository").agg(F.count("*").alias("uses"))
     owners = repositories.groupBy("value", "owner").agg(F.count("*").alias("n"), F.sum("uses").alias("uses"))
-    counts = owners.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("owner").alias("owners"), F.sum("uses").alias("uses"))
-    return counts.withColumn("copied", (F.col("owners") > OWNERS) | (F.col("repositories") > REPOSITORIES))
+    counts = owners.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("owner").alias("owners"), F.sum("uses").alias("uses"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
+    spread = F.col("repositories").cast("double") * F.col("repositories") / F.col("squares")
+    return counts.withColumn("spread", spread).withColumn("copied", F.col("spread") > OWNERS).drop("squares")
 
 
 def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", keep_text: bool = False) -> DataFrame:
     """``docs`` (without ``text`` unless ``keep_text``) with ``base``, ``spans``, ``live`` and ``copied``.
 
     ``base`` and ``spans`` are arrays of kind, start, end, by start, then kind; ``live`` and ``copied`` count the candidates
-    that look live and those whose value is widely copied. A null owner counts as none, and null repositories as one.
+    that look live and those whose value is widely copied. Null owners count as one, and null repositories as one.
     Null texts have no spans; repeated rows and null keys are rows like others, and an empty table gives none. Columns
     with these names are replaced.
     """

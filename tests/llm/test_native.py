@@ -117,11 +117,22 @@ def test_ownership(spark):
     assert found == [(0, 1, 1, 0)] + [(i, 0, 0, 1) for i in range(1, 6)] + [(9, 0, 0, 0)] * 2
 
 
-def test_ownership_by_repositories(spark):
-    value, few = "Ab1" * 8, "Cd2" * 8
-    rows = [(i, f"x {value} y", "s0") for i in range(secrets.REPOSITORIES + 1)] + [(1000, f"x {few} y", "s0"), (1000, f"x {few} y", "s0"), (1001, f"{few}", "s1"), (1002, value, None)]
+@pytest.mark.parametrize("n", [6, 300])
+def test_ownership_by_repositories(spark, n):
+    """However many repositories an owner has a value in, the owners' shares of them decide."""
+    own, strayed, spread, few = "Ab1" * 8, "Cd2" * 8, "Ef3" * 8, "Gh4" * 8
+    rows = [(i, f"x {own} y", "s0") for i in range(n)] + [(n + i, f"x {strayed} y", "s0" if i else None) for i in range(n)]
+    rows += [(2 * n + i, f"x {spread} y", f"s{i % 3}") for i in range(n)] + [(3 * n, f"x {few} y", "s0"), (3 * n, f"x {few} y", "s0"), (3 * n + 1, few, "s1")]
     found = {r["doc_id"]: (len(r["spans"]), r["live"], r["copied"]) for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert found[0] == found[1002] == (0, 0, 1) and found[1000] == found[1001] == (1, 1, 0)
+    assert all(v == ((0, 0, 1) if 2 * n <= k < 3 * n else (1, 1, 0)) for k, v in found.items()) and len(found) == 3 * n + 2
+
+
+@pytest.mark.parametrize("n", [5, 12, 400])
+def test_kinds_of_few_spans_are_judged_alike(spark, n):
+    rows = [(i, f"tel +49 {100 + i} 4711 {200 + i} x", 0) for i in range(n)] + [(1000 + i, f"tel 049 {100 + i} 4711 {200 + i} x", 1) for i in range(n)]
+    rows += [(2000 + i, f"part {100 + i} {200 + i} {300 + i} in", 2) for i in range(n)]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, k int")).collect()
+    assert all(bool(r["spans"]) == (r["k"] < 2) for r in found)
 
 
 def test_clashing_columns(spark):
