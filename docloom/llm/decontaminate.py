@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import scratch, skew
-from docloom.llm.words import Words, mix, slices
+from docloom.llm.words import Words, mapped, mix, slices
 
 WINDOW = 13
 _SLOTS = 1 << 20
@@ -87,8 +87,8 @@ def _rarity(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = 0.05) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, item_ids (sorted as strings) and contaminated.
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = 0.05, keep_text: bool = True) -> DataFrame:
+    """``docs`` (without ``text`` unless ``keep_text``) with n_words, n_hit, n_items, item_ids (sorted as strings) and contaminated.
 
     A document word is hit if it lies in an occurrence of a window; a document is contaminated if some word is hit and
     the hit words are at least ``share`` of all. Null or wordless texts have no words and are clean; wordless items
@@ -96,7 +96,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     unchanged; those that clash with the result's names are replaced. An empty table gives none; texts may be of any length.
     """
     names = ("n_words", "n_hit", "n_items", "item_ids", "contaminated")
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c not in names and (keep_text or c != text)]
     windows = scratch.table(_windows(items.filter(F.col(item).isNotNull()), item, item_text, window), "windows")
     wanted = np.zeros(_SLOTS, bool)
     wanted[windows.select(F.explode("slots").alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
@@ -133,9 +133,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: s
                 row += len(n)
 
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = source.drop("__text").schema.simpleString()[7:-1]
-    schema += ("," if kept else "") + "__row:bigint,n_words:bigint,__found:array<struct<window:bigint,start:bigint,width:int,words:string>>"
-    scanned = scratch.table(source.mapInArrow(propose, f"struct<{schema}>"), "proposals")
+    made = "__row long, n_words long, __found array<struct<window: bigint, start: bigint, width: int, words: string>>"
+    scanned = scratch.table(mapped(source, propose, made), "proposals")
     found = scanned.filter(F.size("__found") > 0).select("__row", F.explode("__found").alias("f")).select("__row", "f.*")
     sets, set_items = _item_sets(windows)
     uses = found.groupBy("window", "words").agg(F.count("*").alias("uses"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.words import Words, mix, slices
+from docloom.llm.words import Words, mapped, mix, slices
 
 UNKNOWN = "und"
 _WORD_SLOTS = 1 << 16
@@ -264,8 +264,8 @@ def detect(docs: DataFrame, model: Model, text: str = "text", spans: bool = True
                 yield pa.RecordBatch.from_arrays(columns, [c for c in part.schema.names if c != "__text"] + list(names[: 2 + spans]))
 
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = ",".join([source.drop("__text").schema.simpleString()[7:-1]] * bool(kept) + ["lang_pred:string", "score:double"] + ["spans:array<struct<start:bigint,end:bigint,lang:string>>"] * spans)
-    return source.mapInArrow(run, f"struct<{schema}>")
+    made = "lang_pred string, score double" + ", spans array<struct<start: bigint, end: bigint, lang: string>>" * spans
+    return mapped(source, run, made)
 
 
 def _spans(read: Read, owner: np.ndarray, label: np.ndarray, known: np.ndarray, kind: pa.DataType, n: int) -> pa.Array:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import linking, scratch, skew
-from docloom.llm.words import Words, mix, slices
+from docloom.llm.words import Words, mapped, mix, slices
 
 WIDTH = 5
 THRESHOLD = (4, 5)  # Jaccard similarity, as a fraction
@@ -255,8 +255,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 names = [c for c in part.schema.names if c != "__t"]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(f1), pa.array(f2)], [*names, "__f1", "__f2"])
 
-    schema = f"struct<{signs.schema.simpleString()[7:-1]},__f1:bigint,__f2:bigint>"
-    marked = (signs if plain else signs.withColumn("__t", F.col(f"`{text}`").cast("string"))).mapInArrow(run, schema)
+    marked = mapped(signs if plain else signs.withColumn("__t", F.col(f"`{text}`").cast("string")), run, "__f1 long, __f2 long", read, plain)
     marked = marked.withColumn("__h", F.xxhash64(F.col(f"`{key}`").cast("long"), "__f1", "__f2"))
     signed = scratch.table(sign(docs, text, key), "signed")
     classes = _linked(docs, text, key, signed, False)

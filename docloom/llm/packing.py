@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.words import hash_spans, slices
+from docloom.llm.words import extended, hash_spans, slices
 
 CAPACITY = 2048
 END = 1
@@ -222,7 +222,8 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
 
     A document is its token ids and then ``end``; null texts are empty, so they are one token. ``token_ids`` holds the
     piece's ids as little-endian unsigned 32-bit values (left out unless ``with_ids``). Repeated rows and null keys are
-    documents like others. Other columns of ``docs`` are not read.
+    documents like others. Other columns of ``docs`` are not read; the key comes first, whatever it is called. An empty
+    table gives none.
     """
     fields = _OUT if with_ids else _OUT[:-1]
 
@@ -263,7 +264,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
         if waiting:
             yield flush(True)
 
-    source = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     names = {pa.int64(): "bigint", pa.binary(): "binary"}
-    schema = source.select(key).schema.simpleString()[7:-1] + "".join(f",{f}:{names[t]}" for f, t in fields)
-    return source.mapInArrow(run, f"struct<{schema}>")
+    schema = extended(source.select("key").withColumnRenamed("key", key).schema, ", ".join(f"{f} {names[t]}" for f, t in fields))
+    return source.mapInArrow(run, schema)

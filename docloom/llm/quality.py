@@ -24,12 +24,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.words import slices
+from docloom.llm.words import mapped, slices
 
 DECISION = 0.3
 _LEVEL = 3
 _DICTIONARY = 1 << 18
 _BLOCK = 1024  # bytes compressed at a time
+_LEAST = 1024  # bytes to train on
 _PIECE, _PIECES = 300, 12  # bytes of a piece, pieces of a text in a dictionary
 
 
@@ -71,6 +72,8 @@ def pieces(text: bytes) -> list[bytes]:
 
 
 def _dictionary(parts: list[bytes]) -> bytes:
+    if sum(map(len, parts)) < _LEAST:  # the trainer divides by zero on some texts of a few bytes
+        return b"\n".join(parts) or b"\n" * 8
     try:
         return zstandard.train_dictionary(_DICTIONARY, parts).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
@@ -157,5 +160,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(found)], [*names, "score"])
 
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = ",".join([source.drop("__text").schema.simpleString()[7:-1]] * bool(kept) + ["score:double"])
-    return source.mapInArrow(run, f"struct<{schema}>").withColumn("predicted", (F.col("score") >= DECISION).cast("int"))
+    return mapped(source, run, "score double").withColumn("predicted", (F.col("score") >= DECISION).cast("int"))

@@ -84,7 +84,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    out = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"), keep_text=False)
     digest = F.sha2(F.array_join("item_ids", ","), 256)
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 

@@ -4,8 +4,10 @@ A word's embedding is the sum of three of a fixed number of rows, which hashes o
 last bytes pick, so that a rare word is known by its parts. Filters of several widths run over consecutive words, each
 filter's largest response in the text is kept, and a logistic layer turns those into a probability. All is trained in
 numpy on a bounded sample of labelled rows of any length, in which the labels' shares are not those of all labelled rows:
-the intercept is shifted and the calibration weighted by the true shares. A threshold is then calibrated for each language, as guessed from the text's own
-function words, and the score is shifted so that 0.7 is that threshold for every language.
+the intercept is shifted and the calibration weighted by the true shares. A threshold is then calibrated for each
+language, as guessed from the text's own function words (texts without any are a group of their own), and the score is
+shifted so that 0.7 is that threshold for every language. Thresholds of few rows are drawn to the common one, and that to
+what the network itself expects, by a fixed number of rows; no number of rows switches anything on.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.words import Words, hash_spans, slices
+from docloom.llm.words import Words, hash_spans, mapped, slices
 
 DECISION = 0.7
+PRIOR = 20  # rows by which a threshold is drawn to the one of a larger group
 _WORDS, _EDGES = 18, 16  # bits of the slots of whole words, and of their beginnings and ends
 _EDGE = 6  # bytes of a beginning or end
 # fixed values: common function words, to guess a text's language for calibration
@@ -44,6 +47,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last = hash_spans(words.low, np.maximum(words.ends - _EDGE, words.starts), words.ends)
     low = lambda h, bits: h & np.uint64((1 << bits) - 1)
     tokens = low(words.hashes, _WORDS) << np.uint64(2 * _EDGES) | low(first, _EDGES) << np.uint64(_EDGES) | low(last, _EDGES)
+    votes.append(np.full(len(words), 1e-6))  # more than no vote: texts of no known language
     return tokens, words.offsets, np.argmax(np.stack(votes, axis=1), axis=1)
 
 
@@ -173,7 +177,7 @@ def learn(words: list[np.ndarray], y: np.ndarray, language: np.ndarray, totals:
         {w: np.zeros(filters, np.float32) for w in widths},
         np.abs(rng.normal(0, 0.3, filters * len(widths))).astype(np.float32),
         -1.0,
-        np.zeros(len(_NAMES), np.float32),
+        np.zeros(len(_NAMES) + 1, np.float32),
     )
     if len(set(y[fit].tolist())) < 2:
         net.out[:], net.out_bias = 0, 4.0 if len(y) and y.mean() > 0.5 else -4.0
@@ -227,10 +231,15 @@ def learn(words: list[np.ndarray], y: np.ndarray, language: np.ndarray, totals:
     for a in range(0, len(held), 256):
         own = held[a : a + 256]
         z[a : a + 256] = _logit(net, np.concatenate([words[i] for i in own]), np.concatenate([[0], np.cumsum([len(words[i]) for i in own])]))
-    common = _threshold(z, y[held], odds)
-    for k in range(len(_NAMES)):
-        own = language[held] == k
-        net.thresholds[k] = _threshold(z[own], y[held][own], odds) if (y[held][own] == 1).sum() >= 30 else common
+    expected = 1 / (1 + np.exp(-np.clip(z, -30, 30)))  # shares of label 1 among all rows, by the network
+    ones = np.where(y[held] == 1, odds, 0.0)
+    zeros = np.where(y[held] == 1, 0.0, 1.0)
+    drawn = PRIOR / max(len(held), 1) * (ones + zeros)
+    ones, zeros, both = np.concatenate([ones, drawn * expected]), np.concatenate([zeros, drawn * (1 - expected)]), np.concatenate([z, z])
+    for k in range(len(net.thresholds)):
+        own = np.concatenate([language[held] == k, np.zeros(len(held), bool)])
+        weight = own + PRIOR / max(len(held) + PRIOR, 1)
+        net.thresholds[k] = _best(both, weight * ones, weight * zeros)
     return net
 
 
@@ -243,16 +252,17 @@ def _odds(y: np.ndarray, totals: tuple[int, int] | None) -> float:
 
 
 def _threshold(z: np.ndarray, y: np.ndarray, odds: float = 1.0) -> float:
-    """The logit with the best F1, in the middle of its gap; 0 where too few rows have label 1.
+    """The logit with the best F1, a row with label 1 counting ``odds`` times as much as one with label 0."""
+    return _best(z, np.where(y == 1, odds, 0.0), np.where(y == 1, 0.0, 1.0))
 
-    A row with label 1 counts ``odds`` times as much as one with label 0.
-    """
-    if (y == 1).sum() < 20 or y.all():
+
+def _best(z: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> float:
+    """The logit with the best F1, in the middle of its gap, by the masses of both labels at each; 0 if label 1 has none."""
+    if not ones.sum():
         return 0.0
     order = np.argsort(-z, kind="stable")
-    weight = np.where(y == 1, odds, 1.0)
-    hits = np.cumsum((weight * y)[order])
-    f1 = 2 * hits / (np.cumsum(weight[order]) + hits[-1])
+    hits = np.cumsum(ones[order])
+    f1 = 2 * hits / (np.cumsum((ones + zeros)[order]) + hits[-1])
     f1[:-1][z[order][:-1] == z[order][1:]] = 0
     k = int(np.argmax(f1))
     return float((z[order][k] + z[order][min(k + 1, len(z) - 1)]) / 2)
@@ -281,5 +291,4 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found)], [*[c for c in part.schema.names if c != "__text"], "score"])
 
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = ",".join([source.drop("__text").schema.simpleString()[7:-1]] * bool(kept) + ["score:double"])
-    return source.mapInArrow(run, f"struct<{schema}>").withColumn("predicted", (F.col("score") >= DECISION).cast("int"))
+    return mapped(source, run, "score double").withColumn("predicted", (F.col("score") >= DECISION).cast("int"))

@@ -7,10 +7,12 @@ it, and all hashing is done on arrays. Hash equality stands for equality of word
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 _BLOCK = 1 << 18  # bytes hashed at a time, so that the arrays stay in the processor's cache
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -132,6 +134,30 @@ class Words:
         return mix(out), offsets
 
 
+def extended(schema: StructType, more: str = "") -> StructType:
+    """Result schema of a function over Arrow batches: the columns of ``schema``, whatever they are called, then those of ``more``."""
+
+    def nullable(kind: DataType) -> DataType:
+        if isinstance(kind, ArrayType):
+            return ArrayType(nullable(kind.elementType))
+        if isinstance(kind, MapType):
+            return MapType(nullable(kind.keyType), nullable(kind.valueType))
+        return StructType([StructField(f.name, nullable(f.dataType)) for f in kind.fields]) if isinstance(kind, StructType) else kind
+
+    return StructType(nullable(schema).fields + (StructType.fromDDL(more).fields if more else []))
+
+
+def mapped(source: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: str, read: str = "__text", keep: bool = False) -> DataFrame:
+    """``source`` through ``run``, which reads the column ``read``, leaves it out unless ``keep``, and adds the columns of ``more``.
+
+    All other columns have numbers for names while they pass, since names with dots are not found there.
+    """
+    hidden = source.toDF(*[c if c == read else f"__c{i}" for i, c in enumerate(source.columns)])
+    names = [c for c in source.columns if keep or c != read]
+    schema = extended((hidden if keep else hidden.drop(read)).schema, more)
+    return hidden.mapInArrow(run, schema).toDF(*names, *schema.names[len(names) :])
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a piece have about ``most`` bytes; one text is never cut."""
     texts = batch.column(column).cast(pa.large_string())

@@ -402,3 +402,40 @@ def test_language_held_out(spark):
 def test_queries_have_digests(spark):
     row = queries.QUERIES["op1_pii"](spark, "/root/testdata/sf0.001").filter("spans = ''").first()
     assert row["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_thresholds_are_drawn_to_the_common_one():
+    """Few rows of a group move its threshold little, many rows all the way, and nothing jumps between."""
+    z = np.linspace(-4, 4, 81)
+    common = (z >= 1).astype(float)
+    at = []
+    for n in (0, 1, 4, 19, 20, 21, 100, 10000):
+        own = n * (z >= 3)
+        at.append(toxicity._best(np.concatenate([z, z]), np.concatenate([common, own]), np.concatenate([1 - common, n - own])))
+    assert at[0] == pytest.approx(0.95) and at[-1] == pytest.approx(2.95) and at == sorted(at)
+    assert toxicity._best(z, 0 * z, 1 + 0 * z) == 0 and toxicity._best(z[:0], z[:0], z[:0]) == 0
+
+
+def test_columns_of_any_name(spark):
+    """Dots, keywords, nested and non-null columns pass through every operator that reads texts by Arrow."""
+    rows = [(i, "the quick brown fox %d" % (i // 2), 1.5, {"x.y": [1, None]}, "s") for i in range(6)] + [(6, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` double, `c d` map<string, array<int>>, `select` string").withColumn("fixed", F.lit(1))
+    net = toxicity.train(sample(spark, ["x y", "z"] * 20, [0, 1] * 20))
+    good = quality.train(sample(spark, ["x y", "z"] * 20, [0, 1] * 20))
+    model = language.train(spark.createDataFrame([("x y z", "l")], "text string, lang string"), least=1)
+    items = spark.createDataFrame([("i", "brown fox 1")], "item_id string, text string")
+    outs = [quality.score(docs, good), toxicity.score(docs, net), language.detect(docs, model), decontaminate.decontaminate(docs, items), neardup.keep_one(docs)]
+    own = ["doc_id", "a.b", "c d", "select", "fixed"]
+    want = {r[0]: r for r in ((*(r[c] for c in own),) for r in docs.collect())}
+    for out in outs:
+        got = out.select(*[F.col(f"`{c}`") for c in own]).collect()
+        assert got and all(tuple(r) == want[r["doc_id"]] for r in got)
+        assert {c: t for c, t in out.dtypes if c in own} == {c: t for c, t in docs.dtypes if c in own}
+    assert "text" not in decontaminate.decontaminate(docs, items, keep_text=False).columns
+    keyed = packing.pack(docs.withColumnRenamed("doc_id", "x.id"), queries.tokenizer_path(), key="x.id")
+    assert {r["x.id"] for r in keyed.collect()} == set(want)
+
+
+def test_dictionaries_of_few_bytes():
+    for parts in ([], [b""] * 20, [b"z"] * 10, [b"x"] * 20, [b"x y"] * 7, [b"a b c"] * 100):
+        assert quality._Sizes(quality._dictionary(parts), b"other words")([b"x y", b""]).shape == (2, 3)
