@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,19 +11,30 @@ from docloom.sources import shared
 def descendants(nodes: DataFrame, roots: DataFrame | int, parent: str) -> DataFrame:
     """(root, id, depth) of each root (a table with ``id``, or one id) and of all below it.
 
-    A level at a time, each a join of the last level only with the nodes, until a level is empty. A node has one parent, so it
-    is met twice below a root only if the root stands on a circle, and then the root is met first: where a walk comes
-    back to its root it ends. So broken tables end, too, and no level is compared with those before it.
+    Every node knows a node above it and the roots up to there. In each round it takes over what that node knows, so
+    the distance doubles and a tree of depth n needs about log2(n) rounds, whatever the number of its nodes. What a node
+    holds is its part of the result. Ids are unique. A node whose parent is missing ends there. On a circle a root is met
+    once, with its least depth: where a node would learn of a root again its walk has been round, and one that meets no
+    root ends when it is longer than there are nodes.
     """
-    edges = nodes.select("id", F.col(parent).alias("parent"))
-    wanted = nodes.select("id").filter(F.col("id") == roots) if isinstance(roots, int) else roots.select("id").join(nodes.select("id"), "id", "left_semi")
-    level = shared.table(wanted.distinct().select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")), "level")
-    levels = []
-    while level.head(1):
-        levels.append(level)
-        below = edges.join(level.select("root", F.col("id").alias("parent"), (F.col("depth") + 1).alias("depth")), "parent").select("root", "id", "depth")
-        level = shared.table(below.filter(F.col("id") != F.col("root")), "level")
-    return reduce(DataFrame.unionByName, levels or [level])
+    wanted = nodes.filter(F.col("id") == roots) if isinstance(roots, int) else roots
+    own = F.array(F.struct(F.col("id").alias("root"), F.lit(0).cast("long").alias("depth")))
+    begun = nodes.select("id", F.col(parent).cast(nodes.schema["id"].dataType).alias("up")).join(wanted.select("id", F.lit(True).alias("own")).distinct(), "id", "left")
+    table = shared.table(begun.select("id", "up", F.lit(1).cast("long").alias("steps"), F.when(F.col("own"), own).otherwise(F.filter(own, lambda r: F.lit(False))).alias("line")), "lines")
+    reach, most = 1, table.count()
+    while reach <= 2 * most and table.filter(F.col("up").isNotNull()).head(1):
+        above = table.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("line").alias("far"))
+        moved = table.filter(F.col("up").isNotNull()).join(above, "up", "left")
+        known, far = F.transform("line", lambda r: r["root"]), F.transform("far", lambda r: r["root"])
+        circle = F.coalesce(F.arrays_overlap(known, far), F.lit(False))
+        shifted = F.transform("far", lambda r: F.struct(r["root"].alias("root"), (r["depth"] + F.col("steps")).alias("depth")))
+        fresh = F.when(circle, F.filter(shifted, lambda r: ~F.array_contains(F.transform("line", lambda x: x["root"]), r["root"]))).otherwise(shifted)
+        line = F.when(F.col("far").isNull(), F.col("line")).otherwise(F.concat("line", fresh))
+        # new names, since in functions of elements a name would mean the column that is being made
+        moved = moved.select("id", F.when(~circle, F.col("next")).alias("u"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("s"), line.alias("l")).toDF(*table.columns)
+        table = shared.table(moved.unionByName(table.filter(F.col("up").isNull())), "lines")
+        reach *= 2
+    return table.select("id", F.explode("line").alias("r")).select("r.root", "id", F.col("r.depth").cast("int").alias("depth"))
 
 
 def numbered(nodes: DataFrame, group: str, order: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -90,3 +91,32 @@ def test_descendants(spark):
     found = lambda roots: sorted(map(tuple, heap.descendants(nodes, roots, "parent").collect()))
     assert found(2) == [(2, 2, 0), (2, 3, 1)] and found(42) == []
     assert found(nodes.filter("id in (1, 4, 7)")) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (4, 4, 0), (4, 5, 1), (7, 7, 0), (7, 8, 1)]
+
+
+def _walk(rows, roots):
+    """(root, id, depth) by walking down from each root, which ends where it comes back to it."""
+    below = {}
+    for i, p in rows:
+        below.setdefault(p, []).append(i)
+    out = []
+    for root in roots:
+        level, depth = [root], 0
+        while level:
+            out += [(root, i, depth) for i in level]
+            level, depth = [c for i in level for c in below.get(i, []) if c != root], depth + 1
+    return sorted(out)
+
+
+def test_descendants_of_any_nodes(spark, monkeypatch):
+    rng, made = random.Random(4), []
+    table = heap.shared.table
+    monkeypatch.setattr(heap.shared, "table", lambda df, label: made.append(label) or table(df, label))
+    chain = [(i, i - 1 if i else None) for i in range(300)]
+    forest = [(i, rng.choice([None, 9999, *range(max(0, i - 9), i)])) for i in range(200)]
+    circles = [(i, (i // 10) * 10 + (i + 1) % 10) for i in range(40)] + [(40 + i, rng.randrange(40 + i)) for i in range(30)] + [(90, 90)]
+    for rows, roots in ((chain, [0, 150]), (forest, [i for i, p in forest if p is None]), (forest, list(range(0, 200, 7))), (circles, [0, 3, 12, 45, 90]), (circles, [])):
+        made.clear()
+        nodes = spark.createDataFrame(rows, "id long, parent long").repartition(3)
+        found = heap.descendants(nodes, spark.createDataFrame([(i,) for i in roots] * 2 + [(-5,)], "id long"), "parent")
+        assert sorted(map(tuple, found.collect())) == _walk(rows, roots)
+        assert len(made) <= 11  # rounds grow with the logarithm of the depth
