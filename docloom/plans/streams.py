@@ -74,10 +74,9 @@ def t3(spark: SparkSession, sf: str) -> DataFrame:
     return flow.drain(good.select("doc_id", F.lit(True).alias("ok")).unionByName(fixed), "malformed")
 
 
-@query("t4_dead_letters", "select user_id, 3 receives from events where event_type = 'error' group by 1 having count(*) >= 3")
+@query("t4_dead_letters", "select user_id, count(*) receives from events where event_type = 'error' group by 1 having count(*) >= 3")
 def t4(spark: SparkSession, sf: str) -> DataFrame:
-    attempts = _stream(spark, sf, "events").filter("event_type = 'error'").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return flow.drain(flow.dead_letters(attempts, "user_id"), "dead")
+    return flow.drain(flow.dead_counts(_stream(spark, sf, "events").filter("event_type = 'error'"), "user_id"), "dead", "complete")
 
 
 @query("t2_batches", "select doc_id, length(text) size from documents")

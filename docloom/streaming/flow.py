@@ -115,6 +115,11 @@ def dead_letters(attempts: DataFrame, key: str, ts: str = "ts", most: int = RECE
     return rows.groupBy(key).applyInPandasWithState(count, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def dead_counts(attempts: DataFrame, key: str, most: int = RECEIVES) -> DataFrame:
+    """(key, receives) of all messages received ``most`` times or more, with all their receives; drained in complete mode."""
+    return attempts.groupBy(key).agg(F.count("*").alias("receives")).filter(F.col("receives") >= most)
+
+
 def replay(requests: DataFrame, cache: Callable[[], DataFrame], key: str, path: str) -> DataFrame:
     """Stored records of requested ids with status ``replayed``, else a row with ``not_in_cache``; a row for each request.
 

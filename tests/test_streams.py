@@ -86,6 +86,14 @@ def test_third_receive_is_dead_once(spark, tmp_path):
     assert dead() == [("a", 3), ("d", 3), (None, 3)]
 
 
+def test_dead_letters_with_all_receives(spark, tmp_path):
+    from docloom.plans.all import QUERIES
+
+    rows = [("error", 1)] * 5 + [("error", 2)] * 3 + [("error", 3)] * 2 + [("view", 3)] * 9
+    spark.createDataFrame([(k, u, "2024-01-01 00:00:00") for k, u in rows], "event_type string, user_id long, ts string").write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(map(tuple, QUERIES["t4_dead_letters"](spark, str(tmp_path)).collect())) == [(1, 5), (2, 3)]
+
+
 def test_replay_sees_the_cache_of_its_time(spark, tmp_path):
     source, cache, path = (str(tmp_path / n) for n in ("in", "cache", "out"))
     read = lambda: spark.read.schema("id long, body string").parquet(cache)
