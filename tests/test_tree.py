@@ -93,6 +93,28 @@ def test_descendants(spark):
     assert found(nodes.filter("id in (1, 4, 7)")) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (4, 4, 0), (4, 5, 1), (7, 7, 0), (7, 8, 1)]
 
 
+def test_descendants_of_repeated_ids(spark):
+    """As in SQL: a node is below each node of its parent's id, and only the rows without a parent are roots."""
+    nodes = spark.createDataFrame([(1, None), (2, 1), (2, None), (3, 2), (3, 2), (4, 3)], "id long, parent long")
+    found = sorted(map(tuple, heap.descendants(nodes, nodes.filter("parent is null"), "parent").collect()))
+    assert found == sorted([(1, 1, 0), (1, 2, 1), (2, 2, 0)] + [(1, 3, 2), (2, 3, 1)] * 2 + [(1, 4, 3), (2, 4, 2)] * 2)
+
+
+def test_article_subtree_of_long_lines(spark, tmp_path):
+    """More than 999 sentences in a line repeat ids of the next line's sentences."""
+    import duckdb
+
+    from docloom.plans.all import ORACLE_SQL, QUERIES
+
+    text = ". ".join(f"s{i}" for i in range(2100)) + "\n" + ". ".join(f"t{i}" for i in range(1005)) + "\na. b. c"
+    spark.createDataFrame([(1, text), (2, "a. b. c. d")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["h7_article_subtree"](spark, str(tmp_path)).select("root", "id", "depth")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.sql(f"select root, id, depth from ({ORACLE_SQL['h7_article_subtree']})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 2147
+
+
 def _walk(rows, roots):
     """(root, id, depth) by walking down from each root, which ends where it comes back to it."""
     below = {}
