@@ -85,6 +85,22 @@ def test_deep_trees(spark):
     assert [(r["norm_id"], r["path"].count("_"), r["error"]) for r in errors] == [(1, 19, "body must be a string")]
 
 
+def test_nodes_of_a_stated_depth_are_not_written(spark, monkeypatch):
+    made, table = [], tree.shared.table
+    monkeypatch.setattr(tree.shared, "table", lambda df, label: made.append(label) or table(df, label))
+    deep = lambda n: '{"body":"%d","articles":[%s]}' % (n, deep(n - 1) if n > 1 else "")
+    docs = spark.createDataFrame([(1, '{"divisions":[%s]}' % deep(2)), (2, "no JSON"), (3, None)], "id long, tree string")
+    assert [r["path"] for r in tree.flatten(docs, "id", "tree", 2).orderBy("sort_path").collect()] == ["d1", "d1_a1"] and not made
+    longer = spark.createDataFrame([(1, '{"divisions":[%s]}' % deep(11))], "id long, tree string")
+    assert sorted(r["depth"] for r in tree.flatten(longer, "id", "tree").collect()) == list(range(1, 12))
+    try:
+        tree.counts(tree.flatten(longer, "id", "tree", 10)).collect()
+    except Exception as error:
+        assert "deeper than 10 levels" in str(error)
+    else:
+        raise AssertionError("no error")
+
+
 def test_descendants(spark):
     rows = [(1, None), (2, 1), (3, 2), (4, None), (5, 4), (6, 99), (7, 8), (8, 7)]
     nodes = spark.createDataFrame(rows, "id long, parent long")
