@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -156,18 +155,14 @@ class _Structured(HTMLParser):
             self.parts.append(data)
 
 
-@F.pandas_udf(StringType())
-def _parsed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def one(html: str | None) -> str | None:
-        if html is None:
-            return None
-        parser = _Structured()
-        parser.feed(html)
-        parser.close()
-        return "".join(parser.parts)
-
-    for batch in batches:
-        yield batch.map(one, na_action="ignore")
+@F.udf(StringType(), useArrow=False)  # a hundred pages at a time; an Arrow batch would hold ten thousand
+def _parsed(html: str | None) -> str | None:
+    if html is None:
+        return None
+    parser = _Structured()
+    parser.feed(html)
+    parser.close()
+    return "".join(parser.parts)
 
 
 def html_to_text_exact(html: Column) -> Column:

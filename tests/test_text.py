@@ -44,3 +44,9 @@ def test_buckets(spark):
 def test_words(spark):
     assert one(spark, "Artículo 5° — El texto, (nuevo) 12. y fin.", T.content_words) == ["el", "texto", "(nuevo", "fin"]
     assert one(spark, "```json\n{\"a\": 1}\n```", T.unfence) == '{"a": 1}'
+
+
+def test_exact_pages_are_parsed_in_small_batches():
+    from pyspark.util import PythonEvalType
+
+    assert T._parsed.evalType == PythonEvalType.SQL_BATCHED_UDF  # no Arrow batch of ten thousand pages
