@@ -25,6 +25,7 @@ SAMPLE_BYTES = 1 << 26  # and what they take on the driver
 LISTS = 4096  # at most
 TARGET = 0.95  # recall of the ten nearest that the numbers of lists and of exact scores are chosen for
 TRIED = 64  # vectors that are searched exactly to measure it
+HELD = 1 << 26  # bytes of a block's best scores by codes that a task holds
 SUBSPACE = 4  # dimensions that share a byte of the code
 ROUNDS = 12
 
@@ -214,8 +215,12 @@ class Prober:
 
 
 def top_k(spark: SparkSession, path: str, queries: DataFrame, key: str = "id", k: int = search.DEFAULT_K, vector: str = "embedding", query_key: str = "query_id", probes: int | None = None, block_bytes: int = search.BLOCK_BYTES) -> DataFrame:
-    """Like :func:`search.batch_top_k`, from an index: query_id, id, score (cosine), rank. ``probes`` overrides the measured number of lists."""
+    """Like :func:`search.batch_top_k`, from an index: query_id, id, score (cosine), rank. ``probes`` overrides the measured number of lists.
+
+    A query's best scores by codes take more room in large indexes, so a block then has fewer queries.
+    """
     model = _model(path)
+    block_bytes = max(1, min(block_bytes, HELD // (4 * model.rescored * k) * 8 * model.centroids.shape[1]))
     probes = probes or model.probes
     rows = _rows(spark, path, model)
     key_kind, kind = model.kind, queries.schema[query_key].dataType.simpleString()

@@ -154,3 +154,27 @@ def test_question_without_hits(spark):
     got = {r["query_id"]: r for r in search.question_context(asked, index, norms, articles, 2, {"kind": "x"}).collect()}
     assert got[1]["norma_ids"] == [7] and "Artículo 1: body" in got[1]["context"] and got[1]["message"].endswith("with 1 normas")
     assert all(got[q]["norma_ids"] == [] and got[q]["answer"] == search.NO_HITS for q in (2, 3))
+
+
+def test_scores_are_made_in_tiles(spark):
+    names, vectors = np.arange(1300), np.random.default_rng(1).normal(size=(1300, 4))
+    rows = spark.range(5000).select("id", F.array(*[(F.col("id") * i % 7).cast("double") for i in range(1, 5)]).alias("v")).repartition(1)
+
+    def compare(q, x):
+        if len(q) > search._QUERIES or len(x) > search._ROWS:
+            raise ValueError("a larger tile")
+        return q @ x.T
+
+    found = search._nearest(rows, (names, vectors), 3, "id", "query_id", "long", compare, search._matrix)[0]
+    assert found.groupBy("query_id").count().filter("count = 3").count() == 1300
+
+
+def test_blocks_of_an_index_search_fit_what_is_held(spark, tmp_path, monkeypatch):
+    docs = spark.range(600).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.hash("id", i) % 1000).cast("float")).alias("embedding"))
+    queries, path, blocks = docs.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), str(tmp_path / "index"), []
+    ann.build(docs, path)
+    found = lambda: sorted(map(tuple, ann.top_k(spark, path, queries).collect()))
+    whole, asked = found(), search._query_blocks
+    monkeypatch.setattr(search, "_query_blocks", lambda *a: (blocks.append(b) or b for b in asked(*a)))
+    monkeypatch.setattr(ann, "HELD", 4 * ann._model(path).rescored * 10 * 8)
+    assert found() == whole and len(blocks) > 1
