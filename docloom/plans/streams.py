@@ -168,13 +168,15 @@ def s6_missing(spark: SparkSession, sf: str) -> DataFrame:
 @query("s6_page_source", """with months as (select date_trunc('month', cast(o_orderdate as date)) d, o_orderkey k, row_number() over (partition by date_trunc('month', cast(o_orderdate as date)) order by o_orderkey) - 1 i from orders)
 select cast(d as date) as "day", i // 100 + 1 page, count(*) n, cast(sum(k) as bigint) total from months where (i // 100 + 1) % 5 <> 0 group by all""")
 def s6_source(spark: SparkSession, sf: str) -> DataFrame:
-    """Order keys of each month, a hundred to a page, landed as files; every fifth page is missing."""
+    """Order keys of each month, a hundred to a page and a thousand pages to a file, landed; every fifth page is missing."""
     path = shared.new_path(spark, "landed")
     pages.register(spark)
     place = F.row_number().over(Window.partitionBy("day").orderBy("o_orderkey")) - 1
-    keys = table(spark, sf, "orders").select(F.trunc("o_orderdate", "month").alias("day"), "o_orderkey").withColumn("page", F.floor(place / 100) + 1).filter("page % 5 <> 0")
-    answers = keys.groupBy("day", "page").agg(F.lit(100).alias("limit"), F.collect_list(F.struct(F.col("o_orderkey").alias("id"))).alias("results"))  # a page's keys
-    answers.repartition("day").write.partitionBy("day", "page").json(path)
+    keys = table(spark, sf, "orders").select(F.trunc("o_orderdate", "month").alias("day"), "o_orderkey").withColumn("number", F.floor(place / 100) + 1).filter("number % 5 <> 0")
+    answers = keys.groupBy("day", "number").agg(F.lit(100).alias("limit"), F.collect_list(F.struct(F.col("o_orderkey").alias("id"))).alias("results"))  # a page's keys
+    first = F.floor((F.col("number") - 1) / 1000) * 1000 + 1
+    lines = answers.select("day", first.alias("page"), F.to_json(F.struct(F.col("number").alias("page"), "limit", "results")).alias("value"))
+    lines.repartition("day", "page").write.partitionBy("day", "page").text(path)
     landed = spark.read.format(pages.NAME).load(path).select("day", "page", F.explode("results.id").alias("id"))
     return landed.groupBy("day", "page").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
 

@@ -173,3 +173,21 @@ def test_landed_pages(spark, tmp_path):
     assert run() == first
     land("2024-01-02", 2, {"count": 3, "limit": 2, "results": []})
     assert run() == [*first, ("2024-01-02", 2, 3)] == run()
+
+
+def test_many_landed_pages_share_files_and_partitions(spark, tmp_path, monkeypatch):
+    import json
+
+    from docloom.sources import pages
+
+    pages.register(spark)
+    folder = tmp_path / "pages"
+    for first in (1, 1001):
+        (folder / f"day=2024-01-01/page={first}").mkdir(parents=True)
+        (folder / f"day=2024-01-01/page={first}/x.txt").write_text("\n".join(json.dumps({"page": p, "limit": 1, "results": [{"id": p}]}) for p in range(first, first + 3)))
+    landed = spark.read.format("landed_pages").load(f"file://{folder}")
+    assert sorted((r["page"], r["results"][0]["id"]) for r in landed.collect()) == [(p, p) for p in (1, 2, 3, 1001, 1002, 1003)]
+    assert landed.rdd.getNumPartitions() == 2
+    monkeypatch.setattr(pages, "PARTS", 4)
+    parts = pages._parts([pages.Page("2024-01-01", i, str(i)) for i in range(10)])
+    assert [len(p.pages) for p in parts] == [3, 3, 3, 1] and pages._parts([]) == []
