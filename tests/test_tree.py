@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.operators import heap, segment, tree
+from docloom.operators import heap, relations, segment, tree
 
 text = st.text("abc \"\\é\n", max_size=6)
 articles = st.recursive(st.just([]), lambda kids: st.lists(st.fixed_dictionaries({"ordinal": text, "body": text, "articles": kids}), max_size=2), max_leaves=4)
@@ -158,3 +158,35 @@ def test_descendants_of_any_nodes(spark, monkeypatch):
         found = heap.descendants(nodes, spark.createDataFrame([(i,) for i in roots] * 2 + [(-5,)], "id long"), "parent")
         assert sorted(map(tuple, found.collect())) == _walk(rows, roots)
         assert len(made) <= 11  # rounds grow with the logarithm of the depth
+
+
+def test_context_batch(spark):
+    """Ids for each hit by rank, bodies once for each node; unknown types and ids, and nodes of no record, are left out."""
+    norms = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "infoleg_id long, title string")
+    divs = spark.createDataFrame([(10, 1, "L1", "d10"), (11, 1, "L2", None), (20, 2, "L1", "d20"), (20, 3, "L1", "again"), (90, 9, "L1", "lost")], "id long, norma_id long, name string, body string")
+    arts = spark.createDataFrame([(100, 10, 1, "a100"), (101, 11, 2, "a101"), (102, 77, 1, "lost")], "id long, division_id long, order_index int, body string")
+    hits = [("division", 11, 7), ("division", 10, 3), ("division", 11, 1), ("division", 11, 7), ("division", 20, 4), ("division", 10, None), ("division", 90, 0), ("article", 101, 9), ("article", 100, 2)]
+    pairs = spark.createDataFrame(hits + [("article", 102, 0), ("article", 555, 0), ("division", None, 0), ("summarized_text", 10, 0)], "entity_type string, entity_id long, hit_rank int")
+    got = {r["infoleg_id"]: r for r in relations.context_batch(pairs, norms, divs, arts, ["title"]).collect()}
+    assert set(got) == {1, 2, 3} and [got[i]["first_rank"] for i in (1, 2, 3)] == [1, 4, 4] and got[1]["title"] == "one"
+    assert got[1]["division_ids"] == [10, 11, 10, 11, 11] and got[1]["article_ids"] == [100, 101]
+    assert [tuple(x) for x in got[1]["divisions"]] == [(11, "L2", None), (10, "L1", "d10")] and [tuple(x) for x in got[1]["articles"]] == [(100, "1", "a100"), (101, "2", "a101")]
+    assert [x["body"] for i in (2, 3) for x in got[i]["divisions"]] == ["d20", "again"] and got[2]["article_ids"] == [] == got[3]["articles"]
+
+
+def test_context_batch_of_many_hits(spark, tmp_path):
+    """A long line that is hit often: its text is neither repeated for its hits nor shuffled for a query of ids."""
+    import duckdb
+
+    from docloom.plans.all import ORACLE_SQL, QUERIES
+
+    path = lambda name: str(tmp_path / f"{name}.parquet")
+    text = F.concat(F.repeat(F.lit("xyz "), 250_000), F.lit(". b\nc. d"))
+    spark.range(4).select(F.col("id").alias("doc_id"), F.lit("es").alias("lang"), F.lit("s").alias("source"), text.alias("text")).coalesce(1).write.parquet(path("documents"))
+    spark.range(9000).selectExpr("id event_id", "case when id < 8997 then 1 else id % 6 end user_id").coalesce(1).write.parquet(path("events"))
+    found = QUERIES["j3_context_batch"](spark, str(tmp_path))
+    db = duckdb.connect()
+    for name in ("documents", "events"):
+        db.execute(f"create view {name} as select * from '{path(name)}/*.parquet'")
+    want = db.sql(f"select {', '.join(found.columns)} from ({ORACLE_SQL['j3_context_batch']})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want) and max(len(r[3]) for r in want) > 3000 * 5
